@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm import boosting
-from prismlake.llm.textkernel import IS_SPACE, Texts, first_of_equal, mix, over_texts, segment_sum, shingle_hashes
+from prismlake.llm.textkernel import Texts, first_of_equal, mix, over_texts, segment_sum, shingle_hashes
 
 #: Labelled rows used for fitting, at most (chosen by hash of doc_id): the bound of the driver's data.
 SAMPLE_ROWS = 6000
