@@ -72,9 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Items of fewer than five words (none in the tables) would need their own width here.
 _OP1 = r"""
 WITH w AS (
-  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), x -> x <> '') AS words FROM documents
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS words FROM documents
   UNION ALL
-  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), x -> x <> '') FROM benchmark
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), lambda x: x <> '') FROM benchmark
 ), s AS (
   SELECT DISTINCT side, id, array_to_string(words[i : i + 4], ' ') AS shingle
   FROM (SELECT side, id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
