@@ -25,6 +25,8 @@ from prismlake.llm.textkernel import Texts, first_of_equal, mix, over_texts
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+#: Rounds of anchors end when under this share of a round's comparisons are links.
+LEAST_YIELD = 0.02
 
 
 def bag(t: Texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +133,9 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
     """a, b, similarity: verified links between different texts, ids being the least doc_id of each text.
 
     Members of a band bucket are compared with one anchor of it, the member whose buckets are fullest:
-    a row per member, never all pairs. Members that fail with their anchor form the bucket anew and get
-    another anchor, until no bucket has two left.
+    a row per member, never all pairs. Copies of one text differ from it less than from each other, so
+    the fullest member is the one that most of a bucket is linked to. Members that fail with their anchor
+    form the bucket anew and get another anchor, as long as a round links LEAST_YIELD of what it compares.
     """
     spark = documents.sparkSession
     members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
@@ -145,13 +148,18 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
     wanted = bitmaps.build_ids(ids, "doc")
     multisets = staged(bags(documents, wanted, width).dropDuplicates(["id"]), "bags")
     done = None
-    while not left.isEmpty():
+    while True:
         anchors = staged(left.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", (-F.col("top.doc")).alias("anchor")), "anchors")
+        if anchors.isEmpty():
+            break
         against = staged(left.join(anchors, "bucket").where("doc <> anchor"), "against")
         pairs = staged(against.select(F.col("doc").alias("a"), F.col("anchor").alias("b")).distinct(), "pairs")
         rated = staged(similar(pairs, multisets, threshold), "rated")
         good = rated.where("linked").select("a", "b", "similarity")
         done = good if done is None else done.unionAll(good)
+        compared, linked = rated.agg(F.count("*"), F.count_if("linked")).first()
+        if linked < LEAST_YIELD * compared:
+            break
         failed = rated.where("not linked").select(F.col("a").alias("doc"), F.col("b").alias("anchor"))
         left = staged(against.join(failed, ["doc", "anchor"]).select("bucket", "doc", "weight"), "left")
     return done if done is not None else spark.createDataFrame([], "a long, b long, similarity double")
