@@ -1,0 +1,92 @@
+"""Preprocessing of spectra: stateless rows, and transforms whose state is learned on training rows."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from prismlake.functions import rowlocal as R
+from prismlake.schema import to_long
+
+PRESETS = {
+    "mc": ("center",), "autoscaling": ("autoscale",), "snv": ("snv",), "snv_mc": ("snv", "center"), "msc_mc": ("msc", "center"), "sg_mc": ("savgol", "center"),
+    "snv_sg_mc": ("snv", "savgol", "center"), "msc_sg_mc": ("msc", "savgol", "center"),
+}
+
+
+def column_moments(spectra: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, population deviation) of every channel: one aggregation, two rows of p numbers back."""
+    m = to_long(spectra.select("x")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).toPandas().sort_values("j")
+    return m["m"].to_numpy(), m["s"].to_numpy()
+
+
+def truncate(spectra: DataFrame, wn: np.ndarray, lo: float, hi: float) -> tuple[DataFrame, np.ndarray]:
+    keep = np.flatnonzero((wn >= lo) & (wn <= hi))
+    if not len(keep):
+        raise ValueError(f"no channel lies in [{lo}, {hi}]")
+    index = F.lit([int(k) for k in keep])
+    return spectra.withColumn("x", F.transform(index, lambda i: F.get("x", i))), wn[keep]
+
+
+def interpolate(spectra: DataFrame, wn: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """Linear interpolation of every row to another axis, ends clamped: two taps for each grid point."""
+    kernel = np.zeros((len(wn), len(grid)))
+    order = np.argsort(wn)
+    for k, g in enumerate(grid):
+        at = int(np.clip(np.searchsorted(wn[order], g), 1, len(wn) - 1))
+        a, b = order[at - 1], order[at]
+        share = float(np.clip((g - wn[a]) / (wn[b] - wn[a]), 0, 1))
+        kernel[a, k] += 1 - share
+        kernel[b, k] += share
+    return spectra.withColumn("x", R.banded(F.col("x"), kernel))
+
+
+def fit_apply(train: DataFrame, other: DataFrame, steps: tuple[str, ...], window: int = 7) -> DataFrame:
+    """Learns the state of the steps on train and applies them to other."""
+    for step in steps:
+        if step == "snv":
+            f = lambda d: d.withColumn("x", R.snv(F.col("x")))
+        elif step == "l2":
+            f = lambda d: d.withColumn("x", R.l2_normalize(F.col("x")))
+        elif step == "savgol":
+            p = len(train.select("x").first()[0])
+            kernel = R.savgol_kernel(p, min(window, p - (p + 1) % 2))
+            f = lambda d, kernel=kernel: d.withColumn("x", R.banded(F.col("x"), kernel))
+        elif step in ("center", "autoscale", "msc"):
+            m, s = column_moments(train)
+            if step == "msc":
+                f = lambda d, m=m: d.withColumn("x", R.msc(F.col("x"), R.constants(m)))
+            else:
+                f = lambda d, m=m, s=s if step == "autoscale" else np.ones(len(m)): d.withColumn("x", R.affine(F.col("x"), R.constants(m), R.constants(s)))
+        else:
+            raise ValueError(f"unknown step {step!r}; known: snv, l2, savgol, center, autoscale, msc")
+        train, other = f(train), f(other)
+    return other
+
+
+def moving_average(long: DataFrame, half: int, key: str = "sample_id") -> DataFrame:
+    """Centred mean over 2 * half + 1 channels, zero-padded; edge values take the nearest full window's."""
+    w = Window.partitionBy(key).orderBy("j").rowsBetween(-half, half)
+    whole = Window.partitionBy(key)
+    s = long.withColumn("m", F.sum("v").over(w) / (2 * half + 1)).withColumn("last", F.max("j").over(whole))
+    first = F.max(F.when(F.col("j") == half, F.col("m"))).over(whole)
+    end = F.max(F.when(F.col("j") == F.col("last") - half, F.col("m"))).over(whole)
+    return s.select(key, "j", "v", F.when(F.col("j") < half, first).when(F.col("j") > F.col("last") - half, end).otherwise(F.col("m")).alias("smooth"))
+
+
+def snr_by_channel(long: DataFrame, half: int = 3) -> DataFrame:
+    """j, snr, useful: deviation of the smoothed signal over that of the residual, per channel, with the
+    noise floored at a thousandth of its median. Useful at 3 or more."""
+    s = moving_average(long, half).groupBy("j").agg(F.stddev_samp("smooth").alias("signal"), F.stddev_samp(F.col("v") - F.col("smooth")).alias("noise"))
+    floor = s.agg((F.percentile("noise", 0.5) * 1e-3).alias("floor"))
+    snr = F.col("signal") / F.greatest("noise", "floor")
+    return s.crossJoin(F.broadcast(floor)).select("j", snr.alias("snr"), (snr >= 3).alias("useful"))
+
+
+def regions(mask: DataFrame, flag: str) -> DataFrame:
+    """Runs of consecutive channels of which the flag is true: first, last, channels. One row per channel
+    goes in, so the ordered window is over the axis, never over samples."""
+    w = Window.orderBy("j")
+    run = F.sum(F.when(F.col(flag) != F.coalesce(F.lag(flag).over(w), ~F.col(flag)), 1).otherwise(0)).over(w)
+    return mask.withColumn("run", run).where(flag).groupBy("run").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.count("*").alias("channels")).drop("run")
