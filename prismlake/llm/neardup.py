@@ -25,8 +25,8 @@ from prismlake.llm.textkernel import Texts, first_of_equal, mix, over_texts
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Rounds of anchors end when under this share of a round's comparisons are links.
-LEAST_YIELD = 0.02
+#: Anchors of a bucket in a round, times those of the round before.
+SLOTS = 8
 
 
 def bag(t: Texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def signed(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key (128-bit hash of the lower-cased text), bands (null for a text without words)."""
+    """doc_id, text_key (128-bit hash of the lower-cased text), size (shingles), bands (null for a text without words)."""
 
     def sign(piece: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
@@ -90,10 +90,11 @@ def signed(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: i
         text_keys = [xxhash.xxh3_128_digest(t.data[a:b]) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         empty = pa.array(t.n_words == 0)
-        return pa.record_batch([piece.column(0), pa.array(text_keys, pa.binary()), pa.compute.if_else(empty, pa.scalar(None, lists.type), lists)], ["doc_id", "text_key", "bands"])
+        size = np.maximum(t.n_words - width + 1, np.minimum(t.n_words, 1))
+        return pa.record_batch([piece.column(0), pa.array(text_keys, pa.binary()), pa.array(size), pa.compute.if_else(empty, pa.scalar(None, lists.type), lists)], ["doc_id", "text_key", "size", "bands"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return over_texts(chosen, sign, "doc_id long, text_key binary, bands array<long>")
+    return over_texts(chosen, sign, "doc_id long, text_key binary, size long, bands array<long>")
 
 
 def bags(documents: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> DataFrame:
@@ -130,38 +131,51 @@ def similar(pairs: DataFrame, multisets: DataFrame, threshold: float = THRESHOLD
 
 
 def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """a, b, similarity: verified links between different texts, ids being the least doc_id of each text.
-
-    Members of a band bucket are compared with one anchor of it, the member whose buckets are fullest:
-    a row per member, never all pairs. Copies of one text differ from it less than from each other, so
-    the fullest member is the one that most of a bucket is linked to. Members that fail with their anchor
-    form the bucket anew and get another anchor, as long as a round links LEAST_YIELD of what it compares.
+    """a, b, similarity: verified links that connect all texts which a chain of links connects. Ids are the
+    least doc_id of each text.
+
+    Members of a band bucket are compared with anchors of it, never all with all. At first the anchor is
+    the member whose buckets are fullest, mostly the text that the others were copied from. An anchor
+    leaves its bucket when it has been compared with every member it is not connected to yet, and a bucket
+    ends when its members are connected. Every pair of a bucket is thus connected, compared, or ruled out
+    by sizes of which one is under the threshold times the other. Later rounds take their anchors from
+    outside of the bucket's largest component, SLOTS times as many as the round before, so that rounds
+    grow with the logarithm of what is left unconnected.
     """
     spark = documents.sparkSession
-    members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
-    members = staged(members.where("doc is not null").select("doc", F.explode("bands").alias("bucket")), "members")
+    members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    members = staged(members.where("doc is not null").select("doc", "size", F.explode("bands").alias("bucket")), "members")
     full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     left = staged(members.join(full, "bucket"), "bucketed")
     weight = staged(left.groupBy("doc").agg(F.sum("n").alias("weight")), "weights")
-    left = staged(left.join(weight, "doc").select("bucket", "doc", "weight"), "weighted")
-    ids = weight.select("doc")
-    wanted = bitmaps.build_ids(ids, "doc")
+    left = staged(left.join(weight, "doc").select("bucket", "doc", "size", "weight", F.col("doc").alias("part")), "weighted")
+    wanted = bitmaps.build_ids(weight.select("doc"), "doc")
     multisets = staged(bags(documents, wanted, width).dropDuplicates(["id"]), "bags")
-    done = None
-    while True:
-        anchors = staged(left.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc"))).alias("top"), F.count("*").alias("n")).where("n > 1").select("bucket", (-F.col("top.doc")).alias("anchor")), "anchors")
-        if anchors.isEmpty():
-            break
-        against = staged(left.join(anchors, "bucket").where("doc <> anchor"), "against")
-        pairs = staged(against.select(F.col("doc").alias("a"), F.col("anchor").alias("b")).distinct(), "pairs")
-        rated = staged(similar(pairs, multisets, threshold), "rated")
+    done = seen = None
+    slots = 1
+    while not left.isEmpty():
+        outside = left
+        if done is not None:
+            parts = left.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
+            outside = left.join(staged(parts, "largest"), "bucket").where("part <> largest")
+        best = F.max(F.struct("weight", (-F.col("doc")).alias("doc"), "size", "part")).alias("top")
+        anchors = outside.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(slots)).alias("slot")).agg(best)
+        anchors = staged(anchors.select("bucket", (-F.col("top.doc")).alias("anchor"), F.col("top.size").alias("its_size"), F.col("top.part").alias("its_part")), "anchors")
+        met = left.join(anchors, "bucket").where("part <> its_part").where(F.least("size", "its_size") >= threshold * F.greatest("size", "its_size") - 1e-9)
+        pairs = met.select(F.greatest("doc", "anchor").alias("a"), F.least("doc", "anchor").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        rated = staged(similar(staged(pairs, "pairs"), multisets, threshold), "rated")
+        failed = rated.where("not linked").select("a", "b")
+        seen = failed if seen is None else seen.unionAll(failed)
         good = rated.where("linked").select("a", "b", "similarity")
         done = good if done is None else done.unionAll(good)
-        compared, linked = rated.agg(F.count("*"), F.count_if("linked")).first()
-        if linked < LEAST_YIELD * compared:
-            break
-        failed = rated.where("not linked").select(F.col("a").alias("doc"), F.col("b").alias("anchor"))
-        left = staged(against.join(failed, ["doc", "anchor"]).select("bucket", "doc", "weight"), "left")
+        label = staged(components(done.select("a", "b")), "labels").withColumnRenamed("id", "doc")
+        rest = left.drop("part").join(anchors.select("bucket", F.col("anchor").alias("doc")), ["bucket", "doc"], "left_anti")
+        rest = staged(rest.join(label, "doc", "left").select("bucket", "doc", "size", "weight", F.coalesce("component", "doc").alias("part")), "rest")
+        mixed = staged(rest.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
+        left = staged(rest.join(mixed, "bucket"), "left")
+        slots *= SLOTS
     return done if done is not None else spark.createDataFrame([], "a long, b long, similarity double")
 
 
