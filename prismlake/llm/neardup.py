@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.llm import bitmaps
@@ -24,7 +24,11 @@ from prismlake.llm.textkernel import Texts, first_of_equal, mix, over_texts
 
 WIDTH = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
+#: At similarity 0.8 a pair shares a band with probability 0.99985, at 0.5 with 0.17.
+BANDS, ROWS = 48, 8
+#: Bits of each signature component that a sketch keeps, and the standard deviations under the expected
+#: number of equal ones at the threshold from which a pair is no longer compared in full.
+PLANES, DEVIATIONS = 4, 5
 #: Anchors of a bucket in a round, times those of the round before.
 SLOTS = 8
 
@@ -79,22 +83,42 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return key
 
 
+def sketches(values: np.ndarray) -> np.ndarray:
+    """PLANES bits of each component, a bit plane after the other, as 64-bit words (row by row)."""
+    v = mix(values.view(np.uint64))
+    short = -values.shape[1] % 64
+    planes = [np.pad(((v >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), ((0, 0), (0, short))) for p in range(PLANES)]
+    return np.concatenate([np.packbits(b, axis=1).view(np.uint64) for b in planes], axis=1)
+
+
+def may_be_similar(x: str, y: str, threshold: float, size: int) -> Column:
+    """Whether two sketches of `size` components leave it open that the similarity reaches the threshold."""
+    words = -(-size // 64)
+    differ = [" | ".join(f"({x}[{p * words + w}] ^ {y}[{p * words + w}])" for p in range(PLANES)) for w in range(words)]
+    equal = threshold + (1 - threshold) / 2**PLANES
+    most = size * (1 - equal) + DEVIATIONS * (size * equal * (1 - equal)) ** 0.5
+    return F.expr(" + ".join(f"bit_count({d})" for d in differ)) <= most
+
+
 def signed(documents: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key (128-bit hash of the lower-cased text), size (shingles), bands (null for a text without words)."""
+    """doc_id, text_key (128-bit hash of the lower-cased text), size (shingles), bands (null for a text without words), sketch."""
 
     def sign(piece: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
         t = Texts(piece.column(1), lower=True)
-        keys = band_keys(signatures(*bag(t, width), t.n, bands * rows), bands, rows)
+        values = signatures(*bag(t, width), t.n, bands * rows)
+        keys, short = band_keys(values, bands, rows), sketches(values)
         text_keys = [xxhash.xxh3_128_digest(t.data[a:b]) for a, b in zip(t.bounds[:-1], t.bounds[1:], strict=True)]
         lists = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
         empty = pa.array(t.n_words == 0)
         size = np.maximum(t.n_words - width + 1, np.minimum(t.n_words, 1))
-        return pa.record_batch([piece.column(0), pa.array(text_keys, pa.binary()), pa.array(size), pa.compute.if_else(empty, pa.scalar(None, lists.type), lists)], ["doc_id", "text_key", "size", "bands"])
+        sketch = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1) * short.shape[1], pa.int32()), pa.array(short.view(np.int64).ravel()))
+        columns = [piece.column(0), pa.array(text_keys, pa.binary()), pa.array(size), pa.compute.if_else(empty, pa.scalar(None, lists.type), lists), sketch]
+        return pa.record_batch(columns, ["doc_id", "text_key", "size", "bands", "sketch"])
 
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return over_texts(chosen, sign, "doc_id long, text_key binary, size long, bands array<long>")
+    return over_texts(chosen, sign, "doc_id long, text_key binary, size long, bands array<long>, sketch array<long>")
 
 
 def bags(documents: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> DataFrame:
@@ -130,38 +154,41 @@ def similar(pairs: DataFrame, multisets: DataFrame, threshold: float = THRESHOLD
     return both.select("a", "b", jaccard.alias("similarity"), (jaccard >= threshold).alias("linked"))
 
 
-def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, size: int = BANDS * ROWS) -> DataFrame:
     """a, b, similarity: verified links that connect all texts which a chain of links connects. Ids are the
     least doc_id of each text.
 
     Members of a band bucket are compared with anchors of it, never all with all. At first the anchor is
     the member whose buckets are fullest, mostly the text that the others were copied from. An anchor
     leaves its bucket when it has been compared with every member it is not connected to yet, and a bucket
-    ends when its members are connected. Every pair of a bucket is thus connected, compared, or ruled out
-    by sizes of which one is under the threshold times the other. Later rounds take their anchors from
+    ends when its members are connected. Every pair of a bucket is thus connected, compared, or ruled out:
+    by sizes of which one is under the threshold times the other, or by sketches that differ too much. Later rounds take their anchors from
     outside of the bucket's largest component, SLOTS times as many as the round before, so that rounds
     grow with the logarithm of what is left unconnected.
     """
     spark = documents.sparkSession
-    members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    members = staged(members.where("doc is not null").select("doc", "size", F.explode("bands").alias("bucket")), "members")
+    members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    texts = staged(members.where("doc is not null"), "distinct")
+    members = texts.select("doc", F.explode("bands").alias("bucket"))
     full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     left = staged(members.join(full, "bucket"), "bucketed")
     weight = staged(left.groupBy("doc").agg(F.sum("n").alias("weight")), "weights")
-    left = staged(left.join(weight, "doc").select("bucket", "doc", "size", "weight", F.col("doc").alias("part")), "weighted")
+    facts = staged(weight.join(texts.select("doc", "size", "sketch"), "doc"), "facts")
+    left = staged(left.join(facts, "doc").select("bucket", "doc", "size", "weight", "sketch", F.col("doc").alias("part")), "weighted")
     wanted = bitmaps.build_ids(weight.select("doc"), "doc")
     multisets = staged(bags(documents, wanted, width).dropDuplicates(["id"]), "bags")
-    done = seen = None
+    done = seen = label = None
     slots = 1
     while not left.isEmpty():
         outside = left
         if done is not None:
             parts = left.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
             outside = left.join(staged(parts, "largest"), "bucket").where("part <> largest")
-        best = F.max(F.struct("weight", (-F.col("doc")).alias("doc"), "size", "part")).alias("top")
+        best = F.max(F.struct("weight", (-F.col("doc")).alias("doc"), "size", "part", "sketch")).alias("top")
         anchors = outside.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(slots)).alias("slot")).agg(best)
-        anchors = staged(anchors.select("bucket", (-F.col("top.doc")).alias("anchor"), F.col("top.size").alias("its_size"), F.col("top.part").alias("its_part")), "anchors")
-        met = left.join(anchors, "bucket").where("part <> its_part").where(F.least("size", "its_size") >= threshold * F.greatest("size", "its_size") - 1e-9)
+        anchors = staged(anchors.select("bucket", (-F.col("top.doc")).alias("anchor"), F.col("top.size").alias("its_size"), F.col("top.part").alias("its_part"), F.col("top.sketch").alias("its_sketch")), "anchors")
+        sizes = F.least("size", "its_size") >= threshold * F.greatest("size", "its_size") - 1e-9
+        met = left.join(anchors, "bucket").where((F.col("part") != F.col("its_part")) & sizes & may_be_similar("sketch", "its_sketch", threshold, size))
         pairs = met.select(F.greatest("doc", "anchor").alias("a"), F.least("doc", "anchor").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -170,9 +197,11 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
         seen = failed if seen is None else seen.unionAll(failed)
         good = rated.where("linked").select("a", "b", "similarity")
         done = good if done is None else done.unionAll(good)
-        label = staged(components(done.select("a", "b")), "labels").withColumnRenamed("id", "doc")
-        rest = left.drop("part").join(anchors.select("bucket", F.col("anchor").alias("doc")), ["bucket", "doc"], "left_anti")
-        rest = staged(rest.join(label, "doc", "left").select("bucket", "doc", "size", "weight", F.coalesce("component", "doc").alias("part")), "rest")
+        rest = left.join(anchors.select("bucket", F.col("anchor").alias("doc")), ["bucket", "doc"], "left_anti")
+        if not good.isEmpty():
+            label = staged(components(done.select("a", "b")), "labels").withColumnRenamed("id", "doc")
+            rest = rest.join(label, "doc", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+        rest = staged(rest, "rest")
         mixed = staged(rest.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
         left = staged(rest.join(mixed, "bucket"), "left")
         slots *= SLOTS
@@ -189,7 +218,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD, width: int = WID
     """
     signs = staged(signed(documents, width, bands, rows), "signed")
     firsts = staged(signs.where("bands is not null and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("rep")), "reps")
-    found = links(documents, signs, threshold, width)
+    found = links(documents, signs, threshold, width, bands * rows)
     joined = staged(components(found.select("a", "b")), "components")
     named = signs.select("doc_id", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key"))
     rep = named.join(firsts, "text_key", "left")
