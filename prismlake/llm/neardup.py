@@ -28,7 +28,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 8
 #: Bits of each signature component that a sketch keeps, and the standard deviations under the expected
 #: number of equal ones at the threshold from which a pair is no longer compared in full.
-PLANES, DEVIATIONS = 4, 5
+PLANES, DEVIATIONS = 4, 4
 #: Anchors of a bucket in a round, times those of the round before.
 SLOTS = 8
 
@@ -146,65 +146,67 @@ def bags(documents: DataFrame, wanted: np.ndarray, width: int = WIDTH) -> DataFr
 
 
 def similar(pairs: DataFrame, multisets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) with their weighted Jaccard similarity and whether it reaches the threshold."""
+    """The pairs (a, b, and what else they have) with their weighted Jaccard similarity and whether it reaches the threshold."""
     a = multisets.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
     b = multisets.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
     both = pairs.join(b, "b").join(a, "a").withColumn("shared", F.size(F.array_intersect("bag_a", "bag_b")))
     jaccard = F.col("shared") / (F.size("bag_a") + F.size("bag_b") - F.col("shared"))
-    return both.select("a", "b", jaccard.alias("similarity"), (jaccard >= threshold).alias("linked"))
+    return both.select(*pairs.columns, jaccard.alias("similarity"), (jaccard >= threshold).alias("linked"))
 
 
 def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, size: int = BANDS * ROWS) -> DataFrame:
     """a, b, similarity: verified links that connect all texts which a chain of links connects. Ids are the
     least doc_id of each text.
 
-    Members of a band bucket are compared with anchors of it, never all with all. At first the anchor is
-    the member whose buckets are fullest, mostly the text that the others were copied from. An anchor
-    leaves its bucket when it has been compared with every member it is not connected to yet, and a bucket
-    ends when its members are connected. Every pair of a bucket is thus connected, compared, or ruled out:
-    by sizes of which one is under the threshold times the other, or by sketches that differ too much. Later rounds take their anchors from
-    outside of the bucket's largest component, SLOTS times as many as the round before, so that rounds
-    grow with the logarithm of what is left unconnected.
+    Members of a band bucket are compared with anchors of it, never all with all. At first anchors
+    are the members with the fullest buckets in every bucket they are in, mostly the texts that others were
+    copied from; an anchor of one bucket is an anchor of all its buckets, and leaves them when it has been compared with every member
+    it is not connected to yet. A bucket ends when its members are connected. Every pair of a bucket is
+    thus connected, compared (once, in the first bucket of the two), or ruled out: by sizes of which one is
+    under the threshold times the other, or by sketches that differ too much. Later rounds take their
+    anchors from outside of the bucket's largest component, SLOTS times as many as the round before, so
+    that rounds grow with the logarithm of what is left unconnected.
     """
     spark = documents.sparkSession
     members = signs.where("bands is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     texts = staged(members.where("doc is not null"), "distinct")
-    members = texts.select("doc", F.explode("bands").alias("bucket"))
+    members = texts.select("doc", F.posexplode("bands").alias("band", "bucket"))
     full = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     left = staged(members.join(full, "bucket"), "bucketed")
-    weight = staged(left.groupBy("doc").agg(F.sum("n").alias("weight")), "weights")
-    facts = staged(weight.join(texts.select("doc", "size", "sketch"), "doc"), "facts")
-    left = staged(left.join(facts, "doc").select("bucket", "doc", "size", "weight", "sketch", F.col("doc").alias("part")), "weighted")
-    wanted = bitmaps.build_ids(weight.select("doc"), "doc")
+    weight = left.groupBy("doc").agg(F.sum("n").alias("weight"))
+    facts = staged(weight.join(texts.select("doc", "size", "sketch", "bands"), "doc"), "facts")
+    wanted = bitmaps.build_ids(facts.select("doc"), "doc")
     multisets = staged(bags(documents, wanted, width).dropDuplicates(["id"]), "bags")
-    done = seen = label = None
-    slots = 1
+    left = staged(left.join(facts.select("doc", "weight"), "doc").select("bucket", "band", "doc", "weight", F.col("doc").alias("part")), "left")
+    done = None
+    slots = 0
     while not left.isEmpty():
         outside = left
         if done is not None:
             parts = left.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
-            outside = left.join(staged(parts, "largest"), "bucket").where("part <> largest")
-        best = F.max(F.struct("weight", (-F.col("doc")).alias("doc"), "size", "part", "sketch")).alias("top")
-        anchors = outside.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(slots)).alias("slot")).agg(best)
-        anchors = staged(anchors.select("bucket", (-F.col("top.doc")).alias("anchor"), F.col("top.size").alias("its_size"), F.col("top.part").alias("its_part"), F.col("top.sketch").alias("its_sketch")), "anchors")
+            outside = left.join(parts, "bucket").where("part <> largest")
+        best = outside.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(max(1, slots))).alias("slot")).agg(F.max(F.struct("weight", (-F.col("doc")).alias("doc")))["doc"].alias("doc"))
+        chosen = best.select("bucket", (-F.col("doc")).alias("doc"), F.lit(True).alias("leads"))
+        if done is None:
+            chosen = left.join(chosen, ["bucket", "doc"], "left").groupBy("doc").agg((F.count("leads") == F.count("*")).alias("leads")).where("leads")
+        anchors = staged(chosen.select("doc", "leads").distinct(), "anchors")
+        known = staged(left.join(facts.drop("weight"), "doc").join(anchors, "doc", "left"), "known")
+        own = known.where("leads").select("bucket", *(F.col(c).alias(f"its_{c}") for c in ("doc", "part", "size", "sketch", "bands")))
+        new = F.col("leads").isNull() | (F.col("doc") > F.col("its_doc"))
         sizes = F.least("size", "its_size") >= threshold * F.greatest("size", "its_size") - 1e-9
-        met = left.join(anchors, "bucket").where((F.col("part") != F.col("its_part")) & sizes & may_be_similar("sketch", "its_sketch", threshold, size))
-        pairs = met.select(F.greatest("doc", "anchor").alias("a"), F.least("doc", "anchor").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        rated = staged(similar(staged(pairs, "pairs"), multisets, threshold), "rated")
-        failed = rated.where("not linked").select("a", "b")
-        seen = failed if seen is None else seen.unionAll(failed)
-        good = rated.where("linked").select("a", "b", "similarity")
-        done = good if done is None else done.unionAll(good)
-        rest = left.join(anchors.select("bucket", F.col("anchor").alias("doc")), ["bucket", "doc"], "left_anti")
+        first = F.expr("not arrays_overlap(slice(bands, 1, band), slice(its_bands, 1, band))")
+        met = known.join(own, "bucket").where((F.col("part") != F.col("its_part")) & new & sizes & may_be_similar("sketch", "its_sketch", threshold, size) & first)
+        pairs = staged(met.select(F.col("doc").alias("a"), F.col("its_doc").alias("b"), "part", "its_part"), "pairs")
+        good = staged(similar(pairs, multisets, threshold).where("linked"), "linked")
+        done = good.select("a", "b", "similarity") if done is None else done.unionAll(good.select("a", "b", "similarity"))
+        rest = known.where("leads is null").select("bucket", "band", "doc", "weight", "part")
         if not good.isEmpty():
-            label = staged(components(done.select("a", "b")), "labels").withColumnRenamed("id", "doc")
-            rest = rest.join(label, "doc", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+            merged = staged(components(good.select("part", "its_part"), "part", "its_part"), "merged").withColumnRenamed("id", "part")
+            rest = rest.join(merged, "part", "left").select("bucket", "band", "doc", "weight", F.coalesce("component", "part").alias("part"))
         rest = staged(rest, "rest")
-        mixed = staged(rest.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket"), "mixed")
+        mixed = rest.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
         left = staged(rest.join(mixed, "bucket"), "left")
-        slots *= SLOTS
+        slots = slots * SLOTS or 1
     return done if done is not None else spark.createDataFrame([], "a long, b long, similarity double")
 
 
