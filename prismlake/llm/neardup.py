@@ -30,7 +30,7 @@ BANDS, ROWS = 48, 8
 #: number of equal ones at the threshold from which a pair is no longer compared in full.
 PLANES, DEVIATIONS = 4, 4
 #: Anchors of a bucket in a round, times those of the round before.
-SLOTS = 8
+SLOTS = 64
 
 
 def bag(t: Texts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
