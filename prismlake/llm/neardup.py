@@ -177,7 +177,7 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
     facts = staged(weight.join(texts.select("doc", "size", "sketch", "bands"), "doc"), "facts")
     wanted = bitmaps.build_ids(facts.select("doc"), "doc")
     multisets = staged(bags(documents, wanted, width).dropDuplicates(["id"]), "bags")
-    left = staged(left.join(facts.select("doc", "weight"), "doc").select("bucket", "band", "doc", "weight", F.col("doc").alias("part")), "left")
+    left = staged(left.join(facts.select("doc", "weight"), "doc").select("bucket", "band", "doc", "weight", F.col("doc").alias("part")), "left", (rows := left.count()))
     done = None
     slots = 0
     while not left.isEmpty():
@@ -189,8 +189,8 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
         chosen = best.select("bucket", (-F.col("doc")).alias("doc"), F.lit(True).alias("leads"))
         if done is None:
             chosen = left.join(chosen, ["bucket", "doc"], "left").groupBy("doc").agg((F.count("leads") == F.count("*")).alias("leads")).where("leads")
-        anchors = staged(chosen.select("doc", "leads").distinct(), "anchors")
-        known = staged(left.join(facts.drop("weight"), "doc").join(anchors, "doc", "left"), "known")
+        anchors = staged(chosen.select("doc", "leads").distinct(), "anchors", rows)
+        known = staged(left.join(facts.drop("weight"), "doc").join(anchors, "doc", "left"), "known", rows)
         own = known.where("leads").select("bucket", *(F.col(c).alias(f"its_{c}") for c in ("doc", "part", "size", "sketch", "bands")))
         new = F.col("leads").isNull() | (F.col("doc") > F.col("its_doc"))
         sizes = F.least("size", "its_size") >= threshold * F.greatest("size", "its_size") - 1e-9
@@ -201,11 +201,11 @@ def links(documents: DataFrame, signs: DataFrame, threshold: float = THRESHOLD,
         done = good.select("a", "b", "similarity") if done is None else done.unionAll(good.select("a", "b", "similarity"))
         rest = known.where("leads is null").select("bucket", "band", "doc", "weight", "part")
         if not good.isEmpty():
-            merged = staged(components(good.select("part", "its_part"), "part", "its_part"), "merged").withColumnRenamed("id", "part")
+            merged = staged(components(good.select("part", "its_part"), "part", "its_part"), "merged", rows).withColumnRenamed("id", "part")
             rest = rest.join(merged, "part", "left").select("bucket", "band", "doc", "weight", F.coalesce("component", "part").alias("part"))
-        rest = staged(rest, "rest")
+        rest = staged(rest, "rest", rows)
         mixed = rest.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-        left = staged(rest.join(mixed, "bucket"), "left")
+        left = staged(rest.join(mixed, "bucket"), "left", rows)
         slots = slots * SLOTS or 1
     return done if done is not None else spark.createDataFrame([], "a long, b long, similarity double")
 

@@ -19,10 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of narrow tables that are worth a task, and the tasks that any table may have.
+ROWS_A_TASK, LEAST_TASKS = 20_000, 12
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost
-    executor costs no recomputation of what stands before."""
+    executor costs no recomputation of what stands before. rows: a known bound on its rows, for tables of
+    which a few rows only may be left, so that they are not dealt over many empty tasks and files."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))
     path = f"{shared_dir(spark)}/prismlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -34,30 +41,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Alternates large-star and small-star steps; every step is a grouped minimum (partially aggregated
     before its shuffle) and a join, so one component with most of the nodes stays spread over tasks.
     Links to lower ids only are kept between rounds and each round's table is written to the shared
-    folder. Ends when a round changes nothing.
+    folder. Ends when every node that has a lower neighbour has one only, and that has none.
     """
     spark = edges.sparkSession
     links = staged(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), "links"
     )
-    if links.isEmpty():
+    n = links.count()
+    if not n:
         return spark.createDataFrame([], "id long, component long")
-    signature = None
     for _ in range(max_rounds):
         # large star: each node's higher neighbours go to its least neighbour (or itself)
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         # the minima are written first, so that the join below stands on two plain exchanges, which
         # adaptive execution can split where one node has most of the links
-        least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-        large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        least = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), (F.count("*") > 1).alias("many")), "least", 2 * n)
+        # stars already: no node that has a least neighbour below it has another neighbour, and vice versa
+        if least.where("m < u and many").isEmpty():
+            break
+        large = staged(both.where("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large", n)
         # small star: each node's lower neighbours, and itself, go to its least neighbour
-        low = staged(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        low = staged(large.groupBy("hi").agg(F.min("lo").alias("m")), "low", n)
         small = large.join(low, "hi")
         links = staged(
-            small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "links"
+            small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low.select("hi", F.col("m").alias("lo"))).distinct(), "links", 2 * n
         )
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(now) == signature:
-            break
-        signature = tuple(now)
+    else:
+        raise RuntimeError(f"components: not connected after {max_rounds} rounds")
     return links.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id").unionAll(links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
