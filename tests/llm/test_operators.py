@@ -351,3 +351,45 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DIR).toPandas()
     assert set(packed["doc_id"]) == want
     assert packed.groupby("sequence_id")["length"].sum().max() <= 1024
+
+
+def _brute_passages(x, y, least, t):
+    """Places of x in any passage that begins and ends with the same shingles as one of y."""
+    inside = np.zeros(len(x), bool)
+    for a in range(len(x)):
+        for c in np.flatnonzero(y == x[a]):
+            for b in range(a + least, len(x) + 1):
+                for d in np.flatnonzero(y == x[b - 1]) + 1:
+                    if d - c >= least:
+                        p, q = set(x[a:b].tolist()), set(y[c:d].tolist())
+                        if len(p & q) >= t * len(p | q) - 1e-9:
+                            inside[a:b] = True
+    return inside
+
+
+@pytest.mark.parametrize("words, edits", [(55, [27]), (60, [30]), (84, [42]), (84, [20, 60]), (200, [40, 80, 120, 160])])
+@pytest.mark.parametrize("insert", [False, True])
+def test_passages_with_edits(words, edits, insert):
+    rng = np.random.default_rng(words)
+    one = rng.integers(0, 10**9, words).tolist()
+    two = list(one)
+    for e in reversed(edits):
+        two[e : e + (not insert)] = [-e]
+    noise = lambda: rng.integers(10**9, 2 * 10**9, 20).tolist()
+    x, y = (np.array([hash(tuple(v[i : i + 5])) for i in range(len(v) - 4)]) for v in (noise() + one + noise(), noise() + two + noise()))
+    got = np.zeros(len(x), bool)
+    for a, b, c, d in substring.aligned(x, y, 46, 0.8):
+        p, q = set(x[a:b].tolist()), set(y[c:d].tolist())
+        assert min(b - a, d - c) >= 46 and len(p & q) >= 0.8 * len(p | q) - 1e-9
+        got[a:b] = True
+    assert got.tolist() == _brute_passages(x, y, 46, 0.8).tolist()
+    if not insert and edits != [27]:
+        assert got.sum() >= words - 4
+
+
+def test_regions_meet_whatever_their_order():
+    import pyarrow as pa
+
+    w = [{"al": 0, "ar": 60, "bl": 0, "br": 60, "k": 1}, {"al": 5, "ar": 140, "bl": 5, "br": 140, "k": 0}, {"al": 1, "ar": 50, "bl": 90, "br": 140, "k": 1}]
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([1]), pa.array([2]), pa.array([w])], ["a", "b", "part", "its_part", "w"])
+    assert [r["regions"] for b in substring._overlaps(iter([batch]), 2, 46) for r in b.to_pylist()] == [[{"al": 0, "ar": 140, "bl": 0, "br": 140}]]
