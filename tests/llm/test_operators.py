@@ -393,3 +393,13 @@ def test_regions_meet_whatever_their_order():
     w = [{"al": 0, "ar": 60, "bl": 0, "br": 60, "k": 1}, {"al": 5, "ar": 140, "bl": 5, "br": 140, "k": 0}, {"al": 1, "ar": 50, "bl": 90, "br": 140, "k": 1}]
     batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([1]), pa.array([2]), pa.array([w])], ["a", "b", "part", "its_part", "w"])
     assert [r["regions"] for b in substring._overlaps(iter([batch]), 2, 46) for r in b.to_pylist()] == [[{"al": 0, "ar": 140, "bl": 0, "br": 140}]]
+
+
+def test_passages_with_every_other_text(spark):
+    # all quote 60 words, and two of them the 35 that follow as well
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{v}" for v in rng.integers(0, 10**9, n)]
+    anchor, own = words(60), words(35)
+    texts = [words(40) + anchor + words(40) for _ in range(6)] + [words(40) + anchor + own + words(40) for _ in range(2)]
+    got = {r["doc_id"]: r for r in substring.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert {k: (r["passages"], r["n_links"]) for k, r in got.items()} == {k: ("40:100" if k < 6 else "40:135", 7) for k in range(8)}
