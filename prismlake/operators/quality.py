@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,25 @@ def exact_duplicates(spectra: DataFrame) -> DataFrame:
     return n.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"), (F.sum("n") - F.count("*")).alias("n_copies"))
 
 
-def near_duplicates(spectra: DataFrame, least: float = 0.99995, most_rows: int = 500) -> DataFrame:
-    """Pairs a < b with a correlation above `least`; only for sets of at most most_rows rows (no pairs
-    otherwise), so its all-against-all comparison has a fixed bound."""
-    n = spectra.limit(most_rows + 1).count()
+def near_duplicates(spectra: DataFrame, least: float = 0.99995, directions: int = 3) -> DataFrame:
+    """Pairs a < b with a correlation above `least`, over all rows.
+
+    Unit rows of that correlation are less than sqrt(2 - 2 least) apart, and so are their projections on
+    any unit direction. One side stands in its cell of a grid over a few projections, the other in all cells
+    that this distance reaches: no pair is missed, and each meets in one cell."""
+    first = spectra.select("x").first()
+    p = len(first[0]) if first else 1
+    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
+    g = np.random.default_rng(0).standard_normal((directions, p))
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
     u = spectra.select("sample_id", R.l2_normalize(R.snv(F.col("x"))).alias("x"))
-    u = u.limit(0) if n > most_rows else u
-    a, b = u.select(F.col("sample_id").alias("a"), F.col("x").alias("xa")), u.select(F.col("sample_id").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", R.dot(F.col("xa"), F.col("xb")).alias("r")).where(F.col("r") > least)
+    u = u.withColumns({f"p{k}": R.dot(F.col("x"), R.constants(v)) / (2 * reach) for k, v in enumerate(g)})
+    cells = [f"c{k}" for k in range(directions)]
+    a = u.select(F.col("sample_id").alias("a"), F.col("x").alias("xa"), *(F.floor(f"p{k}").alias(c) for k, c in enumerate(cells)))
+    b = u.select(F.col("sample_id").alias("b"), F.col("x").alias("xb"), *(f"p{k}" for k in range(directions)))
+    for k, c in enumerate(cells):
+        b = b.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"p{k}") - 0.5), F.floor(F.col(f"p{k}") + 0.5))))
+    return a.join(b, cells).where("a < b").select("a", "b", R.dot(F.col("xa"), F.col("xb")).alias("r")).where(F.col("r") > least)
 
 
 def class_balance(spectra: DataFrame, worst: float = 5.0) -> DataFrame:

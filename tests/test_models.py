@@ -178,3 +178,14 @@ def test_scoring_in_batch_and_stream(spark, spectra, tmp_path):
     assert spark.table("scored").where("predicted = label").count() == 90
     with pytest.raises(ValueError):
         scoring.score(spectra, {k: v for k, v in package.items() if k != "q_limit"})
+
+
+def test_near_duplicates_of_many_rows(spark):
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((700, 20))
+    x[600:] = x[:100] + rng.standard_normal((100, 20)) * np.linspace(0.001, 0.02, 100)[:, None]
+    for least in (0.99995, 0.9):
+        r = np.corrcoef(x)
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(r > least, 1)), strict=True)}
+        got = [(r["a"], r["b"]) for r in quality.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "sample_id long, x array<double>"), least).collect()]
+        assert len(got) == len(want) and set(got) == want and want
