@@ -20,16 +20,14 @@ from prismlake.llm.staging import staged
 from prismlake.llm.textkernel import Texts, over_texts, segment_sum, sliced
 
 BUCKETS = 1 << 14
-#: Languages at most: with BUCKETS, the bound of the model's size.
-MOST_LANGUAGES = 64
-#: Declared languages and suffixes, each, whose counts reach the driver.
-MOST_NAMES = 1000
 #: Trigrams of a text are no independent witnesses: so many count in full, and the rest not at all.
 WITNESSES = 40.0
 #: Pseudo-counts of each level of the host prior, drawn from the level above.
 STRENGTH = 5.0
 
 _TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: What may stand before the html tag and hold another one, or the tag itself.
+_HEAD = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<html\b[^>]*", re.S | re.I)
 _DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 
 
@@ -54,11 +52,10 @@ class TextModel:
         return total / np.maximum(n, 1)[:, None] * np.minimum(n, WITNESSES)[:, None]
 
 
-def fit_text(documents: DataFrame, most: int = MOST_LANGUAGES) -> TextModel:
-    """Counts trigrams by language over every document that declares one. The model has at most
-    most x BUCKETS numbers; rarer languages than the `most` commonest are left out."""
-    names = [r[0] for r in documents.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
-    names.sort()
+def fit_text(documents: DataFrame) -> TextModel:
+    """Counts trigrams by language over every document that declares one. The model has BUCKETS numbers
+    for each language, and every language is in it."""
+    names = sorted(r[0] for r in documents.where("lang is not null").select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +80,15 @@ def plain_text(html: str) -> str:
     return re.sub(r"[\x20\x09-\x0D]+", " ", _TAGS.sub(" ", html)).strip()
 
 
+def declared_language(html: str) -> str | None:
+    """The language of the first html tag outside of comments and scripts, wherever it stands."""
+    for m in _HEAD.finditer(html):
+        if m.group()[:5].lower() == "<html":
+            told = _DECLARED.match(m.group())
+            return told.group(1).lower() if told else None
+    return None
+
+
 def _witness(rows: DataFrame, model: TextModel) -> DataFrame:
     """kind, id, host, suffix, declared, evidence (log likelihood per language), first (the likeliest)."""
 
@@ -92,8 +98,7 @@ def _witness(rows: DataFrame, model: TextModel) -> DataFrame:
         texts, declared = [], []
         for kind, text in zip(kinds, column["text"].to_pylist(), strict=True):
             page = kind == "page"
-            m = _DECLARED.search(text, 0, 4096) if page and text else None
-            declared.append(m.group(1).lower() if m else None)
+            declared.append(declared_language(text) if page and text else None)
             texts.append(plain_text(text) if page and text else text)
         t = Texts(pa.array(texts, pa.string()), lower=True)
         like = model.log_likelihood(t)
@@ -125,43 +130,45 @@ def identify(documents: DataFrame, pages: DataFrame, model: TextModel | None = N
     known = seen.where("first is not null")
     tally = lambda *keys: known.groupBy(*keys).agg(*(F.sum((F.col("first") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(languages)))
 
-    total = sum((F.col(f"n{i}") for i in range(1, len(languages))), F.col("n0"))
-    # small tables with a fixed bound: the commonest declared languages and suffixes; rarer ones count as unknown
-    most = lambda counts, key: counts.where(F.col(key).isNotNull()).orderBy(F.desc(total), key).limit(MOST_NAMES)
     overall = np.array(tally(F.lit(1)).drop("1").first() or [0.0] * len(languages), float)[-len(languages) :]
     prior = (overall + 1) / (overall + 1).sum()
-    declared = _table(most(tally("declared"), "declared"), "declared", languages)
-    suffixes = _table(most(tally("suffix"), "suffix"), "suffix", languages)
+    # a row per declared language and per suffix: joined; only their totals are collected
+    array = F.array(*(F.col(f"n{i}") for i in range(len(languages))))
+    by_declared = staged(tally("declared").where("declared is not null").select("declared", array.alias("declared_n")), "by_declared")
+    by_suffix = staged(tally("suffix").where("suffix is not null").select("suffix", array.alias("suffix_n")), "by_suffix")
+    declared_total, suffix_total = _totals(by_declared, "declared_n", languages), _totals(by_suffix, "suffix_n", languages)
 
-    def likelihood(table: dict[str, np.ndarray], name: str | None) -> np.ndarray:
+    def likelihood(total: np.ndarray, name: str | None, n: list[float] | None) -> np.ndarray:
         """p(name | language) with one pseudo-count for each name and one for unknown ones."""
         if name is None:
             return np.zeros(len(languages))
-        total = sum(table.values(), np.zeros(len(languages))) + len(table) + 1
-        return np.log((table.get(name, np.zeros(len(languages))) + 1) / total)
+        return np.log(((0.0 if n is None else np.asarray(n, float)) + 1) / total)
 
     # the host prior needs a row per host: levels are joined, never collected
-    array = F.array(*(f"n{i}" for i in range(len(languages))))
     by_host = staged(known.groupBy("kind", "host").agg(F.first("domain").alias("domain"), F.first("suffix").alias("suffix"), *(F.sum((F.col("first") == x).cast("double")).alias(f"n{i}") for i, x in enumerate(languages))).select("kind", "host", "domain", "suffix", array.alias("host_n")), "by_host")
     by_domain = staged(tally("domain").where("domain is not null").select("domain", array.alias("domain_n")), "by_domain")
     counts = staged(by_host.join(by_domain, "domain", "left").select("kind", "host", "host_n", "domain_n"), "host_counts")
-    joined = seen.join(counts, ["kind", "host"], "left")
+    of_host = seen.where("suffix is not null").select("kind", "host", "suffix").distinct().join(by_suffix, "suffix").select("kind", "host", "suffix_n")
+    joined = seen.join(staged(counts.join(of_host, ["kind", "host"], "full"), "host_all"), ["kind", "host"], "left")
+    # most rows declare nothing: they don't go to one task of the join
+    told = joined.where("declared is not null").join(by_declared, "declared", "left")
+    joined = told.unionByName(joined.where("declared is null").withColumn("declared_n", F.lit(None).cast("array<double>")))
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             lang, probability = [], []
-            for kind, first, told, suffix, evidence, host_n, domain_n in zip(*(column[n].to_pylist() for n in ("kind", "first", "declared", "suffix", "evidence", "host_n", "domain_n")), strict=True):
+            for kind, first, told, suffix, evidence, host_n, domain_n, declared_n, suffix_n in zip(*(column[n].to_pylist() for n in ("kind", "first", "declared", "suffix", "evidence", "host_n", "domain_n", "declared_n", "suffix_n")), strict=True):
                 belief = prior
                 own = np.array([x == first for x in languages], float)  # a row is no evidence about itself
-                levels = [suffixes.get(suffix) if suffix else None, domain_n, host_n]
+                levels = [suffix_n if suffix else None, domain_n, host_n]
                 for n in levels:
                     if n is not None:
                         n = np.maximum(np.asarray(n, float) - own, 0)
                         belief = (n + STRENGTH * belief) / (n.sum() + STRENGTH)
-                z = np.log(belief) + np.asarray(evidence) + likelihood(declared, told)
+                z = np.log(belief) + np.asarray(evidence) + likelihood(declared_total, told, declared_n)
                 if kind == "page":
-                    z = z + likelihood(suffixes, suffix)
+                    z = z + likelihood(suffix_total, suffix, suffix_n)
                 p = np.exp(z - z.max())
                 p /= p.sum()
                 lang.append(languages[int(p.argmax())])
@@ -176,5 +183,7 @@ def _ids():
     return F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"), F.when(F.col("kind") == "page", F.col("id")).alias("page_id")
 
 
-def _table(counts: DataFrame, key: str, languages: list[str]) -> dict[str, np.ndarray]:
-    return {r[key]: np.array([r[f"n{i}"] for i in range(len(languages))], float) for r in counts.collect()}
+def _totals(counts: DataFrame, column: str, languages: list[str]) -> np.ndarray:
+    """Per language, the counts of all names, and one for each name and one for unknown ones: one row."""
+    r = counts.agg(F.count("*"), *(F.sum(F.get(column, F.lit(i))) for i in range(len(languages)))).first()
+    return np.array([v or 0.0 for v in r[1:]], float) + r[0] + 1

@@ -403,3 +403,13 @@ def test_passages_with_every_other_text(spark):
     texts = [words(40) + anchor + words(40) for _ in range(6)] + [words(40) + anchor + own + words(40) for _ in range(2)]
     got = {r["doc_id"]: r for r in substring.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()}
     assert {k: (r["passages"], r["n_links"]) for k, r in got.items()} == {k: ("40:100" if k < 6 else "40:135", 7) for k in range(8)}
+
+
+def test_language_drops_no_name(spark):
+    assert language.declared_language("<!-- " + "x" * 9000 + '<html lang="de"> --><script>' + "y" * 9000 + '</script><HTML class=a lang="PT-br">') == "pt"
+    assert language.declared_language("<html><p>a</p><html lang=fr>") is None
+    assert language.fit_text(spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(70)], "text string, lang string")).log_prob.shape[0] == 70
+    documents = spark.createDataFrame([(1, "aaaa aaaa aaaa", "s", "a"), (2, "bbbb bbbb bbbb", "s", "b")], "doc_id long, text string, source string, lang string")
+    pages = [(i, f"http://h{i % 4}.c{i // 4}/", "aaaa aaaa") for i in range(4 * 1001)] + [(5000 + i, f"http://h{i}.zz/", "bbbb bbbb") for i in range(3)] + [(6000, "http://other.zz/", None)]
+    got = {r["page_id"]: r["lang"] for r in language.identify(documents, spark.createDataFrame(pages, "page_id long, url string, html string")).where("kind = 'page'").collect()}
+    assert len(got) == len(pages) and got[6000] == "b" and got[5000] == "b" and got[0] == "a"
