@@ -1,7 +1,8 @@
-"""Fixed-size bitmaps of 64-bit keys: a filter of proven size that tasks apply before a shuffle.
+"""Bitmaps of 64-bit keys: a filter of bounded size that tasks apply before a shuffle.
 
 A bitmap may pass a key that was never put in (the join after it is exact) but never drops one that
-was. Its size does not depend on the data.
+was. It has SPARE bits for each key, so that about one foreign key in SPARE passes, up to 2**MOST_BITS
+bits (32 MB): beyond that many keys it is as right as before, but holds back less.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOG_BITS = 25
+LEAST_BITS, MOST_BITS, SPARE = 16, 28, 16
 
 
-def build(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
-    """Bytes of the bitmap of all values of a long column; 2**(log_bits - 3) bytes, gathered by grouped
-    bit-or: at most 2**(log_bits - 6) rows reach the driver."""
+def build(keys: DataFrame, column: str, log_bits: int | None = None) -> np.ndarray:
+    """Bytes of the bitmap of all values of a long column, gathered by grouped bit-or: no more rows reach
+    the driver than there are keys, or than 2**(log_bits - 6). The size comes from a count of the keys."""
+    if log_bits is None:
+        log_bits = min(MOST_BITS, max(LEAST_BITS, (SPARE * keys.count()).bit_length()))
     slots = keys.where(F.col(column).isNotNull()).select(F.shiftrightunsigned(F.col(column), 64 - log_bits).alias("slot"))
     words = slots.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    got = words.toPandas()
+    got = words.toArrow()
     table = np.zeros(1 << (log_bits - 6), np.int64)
-    table[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.view(np.uint8)
 
 
@@ -30,7 +33,7 @@ def probe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def build_ids(ids: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
+def build_ids(ids: DataFrame, column: str, log_bits: int | None = None) -> np.ndarray:
     """build() for plain ids, which textkernel.mix spreads first; probe with mix(ids)."""
     from collections.abc import Iterator
 
