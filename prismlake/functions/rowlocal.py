@@ -33,7 +33,9 @@ def l2_normalize(x: Column) -> Column:
 
 
 def constants(values: np.ndarray) -> Column:
-    return F.lit([float(v) for v in values])
+    """Numbers as one literal: the text of them is split and cast when the plan is optimised, so that a plan
+    has one node for any number of channels."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in np.asarray(values).ravel())), ",").cast("array<double>")
 
 
 def msc(x: Column, reference: Column) -> Column:
@@ -75,10 +77,14 @@ def savgol_kernel(p: int, window: int = 7, poly: int = 2, deriv: int = 1) -> np.
 
 
 def banded(x: Column, kernel: np.ndarray) -> Column:
-    """x K for a matrix with few non-zeros in a column, as one expression over literal taps."""
-    taps = [[(int(i), float(kernel[i, j])) for i in np.flatnonzero(kernel[:, j])] for j in range(kernel.shape[1])]
-    table = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in t)) for t in taps))
-    return F.transform(table, lambda t: F.aggregate(t, F.lit(0.0), lambda a, s: a + F.get(x, s["i"]) * s["w"]))
+    """x K for a matrix whose columns have their non-zeros close together: each output is the product of a
+    slice of x and a slice of one literal of weights, so the expression has one size for any width."""
+    p, outputs = kernel.shape
+    spans = [np.flatnonzero(kernel[:, j]) for j in range(outputs)]
+    width = max((int(s[-1] - s[0]) + 1 for s in spans if len(s)), default=1)
+    starts = [min(int(s[0]) if len(s) else 0, p - width) for s in spans]
+    weights = constants(np.concatenate([kernel[a : a + width, j] for j, a in enumerate(starts)]))
+    return F.transform(constants(np.array(starts)).cast("array<int>"), lambda a, j: dot(F.slice(x, a + 1, F.lit(width)), F.slice(weights, j * width + 1, F.lit(width))))
 
 
 def finite(x: Column) -> Column:
@@ -93,3 +99,9 @@ def softmax(x: Column) -> Column:
     top = F.array_max(x)
     e = F.transform(x, lambda v: F.exp(v - top))
     return F.transform(e, lambda v: v / total(e))
+
+
+def clip_normalize(x: Column) -> Column:
+    """Scores cut to [0, 1] over their sum; all zero stays zero. Another rule than softmax, for scoring."""
+    cut = F.transform(x, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    return F.element_at(F.transform(F.array(total(cut)), lambda s: F.transform(cut, lambda v: F.when(s > 0, v / s).otherwise(0.0))), 1)

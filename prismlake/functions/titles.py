@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Title format: CODE-DD-MM-YYYY[-AD-{A,M,S}-PCT%]-T{1,2,3}.
-TITLE = r"^([A-Za-z]{2,4})-(\d{2}-\d{2}-\d{4})(?:-AD-([AMS])-(\d+(?:[.,]\d+)?)%{1,2})?-T([123])$"
+#: The title format. CODE-DD-MM-YYYY[-AD-{A,M,S}-PCT%]-T{1,2,3}: outer blanks, underscores for
+#: the hyphens before date, AD and T, no separator before T, T_1 for T1 and a doubled percent sign are read too.
+TITLE = r"^\s*([A-Z]{2,4})[-_](\d{2}-\d{2}-\d{4})(?:[-_]AD-([AMS])-(\d+(?:[.,]\d+)?)%%?)?[-_]?T_?([123])\s*$"
 
 
 def parse_title(title: Column) -> dict[str, Column]:
     """code, date, adulterant, content, replicate, valid and group_id of a title; nulls where it doesn't fit.
 
-    The content is percent with comma or dot; an adulterated title of content 0 or less is invalid."""
+    The content is percent with comma or dot; an adulterated title of content 0 or less is invalid. The group
+    is code and date, of an adulterated sample also its letter and its content with two decimals."""
     got = lambda k: F.nullif(F.regexp_extract(title, TITLE, k), F.lit(""))
     content = F.regexp_replace(got(4), ",", ".").cast("double")
     valid = F.coalesce(got(1).isNotNull() & (got(3).isNull() | (content > 0)), F.lit(False))
     pick = lambda c: F.when(valid, c)
-    key = F.concat_ws("-", F.upper(got(1)), got(2), F.when(got(3).isNotNull(), F.concat(got(3), F.format_string("%.2f", content))).otherwise("P"))
-    return {"code": pick(F.upper(got(1))), "date": pick(got(2)), "adulterant": pick(got(3)), "content": pick(content), "replicate": pick(got(5).cast("int")), "valid": valid, "group_id": pick(key)}
+    key = F.concat_ws("-", got(1), got(2), F.when(got(3).isNotNull(), F.concat(got(3), F.format_string("%.2f", content))))
+    return {"code": pick(got(1)), "date": pick(got(2)), "adulterant": pick(got(3)), "content": pick(content), "replicate": pick(got(5).cast("int")), "valid": valid, "group_id": pick(key)}
 
 
 def adulterant_of(group_id: Column) -> Column:
@@ -38,3 +40,8 @@ def slug(text: Column) -> Column:
 def normal_label(text: Column) -> Column:
     """Labels of file records compare without space, hyphen, underscore and slash, in upper case."""
     return F.upper(F.regexp_replace(text, r"[\s\-_/]", ""))
+
+
+def metric_in(text: Column, name: str) -> Column:
+    """The number after `name:` or `name =` at the start of a line of a summary, whatever the case."""
+    return F.nullif(F.regexp_extract(text, rf"(?im)^\s*{name}\s*[:=]\s*([+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)", 1), F.lit("")).cast("double")

@@ -1,8 +1,9 @@
 """Sufficient statistics of wide data: n, sums and cross products of [x, y] by group, in one pass.
 
-Each task adds its rows into one dense matrix per group and emits it by rows; the matrices of all tasks
-are added by a grouped sum. Only (p + k) x (p + k) numbers per group reach the driver, whatever the
-number of samples; folds, fits, error sums and subsets of channels come from these alone.
+Each task adds its rows into one dense matrix per group and emits the rows of its upper triangle as
+arrays; these are dealt by (group, row) and added as they stream in. Only half of (p + k) x (p + k) numbers
+per group reach the driver, whatever the number of samples; folds, fits, error sums and subsets of channels
+come from these alone.
 """
 
 from __future__ import annotations
@@ -52,19 +53,45 @@ def moments(rows: DataFrame, group: str, x: str = "x", y: str = "y") -> dict[str
                 part = z[g == k]
                 sums[k] = sums.get(k, 0) + part.T @ part
         for k, m in sums.items():
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(m), pa.int32()), pa.array(m.ravel()))
+            size = np.arange(len(m), 0, -1)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(m[np.triu_indices(len(m))]))
             yield pa.record_batch([pa.array([k] * len(m)), pa.array(np.arange(len(m)), pa.int32()), flat], ["g", "i", "row"])
 
-    parts = rows.select(F.col(group).cast("string").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).mapInArrow(add, "g string, i int, row array<double>")
-    summed = parts.select("g", "i", F.posexplode("row").alias("j", "v")).groupBy("g", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    schema = "g string, i int, row array<double>"
+    parts = rows.select(F.col(group).cast("string").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).mapInArrow(add, schema)
+    summed = added(parts, ["g", "i"], schema).toArrow()
+    rows_of: dict[str, dict[int, np.ndarray]] = {}
+    values, ends = summed["row"].combine_chunks(), summed["row"].combine_chunks().offsets.to_numpy()
+    flat = values.values.to_numpy()
+    for n, (k, i) in enumerate(zip(summed["g"].to_pylist(), summed["i"].to_pylist(), strict=True)):
+        rows_of.setdefault(k, {})[i] = flat[ends[n] : ends[n + 1]]
     out = {}
-    for k, t in summed.groupby("g"):
-        size = int(t["i"].max()) + 1
-        m = np.zeros((size, size))
-        m[t["i"], t["j"]] = t["v"]
+    for k in sorted(rows_of):
+        m = np.zeros((len(rows_of[k]),) * 2)
+        for i, r in rows_of[k].items():
+            m[i, i:] = m[i:, i] = r
         out[k] = Moments(m[0, 0], m[0, 1:], m[1:, 1:])
     return out
 
 
+def added(parts: DataFrame, keys: list[str], schema: str, column: str = "row") -> DataFrame:
+    """The arrays of equal keys added place by place. Rows are dealt by their keys and added as they come, so
+    that a task holds one array for each of its keys."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(column))
+            flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for n, key in enumerate(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys), strict=True)):
+                part = flat[at[n] : at[n + 1]]
+                sums[key] = sums[key] + part if key in sums else part.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], kinds[i]) for i in range(len(keys))), pa.array(list(sums.values()), pa.list_(pa.float64()))], [*keys, column])
+
+    kinds = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[dict(parts.dtypes)[k]] for k in keys]
+    return parts.select(*keys, column).repartition(*keys).mapInArrow(add, schema)
+
+
 def one_hot(label: str, classes: list[str]):
     return F.array(*(F.when(F.col(label) == c, 1.0).otherwise(0.0) for c in classes))

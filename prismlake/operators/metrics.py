@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismlake.functions.ordering import by_number
+
 
 def nearest_centroid(spectra: DataFrame) -> DataFrame:
     """sample_id, label, predicted: the class whose mean spectrum is nearest (ties: lowest label). The
@@ -22,6 +24,15 @@ def confusion(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
+def confusion_table(pairs: DataFrame) -> DataFrame:
+    """label, predicted, n, share of the label's rows: all cells of the classes that occur, zero ones too."""
+    classes = pairs.select(F.col("label").alias("c")).union(pairs.select("predicted")).where("c is not null").distinct()
+    cells = classes.select(F.col("c").alias("label")).crossJoin(F.broadcast(classes.select(F.col("c").alias("predicted"))))
+    n = cells.join(confusion(pairs), ["label", "predicted"], "left").select("label", "predicted", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    total = pairs.groupBy("label").agg(F.count("*").alias("t"))
+    return n.join(total, "label", "left").select("label", "predicted", "n", F.when(F.col("t") > 0, F.col("n") / F.col("t")).alias("share"))
+
+
 def per_class(pairs: DataFrame) -> DataFrame:
     """label, support, recall, precision, f1, specificity; a ratio with nothing below its line is 0."""
     classes = pairs.select("label").union(pairs.select("predicted")).distinct()
@@ -50,25 +61,48 @@ def summary(pairs: DataFrame) -> DataFrame:
 def roc_auc(scores: DataFrame) -> DataFrame:
     """label, auc: one class against the rest, by mean ranks. scores: target, score, positive (boolean).
 
-    Equal scores are counted together first, so the ordered window runs over distinct scores."""
-    t = scores.groupBy("target", "score").agg(F.count("*").alias("n"), F.count_if("positive").alias("pos"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("target").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = t.withColumn("rank", below + (F.col("n") + 1) / 2)
+    Equal scores are counted together, and ranks are taken within buckets of the scores, whose counts give
+    what lies below: no task orders all scores of a class."""
+    ends = scores.agg(F.min("score"), F.max("score")).first()
+    t = scores.groupBy("target", "score").agg(F.count("*").alias("n"), F.count_if("positive").alias("pos")).withColumn("_b", by_number(F.col("score"), ends[0] or 0.0, ends[1] or 0.0))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy("target", "_b").agg(F.sum("n").alias("_n"))
+    sums = sums.select("target", "_b", F.coalesce(F.sum("_n").over(before(Window.partitionBy("target").orderBy("_b"))), F.lit(0)).alias("_below"))
+    below = F.coalesce(F.sum("n").over(before(Window.partitionBy("target", "_b").orderBy("score"))), F.lit(0)) + F.col("_below")
+    r = t.join(sums, ["target", "_b"]).withColumn("rank", below + (F.col("n") + 1) / 2)
     s = r.groupBy("target").agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"), F.sum(F.col("rank") * F.col("pos")).alias("r"))
     return s.select(F.col("target").alias("label"), F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def det_curve(scores: DataFrame) -> DataFrame:
+    """label, score, miss, alarm at each threshold. Scores are summed within buckets of them first, and what
+    goes before a bucket comes from the buckets' counts, so no task orders all scores of a class."""
+    ends = scores.agg(F.min("score"), F.max("score")).first()
+    t = scores.groupBy("target", "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("q"))
+    t = t.withColumn("_b", by_number(F.col("score"), ends[0] or 0.0, ends[1] or 0.0))
+    sums = t.groupBy("target", "_b").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    above = Window.partitionBy("target").orderBy(F.desc("_b"))
+    whole = Window.partitionBy("target")
+    before = above.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("target", "_b", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"{c}0") for c in "pq"), *(F.sum(f"_{c}").over(whole).alias(f"{c}1") for c in "pq"))
+    own = Window.partitionBy("target", "_b").orderBy(F.desc("score"))
+    r = t.join(sums, ["target", "_b"]).select("target", "score", *((F.sum(c).over(own) + F.col(f"{c}0")).alias(c) for c in "pq"), "p1", "q1").where("p1 > 0 and q1 > 0")
+    return r.select(F.col("target").alias("label"), "score", (1 - F.col("p") / F.col("p1")).alias("miss"), (F.col("q") / F.col("q1")).alias("alarm"))
+
+
+def det_at(curve: DataFrame, grid: list[float]) -> DataFrame:
+    """label, alarm, miss: the least miss rate at no more than each false-alarm rate of the grid; 1 where none
+    is that low."""
+    g = curve.select("label").distinct().withColumn("at", F.explode(F.lit(grid)))
+    j = g.join(curve.select("label", "alarm", "miss"), "label").groupBy("label", "at").agg(F.min(F.when(F.col("alarm") <= F.col("at"), F.col("miss"))).alias("miss"))
+    return j.select("label", F.col("at").alias("alarm"), F.coalesce("miss", F.lit(1.0)).alias("miss"))
+
+
 def det_eer(scores: DataFrame) -> DataFrame:
     """label, eer: at the threshold where miss and false-alarm rates differ least, their mean (of equal
     differences the highest threshold)."""
-    t = scores.groupBy("target", "score").agg(F.count("*").alias("n"), F.count_if("positive").alias("pos"))
-    w = Window.partitionBy("target").orderBy(F.desc("score"))
-    whole = Window.partitionBy("target")
-    r = t.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum(F.col("n") - F.col("pos")).over(w))
-    r = r.withColumn("p", F.sum("pos").over(whole)).withColumn("q", F.sum(F.col("n") - F.col("pos")).over(whole)).where("p > 0 and q > 0")
-    r = r.select("target", "score", (1 - F.col("tp") / F.col("p")).alias("miss"), (F.col("fp") / F.col("q")).alias("alarm"))
     best = F.min_by(F.struct("miss", "alarm"), F.struct(F.round(F.abs(F.col("miss") - F.col("alarm")), 12), -F.col("score")))
-    return r.groupBy("target").agg(best.alias("b")).select(F.col("target").alias("label"), ((F.col("b.miss") + F.col("b.alarm")) / 2).alias("eer"))
+    return det_curve(scores).groupBy("label").agg(best.alias("b")).select("label", ((F.col("b.miss") + F.col("b.alarm")) / 2).alias("eer"))
 
 
 def regression(pairs: DataFrame, *keys: str) -> DataFrame:

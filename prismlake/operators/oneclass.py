@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
-from prismlake.operators.gram import moments
+from prismlake.operators.diagnostics import loo_q, mad_outliers, moments_dof
+from prismlake.operators.gram import Moments, moments
 from prismlake.operators.latent import Pca, fit_pca
 
 
@@ -27,36 +28,61 @@ class ClassModel:
         return self.pca.t2(x) / max(self.h0, 1e-12) * self.nh + self.pca.q(x) / max(self.q0, 1e-12) * self.nq
 
 
-def _dof(mean: float, sd: float) -> float:
-    return max(1.0, 2 * (mean / sd) ** 2) if sd and sd > 0 and mean > 0 else 1.0
+def _dof(mean: float | None, sd: float | None) -> float:
+    return moments_dof(mean, sd)
+
+
+def components_for(n: float, p: int, wanted: int) -> int:
+    """The components of a class of n rows that leave two degrees of freedom to the residual."""
+    return min(wanted, int(n) - 2, p - 1)
 
 
 def fit(spectra: DataFrame, components: int = 5, alpha: float = 0.05) -> tuple[list[ClassModel], list[tuple[str, str]]]:
-    """(models, refused classes with a reason). Fitted per class from one moments pass; distances of the
-    training rows, averaged over replicates of a group first, calibrate h0, q0 and their degrees of freedom."""
+    """(models, refused classes with a reason). Fitted per class from one moments pass. T2 of the training rows
+    and Q of each of them to the plane fitted without it, averaged over replicates of a group first, calibrate
+    h0, q0 and their degrees of freedom."""
     spark = spectra.sparkSession
     p = len(spectra.select("x").first()[0])
     by_class = moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label")
     pcas, refused = {}, []
     for k, m in sorted(by_class.items()):
-        a = min(components, int(m.n) - 2, p - 1)
+        a = components_for(m.n, p, components)
         if a < 1:
             refused.append((k, "fewer than three rows"))
         else:
             pcas[k] = fit_pca(m, p, a)
     if not pcas:
         return [], refused
-    pick = lambda f: F.coalesce(*(F.when(F.col("label") == k, f(m)) for k, m in pcas.items()))
-    d = spectra.withColumn("t2", pick(lambda m: m.t2(F.col("x")))).withColumn("q", pick(lambda m: m.q(F.col("x"))))
+    t2 = F.coalesce(*(F.when(F.col("label") == k, m.t2(F.col("x"))) for k, m in pcas.items()))
+    d = loo_q(spectra.where(F.col("label").isin(*pcas)).select("label", "group_id", "x"), "label", by_class, components).select("label", "group_id", t2.alias("t2"), F.col("q_loo").alias("q"))
     g = d.groupBy("label", "group_id").agg(F.avg("t2").alias("t2"), F.avg("q").alias("q"))
     c = g.groupBy("label").agg(F.avg("t2").alias("h0"), F.stddev_samp("t2").alias("hs"), F.avg("q").alias("q0"), F.stddev_samp("q").alias("qs")).collect()
     models = []
-    for r in sorted((r for r in c if r["label"] in pcas), key=lambda r: r["label"]):
+    for r in sorted(c, key=lambda r: r["label"]):
         nh, nq = _dof(r["h0"], r["hs"]), _dof(r["q0"], r["qs"])
         models.append(ClassModel(r["label"], pcas[r["label"]], r["h0"], r["q0"], nh, nq, quantiles.chi2(spark, 1 - alpha, nh + nq)))
     return models, refused
 
 
+def training_flags(spectra: DataFrame, models: list[ClassModel]) -> DataFrame:
+    """sample_id, label, t2, q, flagged: training rows that stand out of their class by median and MAD of T2
+    or Q. They stay in the models."""
+    pick = lambda f: F.coalesce(*(F.when(F.col("label") == m.label, f(m)) for m in models))
+    d = spectra.where(F.col("label").isin(*(m.label for m in models))).select("sample_id", "label", pick(lambda m: m.pca.t2(F.col("x"))).alias("t2"), pick(lambda m: m.pca.q(F.col("x"))).alias("q"))
+    return mad_outliers(d, ["t2", "q"], "label")
+
+
+def boundary(model: ClassModel, points: int = 50) -> list[tuple[float, float]]:
+    """The acceptance line in the axes T2 / h0 and Q / q0: where both parts of the distance sum to its limit."""
+    x = np.linspace(0, model.limit / model.nh, points)
+    return [(float(v), float(max(0.0, (model.limit - v * model.nh) / model.nq))) for v in x]
+
+
+def specificity(scored: DataFrame, adulterated: Column) -> DataFrame:
+    """model, specificity: the share of adulterated rows that a class model refuses."""
+    return scored.where(adulterated).groupBy("model").agg(F.avg((~F.col("accepted")).cast("double")).alias("specificity"), F.count("*").alias("n"))
+
+
 def score(spectra: DataFrame, models: list[ClassModel]) -> DataFrame:
     """sample_id, label, model, distance, accepted: each row against every class model, row-local."""
     each = F.array(*(F.struct(F.lit(m.label).alias("model"), m.distance(F.col("x")).alias("distance"), F.lit(m.limit).alias("limit")) for m in models))
@@ -72,43 +98,70 @@ def decide(spectra: DataFrame, models: list[ClassModel]) -> DataFrame:
 def leave_group_out(spectra: DataFrame, components: int = 5, alpha: float = 0.05) -> DataFrame:
     """label, sensitivity, n_groups, note: each group is judged by its class's model fitted without it.
 
-    A task per class and left-out group; the group's class rows are sent to its tasks, hence only the rows
-    of classes are repeated, by their number of groups."""
-    refits = spectra.select("label", "group_id").distinct().withColumnRenamed("group_id", "out")
-    rows = refits.join(spectra.select("label", "group_id", "x"), "label")
+    A group's refit is the class's moments minus its own, made where its few rows are. The refits, p x A
+    numbers for each group, go to the tasks; every row is scored by the refits of its class where it stands,
+    and means and deviations over the other groups come from sums. So no task holds a class."""
+    spark = spectra.sparkSession
+    p = len(spectra.select("x").first()[0])
+    shared = spark.sparkContext.broadcast(moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label"))
 
-    def one(key, frame):
+    def refit(key, frame):
         import pandas as pd
 
         label, out = key
         x = np.stack(frame["x"].to_numpy())
-        held = (frame["group_id"] == out).to_numpy()
-        train = x[~held]
-        a = min(components, len(train) - 2, x.shape[1] - 1)
+        z = np.hstack([x, np.zeros((len(x), 1))])
+        m = shared.value[str(label)] - Moments(len(x), z.sum(0), z.T @ z)
+        a = components_for(m.n, p, components)
         if a < 1:
-            return pd.DataFrame({"label": [label], "out": [out], "t2": [None], "q": [None], "f": [None], "nh": [None], "nq": [None]})
-        mean = train.mean(0)
-        _, s, v = np.linalg.svd(train - mean, full_matrices=False)
-        var = np.where(s[:a] > 1e-12, s[:a] ** 2 / (len(train) - 1), 1.0)
-        t = (x - mean) @ v[:a].T
-        t2, q = (t**2 / var).sum(1), ((x - mean) ** 2).sum(1) - (t**2).sum(1)
-        means = pd.DataFrame({"g": frame["group_id"], "t2": t2, "q": q})[~held].groupby("g").mean()
-        h0, q0 = means["t2"].mean(), means["q"].mean()
-        nh, nq = _dof(h0, means["t2"].std()), _dof(q0, means["q"].std())
-        f = t2[held] / max(h0, 1e-12) * nh + q[held] / max(q0, 1e-12) * nq
-        return pd.DataFrame({"label": label, "out": out, "t2": t2[held], "q": q[held], "f": f, "nh": nh, "nq": nq})
-
-    judged = rows.groupBy("label", "out").applyInPandas(one, "label string, out string, t2 double, q double, f double, nh double, nq double")
-    limits = {}
-    spark = spectra.sparkSession
-    for r in judged.select((F.round(F.col("nh") + F.col("nq"), 2)).alias("df")).where("df is not null").distinct().collect():
-        limits[r["df"]] = quantiles.chi2(spark, 1 - alpha, r["df"])
-    if not limits:
-        return judged.groupBy("label").agg(F.lit(None).cast("double").alias("sensitivity"), F.countDistinct("out").alias("n_groups")).withColumn("note", F.lit("not validated"))
-    table = spark.createDataFrame(list(limits.items()), "df double, top double")
-    j = judged.withColumn("df", F.round(F.col("nh") + F.col("nq"), 2)).join(F.broadcast(table), "df", "left")
-    s = j.groupBy("label").agg(F.avg((F.col("f") <= F.col("top")).cast("double")).alias("sensitivity"), F.countDistinct("out").alias("n_groups"))
-    return s.select("label", F.when(F.col("n_groups") >= 2, F.col("sensitivity")).alias("sensitivity"), "n_groups", F.when(F.col("n_groups") < 2, "not validated").when(F.col("n_groups") < 10, "few groups").alias("note"))
+            return pd.DataFrame({"label": [], "out": [], "mean": [], "loadings": [], "variance": []}, dtype=object)
+        pca = fit_pca(m, p, a)
+        return pd.DataFrame({"label": [label], "out": [out], "mean": [pca.mean], "loadings": [pca.loadings.T.ravel()], "variance": [pca.variance]})
+
+    got = spectra.select("label", "group_id", "x").groupBy("label", "group_id").applyInPandas(refit, "label string, out string, mean array<double>, loadings array<double>, variance array<double>").toPandas()
+    groups = spectra.groupBy("label").agg(F.countDistinct("group_id").alias("n_groups"))
+    unknown = groups.select("label", F.lit(None).cast("double").alias("sensitivity"), "n_groups", F.lit("not validated").alias("note"))
+    if not len(got):
+        return unknown
+    refits: dict[str, list] = {}
+    for r in got.sort_values(["label", "out"]).itertuples(index=False):
+        refits.setdefault(r.label, []).append((r.out, np.array(r.mean), np.array(r.loadings).reshape(len(r.variance), p).T, np.array(r.variance)))
+    sent = spark.sparkContext.broadcast(refits)
+
+    def distances(frames):
+        import pandas as pd
+
+        for f in frames:
+            parts = []
+            for label, own in f.groupby("label"):
+                x = np.stack(own["x"].to_numpy())
+                for out, mean, loadings, variance in sent.value.get(label, []):
+                    t = (x - mean) @ loadings
+                    q = np.maximum(((x - mean) ** 2).sum(1) - (t**2).sum(1), 0)
+                    parts.append(pd.DataFrame({"label": label, "group_id": own["group_id"].to_numpy(), "out": out, "t2": (t**2 / np.where(variance > 1e-24, variance, 1.0)).sum(1), "q": q}).groupby(["label", "group_id", "out"], as_index=False).agg(t2=("t2", "sum"), q=("q", "sum"), n=("q", "size")))
+            if parts:
+                yield pd.concat(parts)
+
+    each = spectra.select("label", "group_id", "x").mapInPandas(distances, "label string, group_id string, out string, t2 double, q double, n long")
+    means = each.groupBy("label", "group_id", "out").agg((F.sum("t2") / F.sum("n")).alias("t2"), (F.sum("q") / F.sum("n")).alias("q"))
+    scale = means.where("group_id <> out").groupBy("label", "out").agg(F.avg("t2").alias("h0"), F.stddev_samp("t2").alias("hs"), F.avg("q").alias("q0"), F.stddev_samp("q").alias("qs"))
+    dof = lambda m, s: F.coalesce(F.when((F.col(m) > 0) & (F.col(s) > 0), 2 * (F.col(m) / F.col(s)) ** 2), F.lit(1.0))
+    scale = scale.withColumn("nh", dof("h0", "hs")).withColumn("nq", dof("q0", "qs"))
+    limits = [(r["label"], r["out"], quantiles.chi2(spark, 1 - alpha, r["nh"] + r["nq"])) for r in scale.select("label", "out", "nh", "nq").collect()]
+    limit = spark.createDataFrame(limits, "label string, out string, top double")
+    by_row = means.where("group_id = out").join(scale, ["label", "out"]).join(limit, ["label", "out"])
+    f = F.col("t2") / F.greatest("h0", F.lit(1e-12)) * F.col("nh") + F.col("q") / F.greatest("q0", F.lit(1e-12)) * F.col("nq")
+    s = by_row.groupBy("label").agg(F.avg((f <= F.col("top")).cast("double")).alias("sensitivity"), F.count("*").alias("judged"))
+    j = groups.join(s, "label", "left")
+    valid = (F.col("n_groups") >= 2) & (F.coalesce("judged", F.lit(0)) >= 2)
+    return j.select("label", F.when(valid, F.col("sensitivity")).alias("sensitivity"), "n_groups", F.when(~valid, "not validated").when(F.col("n_groups") < 10, "few groups").alias("note"))
+
+
+def conformal_accepts(rows: DataFrame, thresholds: DataFrame, score: str, *keys: str) -> DataFrame:
+    """rows with `accepted`: the score is within the threshold of its keys; never where there is none."""
+    t = thresholds.select(*keys, "threshold")
+    joined = rows.join(t, list(keys), "left") if keys else rows.crossJoin(F.broadcast(t))
+    return joined.withColumn("accepted", F.coalesce(F.col(score) <= F.col("threshold"), F.lit(False)))
 
 
 def conformal_threshold(scores: DataFrame, alpha: float = 0.05, group: str = "group_id", score: str = "score", *keys: str) -> DataFrame:

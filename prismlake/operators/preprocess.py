@@ -15,6 +15,12 @@ PRESETS = {
 }
 
 
+def preset(name: str, snv: bool = False, msc: bool = False, savgol: bool = False, center: bool = False, autoscale: bool = False) -> tuple[str, ...]:
+    """The steps of a preset. Any other name is custom: the flagged steps in this order, centring if none."""
+    flags = {"snv": snv, "msc": msc, "savgol": savgol, "center": center, "autoscale": autoscale}
+    return PRESETS.get(name) or tuple(k for k, v in flags.items() if v) or ("center",)
+
+
 def column_moments(spectra: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(mean, population deviation) of every channel: one aggregation, two rows of p numbers back."""
     m = to_long(spectra.select("x")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).toPandas().sort_values("j")
@@ -90,3 +96,40 @@ def regions(mask: DataFrame, flag: str) -> DataFrame:
     w = Window.orderBy("j")
     run = F.sum(F.when(F.col(flag) != F.coalesce(F.lag(flag).over(w), ~F.col(flag)), 1).otherwise(0)).over(w)
     return mask.withColumn("run", run).where(flag).groupBy("run").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.count("*").alias("channels")).drop("run")
+
+
+def diagnose_axis(spectra: DataFrame, wn: np.ndarray, half: int = 3, least_snr: float = 3.0, least_width: float = 150.0) -> tuple[DataFrame, DataFrame]:
+    """(regions, summary). regions: first, last (axis values, ascending), kind: runs of channels under the
+    least ratio of signal to noise, as wide as least_width; dead where the median of the signal's deviation is
+    under a tenth of its greatest, else noisy. summary: useful share, and from and to of the useful channels
+    where less than 0.95 are useful."""
+    spark = spectra.sparkSession
+    p = len(wn)
+    long = to_long(spectra.select("sample_id", "x"))
+    s = moving_average(long, half).groupBy("j").agg(F.stddev_samp("smooth").alias("signal"), F.stddev_samp(F.col("v") - F.col("smooth")).alias("noise")).toPandas().sort_values("j")
+    signal, noise = s["signal"].to_numpy(float), s["noise"].to_numpy(float)
+    floor = float(np.median(noise[noise > 0])) if (noise > 0).any() else 1.0
+    snr = signal / np.maximum(noise, floor * 1e-3)
+    snr[:half], snr[p - half :] = snr[half], snr[p - half - 1]
+    useful = snr >= least_snr
+    size = signal / max(float(signal.max()), 1e-12)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (~useful).astype(np.int8), [0]])))
+    rows = []
+    for a, b in zip(edge[::2], edge[1::2], strict=True):
+        if abs(wn[b - 1] - wn[a]) >= least_width:
+            rows.append((float(min(wn[a], wn[b - 1])), float(max(wn[a], wn[b - 1])), "dead" if np.median(size[a:b]) < 0.10 else "noisy"))
+    share = float(useful.mean())
+    suggested = (float(wn[useful].min()), float(wn[useful].max())) if useful.any() and share < 0.95 else (None, None)
+    return spark.createDataFrame(rows, "first double, last double, kind string"), spark.createDataFrame([(share, *suggested)], "useful double, suggested_from double, suggested_to double")
+
+
+def validation_report(spectra: DataFrame) -> DataFrame:
+    """check, n: rows with a value that is no number, constant channels, exact copies, near-duplicate pairs."""
+    from prismlake.operators import quality
+
+    finite = quality.drop_nonfinite(spectra)
+    rows = [spectra.agg((F.count("*") - F.count_if(R.finite(F.col("x")))).alias("n")).select(F.lit("nonfinite_rows").alias("check"), "n"),
+            quality.constant_columns(finite).agg(F.count_if("constant").alias("n")).select(F.lit("constant_channels").alias("check"), "n"),
+            quality.exact_duplicates(finite).select(F.lit("exact_copies").alias("check"), F.col("n_copies").cast("long").alias("n")),
+            quality.near_duplicates(finite).agg(F.count("*").alias("n")).select(F.lit("near_duplicate_pairs").alias("check"), "n")]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])

@@ -1,4 +1,4 @@
-"""Resampling and significance: tasks hold the small fold moments or confusion counts, not the data."""
+"""Resampling from fold moments and from row numbers."""
 
 from __future__ import annotations
 
@@ -8,79 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
+from prismlake.functions.ordering import by_number, numbered
 from prismlake.operators.gram import moments
-from prismlake.operators.latent import error_sum, fit_pls, selectivity_ratio, vip
-
-
-def _grouped_moments(spectra: DataFrame, classes: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per physical sample: n, class index, sum of x and cross products of x. The bound is the number of
-    samples times p squared, so this is for studies whose samples number thousands at most."""
-    by = moments(spectra.withColumn("y", F.array(F.lit(0.0))), "group_id")
-    label = {r["group_id"]: r["label"] for r in spectra.groupBy("group_id").agg(F.min("label").alias("label")).collect()}
-    names = sorted(by)
-    p = len(by[names[0]].total) - 1
-    return names, np.array([by[g].n for g in names]), np.array([classes.index(label[g]) for g in names]), np.stack([by[g].total[:p] for g in names]), np.stack([by[g].cross[:p, :p] for g in names])
-
-
-def permutation_test(spectra: DataFrame, classes: list[str], components: int, folds: int = 5, rounds: int = 100, seed: int = 42, most_groups: int = 2000) -> DataFrame:
-    """One row: observed q2, rounds, p_value. Labels are permuted over physical samples, and folds drawn anew.
-
-    Refused (null p) beyond most_groups samples, the bound of what is sent to each task."""
-    spark = spectra.sparkSession
-    n_groups = spectra.select("group_id").distinct().count()
-    if n_groups > most_groups:
-        return spark.createDataFrame([(None, 0, None, f"{n_groups} samples, more than {most_groups}")], "observed double, n_valid int, p_value double, note string")
-    _, n, y, sx, sxx = _grouped_moments(spectra, classes)
-    shared = spark.sparkContext.broadcast((n, y, sx, sxx))
-    k = len(classes)
-
-    def q2(label: np.ndarray, rng: np.random.Generator) -> float:
-        n, _, sx, sxx = shared.value
-        fold = rng.permutation(np.arange(len(n)) % folds)
-        hot = np.eye(k)[label]
-        p = sx.shape[1]
-
-        def part(on: np.ndarray):
-            from prismlake.operators.gram import Moments
-
-            xy = (sx[on, :, None] * hot[on, None, :]).sum(0)
-            yy = np.diag((n[on, None] * hot[on]).sum(0))
-            return Moments(n[on].sum(), np.concatenate([sx[on].sum(0), (n[on, None] * hot[on]).sum(0)]), np.block([[sxx[on].sum(0), xy], [xy.T, yy]]))
-
-        total = part(np.ones(len(n), bool))
-        press = 0.0
-        for f in range(folds):
-            out = part(fold == f)
-            model = fit_pls(total - out, p, components)
-            press += error_sum(model, model.w.shape[1], out, p).sum()
-        return 1 - press / np.trace(total.centred()[1][p:, p:])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i in b["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                label = shared.value[1]
-                rows.append((int(i), float(q2(label if i == 0 else rng.permutation(label), rng)), float((label == label).mean())))
-            yield pd.DataFrame(rows, columns=["id", "q2", "similarity"])
-
-    every = spark.range(0, rounds + 1, 1, min(rounds + 1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "id long, q2 double, similarity double")
-    observed = every.agg(F.max(F.when(F.col("id") == 0, F.col("q2"))).alias("observed"), F.collect_list(F.when(F.col("id") > 0, F.col("q2"))).alias("null_q2"))
-    ge = F.size(F.filter("null_q2", lambda v: v >= F.col("observed")))
-    return observed.select("observed", F.size("null_q2").alias("n_valid"), ((ge + 1) / (F.size("null_q2") + 1)).alias("p_value"), F.lit(None).cast("string").alias("note"))
+from prismlake.operators.latent import fit_pls
 
 
 def cv_anova(spark: SparkSession, ss: float, press: float, n: int, components: int) -> dict[str, float | None]:
-    """F test of the residuals of cross-validation against those around the mean."""
-    if ss <= 0 or n - 2 * components - 1 <= 0:
-        return {"f": None, "p": None}
-    if press >= ss:
-        return {"f": 0.0, "p": 1.0}
+    """F test of the residuals of cross-validation against those around the mean, with A and n - A degrees
+    of freedom: one effective output, as the columns of one-hot classes depend on each other. No spread, or
+    no residual freedom: no F, p 1."""
+    d1, d2 = components, n - components
+    if ss > 0 and press >= ss:
+        return {"f": 0.0, "p": 1.0, "df_model": d1, "df_residual": d2}
+    if ss <= 0 or d2 <= 0:
+        return {"f": None, "p": 1.0, "df_model": d1, "df_residual": d2}
     if press <= 0:
-        return {"f": float("inf"), "p": 0.0}
-    d1, d2 = 2 * components, n - 2 * components - 1
+        return {"f": float("inf"), "p": 0.0, "df_model": d1, "df_residual": d2}
     f = ((ss - press) / d1) / (press / d2)
-    return {"f": f, "p": quantiles.f_tail(spark, f, d1, d2)}
+    return {"f": f, "p": quantiles.f_tail(spark, f, d1, d2), "df_model": d1, "df_residual": d2}
 
 
 def martens(folded: DataFrame, p: int, components: int) -> pd.DataFrame:
@@ -101,69 +46,12 @@ def martens(folded: DataFrame, p: int, components: int) -> pd.DataFrame:
 def bootstrap_accuracy(pairs: DataFrame, rounds: int = 200, seed: int = 7) -> DataFrame:
     """n_boot, low, high: percentile interval of accuracy. Row i of round b is row hash(seed:b:i) mod n, a
     join on row numbers; counts are summed per round, so nothing but one number per round is gathered."""
-    from pyspark.sql import Window
-
-    numbered = pairs.select((F.row_number().over(Window.orderBy("sample_id")) - 1).cast("long").alias("i"), (F.col("label") == F.col("predicted")).cast("int").alias("hit"))
-    n = pairs.agg(F.count("*").alias("n"))
+    ends = pairs.agg(F.count("*").alias("n"), F.min("sample_id").alias("a"), F.max("sample_id").alias("b"))
+    low, high = ends.select("a", "b").first()
+    placed = numbered(pairs, by_number(F.col("sample_id"), low or 0, high or 0), "sample_id")
+    numbers = placed.select((F.col("rank") - 1).alias("i"), (F.col("label") == F.col("predicted")).cast("int").alias("hit"))
+    n = ends.select("n")
     pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("b"), F.lit(":"), F.col("i"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    draws = numbered.select("i").crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).select("b", pick.alias("i"))
-    acc = draws.join(numbered, "i").groupBy("b").agg(F.avg("hit").alias("accuracy"))
+    draws = numbers.select("i").crossJoin(F.broadcast(n)).select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b")).select("b", pick.alias("i"))
+    acc = draws.join(numbers, "i").groupBy("b").agg(F.avg("hit").alias("accuracy"))
     return acc.agg(F.count("*").alias("n_boot"), F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
-
-
-def subset_q2(by_fold: dict, p: int, keep: np.ndarray, components: int) -> float:
-    """Cross-validated q2 of a subset of channels, from the fold moments alone."""
-    total = sum(list(by_fold.values())[1:], next(iter(by_fold.values())))
-    columns = np.concatenate([np.flatnonzero(keep), np.arange(p, len(total.total))])
-    q = int(keep.sum())
-    press = 0.0
-    for m in by_fold.values():
-        model = fit_pls((total - m).subset(columns), q, min(components, q))
-        press += error_sum(model, model.w.shape[1], m.subset(columns), q).sum()
-    return float(max(-1.0, 1 - press / np.trace(total.centred()[1][p:, p:])))
-
-
-def selection_table(folded: DataFrame, p: int, components: int, intervals: int = 8, generations: int = 8, seed: int = 3) -> pd.DataFrame:
-    """method, n_vars, q2 of Full, interval, VIP, SR, sparse, successive-projections and genetic selection,
-    all under the same folds, all from one pass over the data."""
-    by = moments(folded, "fold")
-    total = sum(list(by.values())[1:], next(iter(by.values())))
-    model = fit_pls(total, p, components)
-    masks = {"full": np.ones(p, bool)}
-    edges = np.linspace(0, p, intervals + 1).astype(int)
-    parts = [np.isin(np.arange(p), np.arange(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a >= 2]
-    masks["interval"] = max(parts, key=lambda m: subset_q2(by, p, m, components))
-    masks["vip"] = vip(model, model.w.shape[1]) >= 1
-    sr = selectivity_ratio(model, model.w.shape[1], total, p)
-    masks["sr"] = np.isin(np.arange(p), np.lexsort((np.arange(p), -sr))[: max(2, round(0.25 * p))])
-    sparse = np.zeros(p, bool)
-    for a in range(model.w.shape[1]):
-        sparse[np.argsort(-np.abs(model.w[:, a]), kind="stable")[: max(2, p // 8)]] = True
-    masks["sparse"] = sparse
-    _, c = total.centred()
-    xx = c[:p, :p]
-    chain = [int(np.argmax(np.diag(xx)))]
-    work = xx.copy()
-    for _ in range(max(2, p // 8) - 1):  # deflate by the channel last chosen
-        k = chain[-1]
-        work = work - np.outer(work[:, k], work[k]) / max(work[k, k], 1e-12)
-        d = np.diag(work).copy()
-        d[chain] = -np.inf
-        chain.append(int(np.argmax(d)))
-    masks["spa"] = np.isin(np.arange(p), chain)
-    rng = np.random.default_rng(seed)
-    population = [rng.random(p) < 0.5 for _ in range(12)]
-    fitness = [subset_q2(by, p, m, components) if m.sum() >= 2 else -1.0 for m in population]
-    for _ in range(generations):
-        order = np.argsort(fitness)[::-1]
-        children = [population[order[0]].copy()]
-        while len(children) < len(population):
-            a, b = (population[max(rng.integers(0, len(population), 3), key=lambda i: fitness[i])] for _ in range(2))
-            cut = rng.integers(1, p)
-            child = np.concatenate([a[:cut], b[cut:]]) ^ (rng.random(p) < 1 / p)
-            children.append(child if child.sum() >= 2 else a.copy())
-        population = children
-        fitness = [subset_q2(by, p, m, components) for m in population]
-    masks["genetic"] = population[int(np.argmax(fitness))]
-    rows = [(k, int(m.sum()), subset_q2(by, p, m if m.sum() >= 2 else np.ones(p, bool), components)) for k, m in masks.items()]
-    return pd.DataFrame(rows, columns=["method", "n_vars", "q2"])

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismlake.functions.ordering import by_hash, numbered
+
 
 def _order(seed: int, group: str) -> bytes:
     return hashlib.blake2b(f"{seed}:{group}".encode(), digest_size=8).digest()
@@ -53,7 +55,7 @@ def holdout_groups(spectra: DataFrame, share: float = 0.2, seed: int = 42) -> Da
     """Groups to set aside: of those with any adulterated row (conc > 0), the first ceil(share * n) by hash."""
     g = spectra.groupBy("group_id").agg(F.max("conc").alias("top")).where("top > 0").select("group_id", F.md5(F.concat(F.lit(f"{seed}:"), F.col("group_id"))).alias("h"))
     n = g.agg(F.ceil(F.count("*") * share).cast("int").alias("n"))
-    ranked = g.withColumn("rank", F.row_number().over(Window.orderBy("h", "group_id")))
+    ranked = numbered(g, by_hash(F.col("h")), "h", "group_id")
     return ranked.crossJoin(F.broadcast(n)).where("rank <= n").select("group_id")
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismlake.functions import rowlocal as R
 from prismlake.functions import titles
-from prismlake.operators import latent, metrics, oneclass, preprocess, quality, quantify, resampling, splits
+from prismlake.functions.ordering import by_number, numbered
+from prismlake.operators import latent, metrics, oneclass, preprocess, quality, quantify, resampling, selection, splits, validation
 from prismlake.operators.gram import moments
 from prismlake.schema import embeddings_as_spectra, to_long
 from prismlake.streaming import scoring
@@ -59,9 +60,9 @@ def truncate_axis(spark, d):
     return _long_out(preprocess.truncate(embeddings_as_spectra(spark, d), WN, 4100, 4300)[0])
 
 
-@query("interpolate_axis", f"""WITH {E}, g AS (SELECT k, 3990 + 13.0 * k AS t FROM range(0, 50) r(k)),
+@query("interpolate_axis", """WITH g AS (SELECT k, 3990 + 13.0 * k AS t FROM range(0, 50) r(k)),
 c AS (SELECT k, greatest(least(t, 4630), 4000) AS t FROM g), n AS (SELECT k, t, least(CAST(floor((t - 4000) / 10) AS BIGINT), 62) AS j0 FROM c)
-SELECT a.sample_id, k AS j, round(a.v + (b.v - a.v) * (t - 4000 - 10 * j0) / 10, 6) + 0.0 AS v FROM n JOIN e a ON a.j = j0 JOIN e b ON b.sample_id = a.sample_id AND b.j = j0 + 1""")
+SELECT vec_id AS sample_id, k AS j, round(embedding[j0 + 1]::DOUBLE + (embedding[j0 + 2]::DOUBLE - embedding[j0 + 1]::DOUBLE) * (t - 4000 - 10 * j0) / 10, 6) + 0.0 AS v FROM embeddings, n""")
 def interpolate_axis(spark, d):
     return _long_out(preprocess.interpolate(embeddings_as_spectra(spark, d), WN, 3990 + 13.0 * np.arange(50)))
 
@@ -75,12 +76,12 @@ def snv(spark, d):
 
 
 @query("msc", f"""WITH {E}, r AS (SELECT j, avg(v) AS r FROM e GROUP BY j), s AS (SELECT sample_id, covar_pop(r, v) / var_pop(r) AS b, avg(v) AS mx, avg(r) AS mr FROM e JOIN r USING (j) GROUP BY sample_id)
-SELECT sample_id, j, round((v - (mx - b * mr)) / b, 4) + 0.0 AS v FROM e JOIN s USING (sample_id) WHERE abs(b) > 0.02""")
+SELECT sample_id, j, printf('%.4e', CASE WHEN abs(b) <= 1e-12 THEN v - (mx - b * mr) ELSE (v - (mx - b * mr)) / b END + 0.0) AS v FROM e JOIN s USING (sample_id)""")
 def msc(spark, d):
+    """All rows; a nearly flat one has large values, so values compare by significant digits."""
     e = embeddings_as_spectra(spark, d)
-    ref = R.constants(preprocess.column_moments(e)[0])
-    slope = R.total(F.zip_with(ref, "x", lambda r, v: (r - R.mean(ref)) * (v - R.mean(F.col("x"))))) / R.total(F.transform(ref, lambda r: (r - R.mean(ref)) * (r - R.mean(ref))))
-    return _long_out(e.where(F.abs(slope) > 0.02).withColumn("x", R.msc(F.col("x"), ref)), 4)
+    x = e.withColumn("x", R.msc(F.col("x"), R.constants(preprocess.column_moments(e)[0])))
+    return to_long(x.select("sample_id", "x")).select("sample_id", F.col("j").cast("long").alias("j"), F.format_string("%.4e", F.col("v") + 0.0).alias("v"))
 
 
 @query("mean_center", f"WITH {E}, m AS (SELECT j, avg(v) AS m FROM e GROUP BY j) SELECT sample_id, j, round(v - m, 6) + 0.0 AS v FROM e JOIN m USING (j)")
@@ -167,10 +168,12 @@ def exact_duplicates(spark, d):
     return r.select(*(F.col(c).cast("long").alias(c) for c in r.columns))
 
 
-@query("near_duplicates")
+@query("near_duplicates", """WITH z AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), m AS (SELECT id, list_transform(x, lambda v: v - list_avg(x)) AS x FROM z), u AS (SELECT id, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w * w)))) AS x FROM m),
+a AS (SELECT id, x FROM u UNION ALL SELECT id + 1000000, x FROM u) SELECT p.id AS a, q.id AS b, round(list_dot_product(p.x, q.x), 6) AS r FROM a p JOIN a q ON p.id < q.id WHERE list_dot_product(p.x, q.x) > 0.99995""")
 def near_duplicates(spark, d):
     e = embeddings_as_spectra(spark, d)
-    return quality.near_duplicates(e.unionAll(e.withColumn("sample_id", F.col("sample_id") + 1000000).withColumn("x", F.transform("x", lambda v: v * 2 + 1))))
+    pairs = quality.near_duplicates(e.unionAll(e.withColumn("sample_id", F.col("sample_id") + 1000000).withColumn("x", F.transform("x", lambda v: v * 2 + 1))))
+    return pairs.select("a", "b", F.round("r", 6).alias("r"))
 
 
 @query("class_balance", f"WITH {E}, c AS (SELECT label, count(*) AS n FROM e WHERE j = 0 GROUP BY label) SELECT count(*) AS n_classes, min(n) AS least, max(n) AS most, round(max(n) / min(n), 9) AS ratio, max(n) / min(n) > 5 AS unbalanced FROM c")
@@ -186,21 +189,31 @@ def dominant_range(spark, d):
 
 
 def _titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles made from orders: code by priority, date, an adulterant for odd keys, a replicate."""
+    """Titles made from orders: code by status, date, an adulterant for odd keys, a replicate; with the
+    variants of the format by the key: underscores, no separator before T, T_1, a doubled percent sign, outer
+    blanks, and codes in lower case, which don't fit."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
-    tail = F.when(k % 2 == 1, F.concat(F.lit("-AD-"), F.substring(F.lit("AMS"), (k % 3).cast("int") + 1, F.lit(1)), F.lit("-"), (k % 40).cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("%"))).otherwise("")
-    return o.select("o_orderkey", F.concat(F.substring("o_orderstatus", 1, 1), F.lit("AB-"), F.date_format("o_orderdate", "dd-MM-yyyy"), tail, F.lit("-T"), (k % 4).cast("string")).alias("title"))
-
-
-_TITLE = r"""t AS (SELECT o_orderkey, substr(o_orderstatus, 1, 1) || 'AB-' || strftime(o_orderdate, '%d-%m-%Y') || CASE WHEN o_orderkey % 2 = 1 THEN '-AD-' || substr('AMS', CAST(o_orderkey % 3 AS INT) + 1, 1) || '-' || (o_orderkey % 40) || ',' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '%' ELSE '' END || '-T' || (o_orderkey % 4) AS title FROM orders),
-p AS (SELECT o_orderkey, title, regexp_extract(title, '^([A-Za-z]{2,4})-(\d{2}-\d{2}-\d{4})(?:-AD-([AMS])-(\d+(?:[.,]\d+)?)%{1,2})?-T([123])$', ['code', 'day', 'ad', 'pct', 'rep']) AS g FROM t),
-q AS (SELECT o_orderkey, title, nullif(g.code, '') AS code, nullif(g.day, '') AS day, nullif(g.ad, '') AS ad, CAST(replace(nullif(g.pct, ''), ',', '.') AS DOUBLE) AS pct, CAST(nullif(g.rep, '') AS INT) AS rep FROM p),
-v AS (SELECT *, coalesce(code IS NOT NULL AND (ad IS NULL OR pct > 0), false) AS valid FROM q),
-k AS (SELECT *, CASE WHEN valid THEN upper(code) || '-' || day || '-' || CASE WHEN ad IS NULL THEN 'P' ELSE ad || printf('%.2f', pct) END END AS group_id FROM v)"""
-
-
-@query("title_parse", f"WITH {_TITLE} SELECT o_orderkey, CASE WHEN valid THEN upper(code) END AS code, CASE WHEN valid THEN ad END AS adulterant, CASE WHEN valid THEN pct END AS content, CASE WHEN valid THEN rep ELSE 0 END AS replicate, valid, group_id FROM k")
+    either = lambda m: F.when(k % m == 0, "_").otherwise("-")
+    tail = F.when(k % 2 == 1, F.concat(either(11), F.lit("AD-"), F.substring(F.lit("AMS"), (k % 3).cast("int") + 1, F.lit(1)), F.lit("-"), (k % 40).cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0"), F.when(k % 13 == 0, "%%").otherwise("%"))).otherwise("")
+    code = F.concat(F.substring("o_orderstatus", 1, 1), F.when(k % 29 == 0, "ab").otherwise("AB"))
+    last = F.concat(F.when(k % 5 == 0, "").otherwise(either(7)), F.when(k % 3 == 0, "T_").otherwise("T"), (k % 4).cast("string"), F.when(k % 17 == 0, "  ").otherwise(""))
+    return o.select("o_orderkey", F.concat(F.when(k % 19 == 0, " ").otherwise(""), code, either(23), F.date_format("o_orderdate", "dd-MM-yyyy"), tail, last).alias("title"))
+
+
+#: Titles are taken apart by splitting, not by the pattern of the library.
+_TITLE = r"""t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN ' ' ELSE '' END || substr(o_orderstatus, 1, 1) || CASE WHEN o_orderkey % 29 = 0 THEN 'ab' ELSE 'AB' END || CASE WHEN o_orderkey % 23 = 0 THEN '_' ELSE '-' END || strftime(o_orderdate, '%d-%m-%Y')
+ || CASE WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 11 = 0 THEN '_' ELSE '-' END || 'AD-' || substr('AMS', CAST(o_orderkey % 3 AS INT) + 1, 1) || '-' || (o_orderkey % 40) || ',' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || CASE WHEN o_orderkey % 13 = 0 THEN '%%' ELSE '%' END ELSE '' END
+ || CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN '_' ELSE '-' END || CASE WHEN o_orderkey % 3 = 0 THEN 'T_' ELSE 'T' END || (o_orderkey % 4) || CASE WHEN o_orderkey % 17 = 0 THEN '  ' ELSE '' END AS title FROM orders),
+u AS (SELECT o_orderkey, title, trim(title) AS s FROM t),
+w AS (SELECT o_orderkey, title, s, CAST(right(s, 1) AS INT) AS rep, substr(s, 1, 3) AS code, substr(s, 5, 10) AS day, rtrim(replace(left(s, length(s) - 1), 'T_', 'T'), 'T') AS r FROM u),
+x AS (SELECT o_orderkey, title, rep, code, day, rtrim(substr(r, 15), '-_%') AS body FROM w),
+v AS (SELECT o_orderkey, title, rep, code, day, CASE WHEN body = '' THEN NULL ELSE substr(body, 5, 1) END AS ad, CASE WHEN body = '' THEN NULL ELSE CAST(replace(substr(body, 7), ',', '.') AS DOUBLE) END AS pct FROM x),
+z AS (SELECT *, code = upper(code) AND rep BETWEEN 1 AND 3 AND coalesce(pct > 0, true) AS valid FROM v),
+k AS (SELECT *, CASE WHEN valid THEN code || '-' || day || CASE WHEN ad IS NULL THEN '' ELSE '-' || ad || printf('%.2f', pct) END END AS group_id FROM z)"""
+
+
+@query("title_parse", f"WITH {_TITLE} SELECT o_orderkey, CASE WHEN valid THEN code END AS code, CASE WHEN valid THEN ad END AS adulterant, CASE WHEN valid THEN pct END AS content, CASE WHEN valid THEN rep ELSE 0 END AS replicate, valid, group_id FROM k")
 def title_parse(spark, d):
     f = titles.parse_title(F.col("title"))
     f["replicate"] = F.coalesce(f["replicate"], F.lit(0))
@@ -228,9 +241,11 @@ def code_alias(spark, d):
 
 @query("anonymous_groups", f"WITH {_TITLE}, f AS (SELECT group_id, min(o_orderkey) AS f FROM k WHERE valid GROUP BY group_id) SELECT o_orderkey, 'G' || lpad(CAST(dense_rank() OVER (ORDER BY f) AS VARCHAR), 6, '0') AS replicate_group FROM k JOIN f USING (group_id)")
 def anonymous_groups(spark, d):
-    """Groups numbered by first appearance. Numbers come from one sort of the distinct groups."""
+    """Groups numbered by first appearance."""
     t = _titles(spark, d).select("o_orderkey", titles.parse_title(F.col("title"))["group_id"].alias("group_id")).where("group_id is not null")
-    first = t.groupBy("group_id").agg(F.min("o_orderkey").alias("f")).withColumn("g", F.row_number().over(Window.orderBy("f")))
+    first = t.groupBy("group_id").agg(F.min("o_orderkey").alias("f"))
+    low, high = t.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    first = numbered(first, by_number(F.col("f"), low or 0, high or 0), "f", name="g")
     return t.join(first, "group_id").select("o_orderkey", F.concat(F.lit("G"), F.lpad(F.col("g").cast("string"), 6, "0")).alias("replicate_group"))
 
 
@@ -378,7 +393,7 @@ def user_profiles(spark, d):
 
 def _folded(spark, d, folds=5):
     e = embeddings_as_spectra(spark, d)
-    return e.join(F.broadcast(splits.grouped_folds(e, folds)), "group_id")
+    return e.join(splits.grouped_folds(e, folds), "group_id")
 
 
 @query("grouped_folds")
@@ -476,7 +491,7 @@ def figures_of_merit(spark, d):
 @query("permutation_test")
 def permutation_test(spark, d):
     e = embeddings_as_spectra(spark, d)
-    return resampling.permutation_test(e, sorted(r[0] for r in e.select("label").distinct().collect()), 3, rounds=20)
+    return validation.permutation_test(e, sorted(r[0] for r in e.select("label").distinct().collect()), 3)
 
 
 @query("cv_anova")
@@ -486,7 +501,7 @@ def cv_anova(spark, d):
     n = rows.count()
     press = curve[-1][1] ** 2 * n * len(classes)
     r = resampling.cv_anova(spark, press / (1 - curve[-1][2]), press, n, 3)
-    return spark.createDataFrame([(r["f"], r["p"])], "f double, p_value double")
+    return spark.createDataFrame([(r["f"], r["p"], r["df_model"], r["df_residual"])], "f double, p_value double, df_model int, df_residual int")
 
 
 @query("jackknife_coefficients")
@@ -496,16 +511,16 @@ def jackknife_coefficients(spark, d):
 
 
 @query("bootstrap_accuracy", f"""WITH {_PAIRS}, n AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS i, CAST(label = predicted AS INT) AS hit, count(*) OVER () AS n FROM pairs),
-draws AS (SELECT b, CAST(('0x' || substr(md5('7:' || b || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM n, range(0, 100) t(b)), a AS (SELECT b, avg(hit) AS acc FROM draws JOIN n USING (i) GROUP BY b)
+draws AS (SELECT b, CAST(('0x' || substr(md5('7:' || b || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM n, range(0, 200) t(b)), a AS (SELECT b, avg(hit) AS acc FROM draws JOIN n USING (i) GROUP BY b)
 SELECT count(*) AS n_boot, round(quantile_cont(acc, 0.025), 9) AS low, round(quantile_cont(acc, 0.975), 9) AS high FROM a""")
 def bootstrap_accuracy(spark, d):
-    return resampling.bootstrap_accuracy(_pairs(spark, d), 100).select("n_boot", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return resampling.bootstrap_accuracy(_pairs(spark, d)).select("n_boot", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("variable_selection")
 def variable_selection(spark, d):
     rows, _ = latent.with_targets(splits.hashed_folds(embeddings_as_spectra(spark, d), 4))
-    return spark.createDataFrame(resampling.selection_table(rows, P, 3, generations=3))
+    return spark.createDataFrame(selection.selection_table(rows, P, 3))
 
 
 @query("score_new_samples")
@@ -518,7 +533,7 @@ def score_new_samples(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Balanced accuracy and company of PLS-DA on SNV spectra, every sample predicted by folds that never saw it."""
     e = embeddings_as_spectra(spark, d).withColumn("x", R.snv(F.col("x")))
-    rows, classes = latent.with_targets(e.join(F.broadcast(splits.grouped_folds(e, 5)), "group_id"))
+    rows, classes = latent.with_targets(e.join(splits.grouped_folds(e, 5), "group_id"))
     return metrics.summary(latent.out_of_fold(rows, classes, P, latent.choose_lv(latent.lv_curve(rows, P, 6))))
 
 
@@ -528,8 +543,11 @@ def plsda_summary(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from prismlake.plans import model_queries  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

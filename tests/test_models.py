@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
 from prismlake.functions import rowlocal as R
-from prismlake.operators import latent, metrics, oneclass, quality, quantify, resampling, splits
+from prismlake.operators import latent, metrics, oneclass, quality, quantify, resampling, splits, validation
 from prismlake.operators.gram import moments
 from prismlake.sources import readers
 from prismlake.streaming import scoring
@@ -115,12 +115,12 @@ def test_one_class(spark, spectra):
 
 
 def test_permutation_and_quantiles(spark, spectra):
-    r = resampling.permutation_test(spectra, ["C0", "C1", "C2"], 2, folds=4, rounds=19).first()
-    assert r["p_value"] == pytest.approx(0.05)
+    r = validation.permutation_test(spectra, ["C0", "C1", "C2"], 2, folds=4, rounds=19).first()
+    assert r["p_value"] == pytest.approx(0.05) and r["observed"] == 1.0 and r["n_valid"] == 19
     assert quantiles.f(spark, 0.95, 3, 20) == pytest.approx(3.0984, abs=1e-4)
     assert quantiles.chi2(spark, 0.95, 3.7) == pytest.approx(8.9971, abs=1e-4)
-    refused = resampling.permutation_test(spectra, ["C0"], 1, most_groups=2).first()
-    assert refused["p_value"] is None and refused["note"]
+    assert resampling.cv_anova(spark, 10.0, 4.0, 20, 3)["f"] == pytest.approx((6 / 3) / (4 / 17))
+    assert resampling.cv_anova(spark, 0.0, 0.0, 20, 3)["p"] == 1.0 and resampling.cv_anova(spark, 1.0, 2.0, 20, 3)["f"] == 0.0
 
 
 def test_calibration_and_limits(spark, spectra):
