@@ -35,15 +35,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.col("conv_id"), F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")
     )
     sorted_turns = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # a column of its own: `turns.role` would be taken out of all turns again at each place
+    sorted_turns = sorted_turns.withColumn("roles", F.transform("turns", lambda x: x["role"]))
     n = F.size("turns")
     # where runs of one role begin; each run is cut out of the sorted array and merged
-    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("turns.role", i) != F.get("turns.role", i - 1)))
+    heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("roles", i) != F.get("roles", i - 1)))
     runs = sorted_turns.withColumn("heads", heads).withColumn(
         "runs",
         F.transform(
             "heads",
             lambda h, j: F.struct(
-                F.get("turns.role", h).alias("role"),
+                F.get("roles", h).alias("role"),
                 F.transform(F.slice("turns", h + 1, F.coalesce(F.get("heads", j + 1), n) - h), lambda x: escape(x["text"])).alias("texts"),
             ),
         ),
@@ -69,32 +71,49 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     return (
         blocks.withColumn("pieces", pieces)
-        .withColumn("spans", _positions("pieces"))
+        .withColumn("sums", _block_sums("pieces"))
+        .withColumn("spans", _positions("pieces", "sums"))
         .select("conv_id", F.array_join("blocks", "").alias("formatted"), F.transform(F.filter("spans", lambda s: s["learn"]), lambda s: F.struct(s["start"].alias("start"), s["size"].alias("length"))).alias("loss_spans"))
     )
 
 
-def _positions(pieces: str) -> Column:
+def _width(p: Column) -> Column:
+    return p["lead"] + p["size"] + p["trail"]
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0).cast("long"), lambda a, p: a + _width(p))
+
+
+def _block(pieces: str) -> Column:
+    return F.greatest(F.ceil(F.sqrt(F.size(pieces))).cast("int"), F.lit(1))
+
+
+def _block_sums(pieces: str) -> Column:
+    """Lengths of the square root of n blocks of as many pieces."""
+    block = _block(pieces)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), lambda b: _total(F.slice(pieces, b * block + 1, block)))
+
+
+def _positions(pieces: str, sums: str) -> Column:
     """Adds to each piece its start: lengths of all earlier pieces, summed block-wise so that a long
-    conversation costs n times sqrt(n), not n squared."""
-    width = lambda p: p["lead"] + p["size"] + p["trail"]
-    n = F.size(pieces)
-    block = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    conversation costs n times sqrt(n), not n squared. The sums are named twice, so that they stay a column
+    and are not made again for each piece."""
+    block = _block(pieces)
     zero = F.lit(0).cast("long")
-    total = lambda part: F.aggregate(part, zero, lambda a, p: a + width(p))
-    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: total(F.slice(pieces, b * block + 1, block)))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
+    at = F.transform(
+        F.sequence(F.lit(0), F.size(pieces) - 1),
         lambda i: F.struct(
             F.get(pieces, i)["learn"].alias("learn"),
             F.get(pieces, i)["size"].alias("size"),
             (
                 F.aggregate(F.slice(sums, F.lit(1), F.floor(i / block).cast("int")), zero, lambda a, s: a + s)
-                + total(F.slice(pieces, F.floor(i / block).cast("int") * block + 1, i - F.floor(i / block).cast("int") * block))
+                + _total(F.slice(pieces, F.floor(i / block).cast("int") * block + 1, i - F.floor(i / block).cast("int") * block))
                 + F.get(pieces, i)["lead"]
             ).alias("start"),
         ),
     )
+    return F.when(F.size(sums) > 0, at)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -109,8 +128,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"])))
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
+    cut = formatted.withColumn("_size", F.length("formatted")).withColumn("_wide", _chunks("formatted", F.col("_size"), WIDE))
+    cut = cut.withColumn("_chunks", F.flatten(F.transform("_wide", lambda x: _chunks(x, F.length(x), CHUNK))))
+    # the chunks are named twice, so that they stay a column and are not made again for each span
+    loss = F.when(F.size("_chunks") > 0, F.transform("loss_spans", lambda s: unescape(_under("_chunks", s["start"], s["length"]))))
+    return cut.select("conv_id", turns.alias("turns"), loss.alias("loss_texts"), F.col("_size").cast("long").alias("formatted_chars"))
+
+
+#: Code points of the chunks that spans are read from: a substring is counted from the start of its text, so
+#: spans of a long text are taken from short pieces of it.
+WIDE, CHUNK = 1 << 18, 1 << 11
+
+
+def _chunks(text: Column | str, size: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / width).cast("int") - 1, F.lit(0))), lambda k: F.substr(text, k * width + 1, F.lit(width)))
+
+
+def _under(chunks: str, start: Column, length: Column) -> Column:
+    """The code points of a span, from the chunks that it touches."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((start + length) / CHUNK).cast("int")
+    return F.substr(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), (start - first * CHUNK + 1).cast("int"), length)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
