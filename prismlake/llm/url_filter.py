@@ -2,8 +2,11 @@
 
 Listing rules (host and path) come first. Pages they don't name are judged by rules that Spark's
 FP-growth mines from labelled URLs: token sets that imply `block` with enough support and confidence.
-Mined rules are kept minimal (no rule whose antecedent holds another rule's) and match through an
-inverted index of token to rules, an equi-join. Spark broadcasts the index only if it is small.
+Only URLs that no listing rule names are learned from, as only such are judged: what the listing blocks
+says nothing of other hosts. Rules are mined on three quarters of the hosts and must hold on the URLs of
+the rest, where they match any. Mined rules are kept minimal (no rule whose antecedent holds another
+rule's) and match through an inverted index of token to rules, an equi-join. Spark broadcasts the index
+only if it is small.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from prismlake.llm.staging import staged
 
 #: Listing rules (host, path, verdict).
 LISTING = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Words that mark a host as unwanted; the labels for mining, beside the listing's.
+#: Words that mark a host as unwanted: the labels for mining.
 UNWANTED = ("adult", "bets", "betting", "casino", "cheap", "escort", "loans", "pills", "porn", "poker", "replica", "viagra", "warez", "xxx")
 MIN_SUPPORT = 0.002
 #: ... and at least so many URLs, whatever the share.
 MIN_URLS = 5
 MIN_CONFIDENCE = 0.8
 MAX_ANTECEDENT = 3
+#: A host in so many is held out of the mining, to check the rules on.
+HELD_OUT = 4
 BLOCK, ALLOW = "label=block", "label=allow"
 
 
@@ -46,9 +51,10 @@ def listed(host: Column, path: Column, listing=LISTING) -> tuple[Column, Column]
 
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens of a URL: host labels and their hyphenated words, path words, query keys, scheme."""
+    """Distinct tokens of a URL: host labels, the words of hyphenated ones, path words, query keys. A label
+    without a hyphen is one token."""
     labels = F.transform(F.split(host, "[.]"), lambda x: F.concat(F.lit("h:"), x))
-    words = F.transform(F.split(host, "[.-]"), lambda x: F.concat(F.lit("w:"), x))
+    words = F.transform(F.split(host, "[.-]"), lambda x: F.concat(F.lit("h:"), x))
     steps = F.transform(F.filter(F.split(F.lower(path), "[^\\p{L}\\p{N}]+"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x))
     keys = F.transform(F.regexp_extract_all(F.regexp_extract(F.coalesce(url, F.lit("")), "[?][^#]*", 0), F.lit("[?&]([^=&]+)"), 1), lambda x: F.concat(F.lit("q:"), x))
     return F.array_distinct(F.concat(labels, words, steps, keys))
@@ -57,13 +63,16 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT, unwanted=UNWANTED) -> DataFrame:
     """rule_id, antecedent, confidence, support of the minimal rules that imply block.
 
-    urls: host, path, url, verdict (of the listing, or null). The label of a URL is the listing's
-    verdict; else block if its host has an unwanted word; else allow. The support threshold is a share,
-    so that the number of frequent token sets doesn't grow with the table.
+    urls: host, path, url, verdict (of the listing, or null; those with one are left out). The label of a URL
+    is block if its host has an unwanted word, else allow. The support threshold is a share, so that the
+    number of frequent token sets doesn't grow with the table. Tokens that stand in the same URLs throughout
+    (the labels of one long host) count as one, the first of them: each subset of them would be a rule.
     """
     words = F.split("host", "[.-]")
-    label = F.when(F.col("verdict").isNotNull(), F.concat(F.lit("label="), F.col("verdict"))).when(F.exists(words, lambda w: w.isin(*unwanted)), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = staged(urls.where("host <> ''").select(F.array_append(tokens(F.col("host"), F.col("path"), F.col("url")), label).alias("items")), "baskets")
+    label = F.when(F.exists(words, lambda w: w.isin(*unwanted)), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
+    items = F.array_append(tokens(F.col("host"), F.col("path"), F.col("url")), label)
+    every = staged(urls.where("host <> '' and verdict is null").select(items.alias("items"), (F.pmod(F.xxhash64("host"), F.lit(HELD_OUT)) == 0).alias("held")), "baskets")
+    baskets, held = every.where("not held").select("items"), every.where("held").select("items")
     spark = urls.sparkSession
     if baskets.isEmpty():
         return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
@@ -72,13 +81,20 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
     min_support = max(min_support, min(1.0, MIN_URLS / rows))
     common = rows * min_support
     useful = baskets.where(F.array_contains("items", BLOCK)).select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") >= common).select("item")
-    kept = baskets.withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("item"))
-    rated = kept.groupBy("item").agg(F.count("*").alias("n"))
-    rated = staged(rated.join(useful, "item", "left_semi").select("item"), "items")
+    kept = staged(baskets.withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("item")), "baskets")
+    places = kept.groupBy("item").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("where")).join(useful, "item", "left_semi")
+    # a label is no token: it stays, whatever stands beside it
+    alone = F.col("item").startswith("label=")
+    rated = staged(places.groupBy("n", "where", alone.alias("label")).agg(F.min("item").alias("item")).select("item"), "items")
     slim = kept.join(rated, "item").groupBy("id").agg(F.collect_set("item").alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(slim)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_antecedent))
     rules = staged(rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support").withColumn("rule_id", F.xxhash64("antecedent")), "rules")
+    index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("item"))
+    tried = held.withColumn("id", F.monotonically_increasing_id()).select("id", F.array_contains("items", BLOCK).alias("block"), F.explode("items").alias("item"))
+    met = tried.join(index, "item").groupBy("id", "rule_id", "need", "block").agg(F.count("*").alias("have")).where("have = need")
+    broken = met.groupBy("rule_id").agg(F.avg(F.col("block").cast("double")).alias("right")).where(F.col("right") < min_confidence).select("rule_id")
+    rules = staged(rules.join(broken, "rule_id", "left_anti"), "held")
     # minimal: no other rule's antecedent is a proper part of it; candidates meet on a shared token
     a = rules.select("rule_id", F.explode("antecedent").alias("token"), F.col("antecedent").alias("mine"))
     b = rules.select(F.element_at("antecedent", 1).alias("token"), F.col("antecedent").alias("other"))
