@@ -25,8 +25,8 @@ from prismlake.llm.textkernel import sliced
 
 TOKENS = 1024
 END_ID = 2
-#: Each length is numbered in so many separate runs, so that a length with most pieces is no hot key.
-RUNS = 256
+#: Pieces that a task orders at once: those of one length are dealt over so many runs.
+ROWS_A_RUN = 20_000
 
 _encodings: dict[str, object] = {}
 
@@ -181,13 +181,17 @@ def pack(
     attention = attention or tokens * tokens
     per = documents_per_sequence or tokens
     limit = min(tokens, math.isqrt(attention))
-    cut = staged(pieces(documents, tokenizer_path, limit, end_id, keep_ids).withColumn("run", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RUNS)).cast("int")), "pieces")
-    # rows: lengths x RUNS at most, whatever the corpus
+    cut = staged(pieces(documents, tokenizer_path, limit, end_id, keep_ids).withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32")), "pieces")
+    # a length has as many runs as its pieces fill: a row to the driver for each length and each ROWS_A_RUN pieces
+    runs = np.ones(limit + 1, np.int64)
+    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():
+        runs[r["length"]] = -(-r["n"] // ROWS_A_RUN)
+    cut = cut.withColumn("run", F.pmod("h", F.get(F.lit(runs.tolist()), F.col("length").cast("int"))).cast("int")).drop("h")
     sizes = cut.groupBy("length", "run").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "run"])
     plan = Plan(sizes.groupby("length")["n"].sum().to_dict(), (tokens, per, attention), weights, select)
     keys, first, sequence, place = plan.lookup()
     before = (sizes.groupby("length")["n"].cumsum() - sizes["n"]).to_numpy(np.int64)
-    run_keys = sizes["length"].to_numpy(np.int64) * RUNS + sizes["run"].to_numpy(np.int64)
+    run_keys = (sizes["length"].to_numpy(np.int64) << 32) + sizes["run"].to_numpy(np.int64)
 
     within = Window.partitionBy("length", "run").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("rank", F.row_number().over(within) - 1)
@@ -196,7 +200,7 @@ def pack(
         for batch in batches:
             column = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
             length = column["length"].to_numpy()
-            rank = column["rank"].to_numpy().astype(np.int64) + before[np.searchsorted(run_keys, length * RUNS + column["run"].to_numpy())]
+            rank = column["rank"].to_numpy().astype(np.int64) + before[np.searchsorted(run_keys, (length.astype(np.int64) << 32) + column["run"].to_numpy())]
             at = np.searchsorted(keys, (length << 44) + rank, "right") - 1
             out = [c for k, c in column.items() if k not in ("run", "rank")] + [pa.array(sequence[at] + rank - first[at]), pa.array(place[at])]
             yield pa.record_batch(out, [k for k in column if k not in ("run", "rank")] + ["sequence_id", "offset"])
