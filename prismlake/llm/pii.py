@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Documents for fitting, at most (by hash of doc_id): the bound of the driver's data.
 SAMPLE_DOCUMENTS = 2000
+#: ... and nodes of each: of a document with more, a stretch of them from a place that a hash decides on.
+SAMPLE_NODES = 200
 CONFIDENCE = 0.95
 CHAIN_REACH = 3
 
@@ -180,7 +183,8 @@ def _interesting(t: Texts) -> np.ndarray:
 def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, steps: int = 200) -> Field | None:
     """The field, from at most sample_documents documents with a digit or `@`; None if there is none.
 
-    Tasks make the nodes (features, labels, edges); the driver gets these of the sample only.
+    Tasks make the nodes (features, labels, edges); the driver gets these of the sample only, SAMPLE_NODES of a
+    document at most.
     """
     some = documents.where("doc_id is not null and text rlike '[0-9@]'").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").select("text")
@@ -194,6 +198,13 @@ def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, steps: i
         after: list[list[dict]] = [[] for _ in g.row]
         for i, j, kind in g.edges:
             after[i].append({"label": g.label[j], "kind": kind})
+        keep = []
+        for r in range(piece.num_rows):
+            own = range(*np.searchsorted(g.row, [r, r + 1]))
+            spare = len(own) - SAMPLE_NODES
+            begin = zlib.crc32((piece.column(0)[r].as_py() or "").encode("utf-8", "replace")) % (spare + 1) if spare > 0 else 0
+            keep += own[begin : begin + SAMPLE_NODES]
+        g.label, g.features, after = ([v[i] for i in keep] for v in (g.label, g.features, after))
         pairs = pa.list_(pa.struct([("label", pa.int32()), ("kind", pa.int32())]))
         return pa.record_batch([pa.array(g.label, pa.int32()), pa.array(g.features, pa.list_(pa.int32())), pa.array(after, pairs)], ["label", "features", "pairs"])
 
