@@ -19,6 +19,8 @@ from prismlake.llm.textkernel import Texts, first_of_equal, mix, over_texts
 
 #: Labelled documents for fitting, at most (by hash of doc_id): the bound of the driver's data.
 SAMPLE_DOCUMENTS = 4000
+#: ... and lines of each for fitting: with the documents, the bound of the driver's data.
+SAMPLE_LINES = 500
 GOOD_AT = 0.7
 BINS = 8
 
@@ -133,14 +135,20 @@ class LineField:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, steps: int = 60) -> LineField | None:
-    """Fits on at most sample_documents labelled documents whose crc32(doc_id) mod 4 is not 2; None if
-    either class has none. Line statistics are made by tasks; only these reach the driver."""
+    """Fits on at most sample_documents labelled documents whose crc32(doc_id) mod 4 is not 2, and on at most
+    SAMPLE_LINES lines of each, from a place that a hash of the text decides on; None if either class has
+    none. Line statistics are made by tasks; only these reach the driver."""
     chosen = labels.where("quality is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_documents)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
     def lines(piece: pa.RecordBatch) -> pa.RecordBatch:
         t = Texts(piece.column(1))
         stats, row, size = line_statistics(t)
+        of_row = np.arange(len(row)) - np.searchsorted(row, row)
+        spare = np.maximum(np.bincount(row, minlength=t.n) - SAMPLE_LINES, 0)
+        begin = (t.span_hash(t.bounds[:-1], t.bounds[1:]) % (spare + 1).astype(np.uint64)).astype(np.int64)
+        keep = (of_row >= begin[row]) & (of_row < begin[row] + SAMPLE_LINES)
+        stats, row, size = stats[keep], row[keep], size[keep]
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=t.n))]).astype(np.int32)
         flat = pa.ListArray.from_arrays(pa.array(ends * stats.shape[1]), pa.array(stats.ravel()))
         return pa.record_batch([piece.column(0), piece.column(2), flat, pa.ListArray.from_arrays(pa.array(ends), pa.array(size.astype(np.int64)))], ["doc_id", "quality", "stats", "size"])
