@@ -2,9 +2,9 @@
 
 Listing rules (host and path) come first. Pages they don't name are judged by rules that Spark's
 FP-growth mines from labelled URLs: token sets that imply `block` with enough support and confidence.
-Only URLs that no listing rule names are learned from, as only such are judged: what the listing blocks
-says nothing of other hosts. Rules are mined on three quarters of the hosts and must hold on the URLs of
-the rest, where they match any. Mined rules are kept minimal (no rule whose antecedent holds another
+A label says what a host's words are, never what the listing says of it: what the listing blocks says
+nothing of other hosts. A rule must hold for the hosts that it matches as it does for their URLs, so that
+no host with many URLs makes a rule for others. Mined rules are kept minimal (no rule whose antecedent holds another
 rule's) and match through an inverted index of token to rules, an equi-join. Spark broadcasts the index
 only if it is small.
 """
@@ -26,8 +26,6 @@ MIN_SUPPORT = 0.002
 MIN_URLS = 5
 MIN_CONFIDENCE = 0.8
 MAX_ANTECEDENT = 3
-#: A host in so many is held out of the mining, to check the rules on.
-HELD_OUT = 4
 BLOCK, ALLOW = "label=block", "label=allow"
 
 
@@ -63,16 +61,14 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
 def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT, unwanted=UNWANTED) -> DataFrame:
     """rule_id, antecedent, confidence, support of the minimal rules that imply block.
 
-    urls: host, path, url, verdict (of the listing, or null; those with one are left out). The label of a URL
-    is block if its host has an unwanted word, else allow. The support threshold is a share, so that the
+    urls: host, path, url. The label of a URL is block if its host has an unwanted word, else allow. The support threshold is a share, so that the
     number of frequent token sets doesn't grow with the table. Tokens that stand in the same URLs throughout
     (the labels of one long host) count as one, the first of them: each subset of them would be a rule.
     """
     words = F.split("host", "[.-]")
     label = F.when(F.exists(words, lambda w: w.isin(*unwanted)), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     items = F.array_append(tokens(F.col("host"), F.col("path"), F.col("url")), label)
-    every = staged(urls.where("host <> '' and verdict is null").select(items.alias("items"), (F.pmod(F.xxhash64("host"), F.lit(HELD_OUT)) == 0).alias("held")), "baskets")
-    baskets, held = every.where("not held").select("items"), every.where("held").select("items")
+    baskets = staged(urls.where("host <> ''").select("host", items.alias("items")), "baskets")
     spark = urls.sparkSession
     if baskets.isEmpty():
         return spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, support double")
@@ -91,10 +87,11 @@ def mine(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: floa
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_antecedent))
     rules = staged(rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support").withColumn("rule_id", F.xxhash64("antecedent")), "rules")
     index = rules.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("item"))
-    tried = held.withColumn("id", F.monotonically_increasing_id()).select("id", F.array_contains("items", BLOCK).alias("block"), F.explode("items").alias("item"))
-    met = tried.join(index, "item").groupBy("id", "rule_id", "need", "block").agg(F.count("*").alias("have")).where("have = need")
-    broken = met.groupBy("rule_id").agg(F.avg(F.col("block").cast("double")).alias("right")).where(F.col("right") < min_confidence).select("rule_id")
-    rules = staged(rules.join(broken, "rule_id", "left_anti"), "held")
+    tried = baskets.withColumn("id", F.monotonically_increasing_id()).select("id", "host", F.array_contains("items", BLOCK).alias("block"), F.explode("items").alias("item"))
+    met = tried.join(index, "item").groupBy("id", "host", "rule_id", "need", "block").agg(F.count("*").alias("have")).where("have = need")
+    hosts = met.groupBy("rule_id", "host").agg(F.avg(F.col("block").cast("double")).alias("right"))
+    kept = hosts.groupBy("rule_id").agg(F.avg("right").alias("right")).where(F.col("right") >= min_confidence).select("rule_id")
+    rules = staged(rules.join(kept, "rule_id", "left_semi"), "held")
     # minimal: no other rule's antecedent is a proper part of it; candidates meet on a shared token
     a = rules.select("rule_id", F.explode("antecedent").alias("token"), F.col("antecedent").alias("mine"))
     b = rules.select(F.element_at("antecedent", 1).alias("token"), F.col("antecedent").alias("other"))
