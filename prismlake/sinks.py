@@ -30,7 +30,7 @@ def is_prototype(spectra: DataFrame) -> bool:
 
 def model_card(summary: DataFrame, title: str, notes: list[str] | None = None, prototype: bool = False) -> DataFrame:
     """One row of Markdown: a table of key and value, and notes. summary: key, value."""
-    lines = F.array_sort(F.collect_list(F.concat(F.lit("| "), "key", F.lit(" | "), F.coalesce(F.format_string("%.6g", "value"), F.lit("n/a")), F.lit(" |"))))
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("| "), "key", F.lit(" | "), F.when(F.col("value").isNotNull(), F.format_string("%.6g", "value")).otherwise("n/a"), F.lit(" |"))))
     head = [f"# {title}", ""] + (["**Prototype: from images, not validated.**", ""] if prototype else []) + ["| figure | value |", "|-|-|"]
     tail = ["", *(f"- {n}" for n in notes or [])]
     return summary.agg(F.concat_ws("\n", F.lit("\n".join(head)), F.array_join(lines, "\n"), F.lit("\n".join(tail))).alias("markdown"))
