@@ -16,17 +16,19 @@ from prismlake.operators import latent, metrics, quantify, splits
 #: name: a function that makes the learner. More can be put in.
 CLASSIFIERS = {
     "logistic": lambda: LogisticRegression(regParam=0.01, maxIter=50),
-    "linear_svc": lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30)),
-    "random_forest": lambda: RandomForestClassifier(numTrees=60, maxDepth=8, seed=42),
+    "random_forest": lambda: RandomForestClassifier(numTrees=30, maxDepth=6, seed=42),
 }
 #: Needs a fit for each class; for few classes.
-SLOW_CLASSIFIERS = {"boosted_trees": lambda: OneVsRest(classifier=GBTClassifier(maxIter=50, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=42))}
+SLOW_CLASSIFIERS = {
+    "linear_svc": lambda: OneVsRest(classifier=LinearSVC(regParam=0.01, maxIter=30)),
+    "boosted_trees": lambda: OneVsRest(classifier=GBTClassifier(maxIter=50, stepSize=0.05, maxDepth=3, subsamplingRate=0.8, seed=42)),
+}
 #: Ridge, lasso and elastic net by Spark's penalty (of standardised columns).
 REGRESSORS = {
     "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
     "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0),
     "elastic_net": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5),
-    "random_forest": lambda: RandomForestRegressor(numTrees=60, maxDepth=8, seed=42),
+    "random_forest": lambda: RandomForestRegressor(numTrees=30, maxDepth=6, seed=42),
     "boosted_trees": lambda: GBTRegressor(maxIter=30, maxDepth=3, seed=42),
 }
 

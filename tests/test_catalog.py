@@ -8,7 +8,10 @@ from prismlake.plans import catalog
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: Queries without SQL whose methods other tests hold against numpy, and which take long.
-SLOW = {"one_class_scores", "one_class_decisions", "permutation_test", "one_class_sensitivity"}
+SLOW = {
+    "one_class_scores", "one_class_decisions", "permutation_test", "one_class_sensitivity", "classifier_benchmark", "regressor_benchmark", "preprocessing_comparison",
+    "bootstrap_vip", "variant_trees", "wold_test", "training_flags", "one_class_specificity", "acceptance_boundary", "kennard_stone_split",
+}
 
 
 @pytest.fixture(scope="module")
