@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.llm import chat, decontaminate, language, line_quality, neardup, packing, pii, quality_rules, substring, url_filter
+from prismlake.llm import chat, decontaminate, language, line_quality, neardup, packing, pii, quality_rules, substring, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,8 +65,13 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(documents, line_quality.fit(documents, _read(spark, sf_dir, "labels")))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.digests(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality, op13_warc)}
 
 
 #: Items of fewer than five words (none in the tables) would need their own width here.
@@ -87,6 +92,16 @@ SELECT doc_id, item_id, shared, size, shared / size AS containment
 FROM shared JOIN sizes USING (item_id) WHERE shared >= 0.8 * size - 1e-9
 """
 
+_OP13 = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 _OP8 = r"""
 WITH t AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -108,4 +123,4 @@ FROM r GROUP BY conv_id
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others fit models, search by hashes or tokenise."""
-    return {"op1_decontamination": _OP1, "op8_chat_format": _OP8}
+    return {"op1_decontamination": _OP1, "op8_chat_format": _OP8, "op13_warc": _OP13}
