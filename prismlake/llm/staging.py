@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_A_TASK, LEAST_TASKS = 20_000, 12
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost
     executor costs no recomputation of what stands before. rows: a known bound on its rows, for tables of
     which a few rows only may be left, so that they are not dealt over many empty tasks and files."""
@@ -34,7 +34,7 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_A_TASK)))
     path = f"{shared_dir(spark)}/prismlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -100,7 +100,7 @@ def archive(pages: DataFrame, path: str | None = None, size: int = CHUNK_BYTES)
     spark = pages.sparkSession
     spark.dataSource.register(Warc)
     path = path or f"{shared_dir(spark)}/prismlake/warc-{uuid.uuid4().hex}"
-    chunks = staged(chunk_rows(pages, size), "warc-chunks")
+    chunks = staged(chunk_rows(pages, size), "warc-chunks", codec="zstd")
     heads = staged(chunks.where("chunk = chunks - 1").select("record", "page_id", "url", "bytes", "digest", "chunks"), "warc-heads")
     # only revisits and records of several chunks need facts that their chunks don't carry themselves
     facts = staged(
