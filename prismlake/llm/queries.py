@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.llm import chat, decontaminate, language, line_quality, neardup, packing, pii, quality_rules, substring, url_filter, warc
+from prismlake.llm import chat, decontaminate, language, line_quality, neardup, packing, phrases, pii, quality_rules, substring, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -65,13 +65,18 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(documents, line_quality.fit(documents, _read(spark, sf_dir, "labels")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     return warc.digests(_read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality, op13_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality, op12_phrases, op13_warc)}
 
 
 #: Items of fewer than five words (none in the tables) would need their own width here.
@@ -92,6 +97,37 @@ SELECT doc_id, item_id, shared, size, shared / size AS containment
 FROM shared JOIN sizes USING (item_id) WHERE shared >= 0.8 * size - 1e-9
 """
 
+_OP12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(words)
+), f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(c) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND c >= 10),
+cut AS (SELECT lang, phrase, a, words, k, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, a, j, x.c AS l, y.c AS r, (CAST(a AS HUGEINT) * a * 1000000) // (CAST(x.c AS HUGEINT) * y.c) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1 : j], ' ')
+           JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(words[j + 1 : cut.k], ' ')
+), worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, array_to_string(words[1 : 2], ' ') AS phrase, a FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(words[2 : 3], ' '), a FROM c WHERE k = 3
+  ) GROUP BY lang, phrase
+), kept AS (
+  SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 _OP13 = r"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -123,4 +159,4 @@ FROM r GROUP BY conv_id
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others fit models, search by hashes or tokenise."""
-    return {"op1_decontamination": _OP1, "op8_chat_format": _OP8, "op13_warc": _OP13}
+    return {"op1_decontamination": _OP1, "op8_chat_format": _OP8, "op12_phrases": _OP12, "op13_warc": _OP13}
