@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.llm import chat, decontaminate, language, line_quality, neardup, packing, phrases, pii, quality_rules, substring, url_filter, warc
+from prismlake.llm import alignment, chat, decontaminate, language, line_quality, neardup, packing, phrases, pii, quality_rules, substring, url_filter, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.score_documents(documents, line_quality.fit(documents, _read(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 phrases of each language."""
     return phrases.collocations(_read(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality, op12_phrases, op13_warc)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_repeated_passages, op4_minhash_dedup, op5_best_fit_packing, op6_personal_data, op7_url_rules, op8_chat_format, op9_language, op10_line_quality, op11_alignment, op12_phrases, op13_warc)}
 
 
 #: Items of fewer than five words (none in the tables) would need their own width here.
