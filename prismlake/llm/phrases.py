@@ -35,10 +35,10 @@ from prismlake.llm.staging import staged
 MIN_COUNT, MAX_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: A word is hot with more occurrences than HOT_COUNT and than one in MOST_HOT of all words: MOST_HOT words at most are.
 HOT_COUNT, MOST_HOT = 100_000, 1_000_000
-#: Text that is counted at once, in bytes.
-STRETCH = 4 << 20
-#: Phrases of a language that a task ranks at once.
-RANKED = 1_000_000
+#: Text that is counted at once, in bytes: the more, the fewer pointers are sent.
+STRETCH = 12 << 20
+#: Phrases that a task ranks at once, in up to MOST_PARTS parts of which each sends its first ones.
+RANKED, MOST_PARTS = 20_000, 256
 #: Fixed characters of the contract: between words, and between pieces.
 SPACES, CUTS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 
@@ -77,7 +77,7 @@ def stretches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[s
                 continue
             held.setdefault(lang, []).append(bytes(data))
             size[lang] = size.get(lang, 0) + data.size
-            if size[lang] > STRETCH or sum(size.values()) > 8 * STRETCH:
+            if size[lang] > STRETCH or sum(size.values()) > 2 * STRETCH:
                 largest = max(size, key=size.get)
                 yield largest, _LOWER[np.frombuffer(b"\n".join(held.pop(largest)), np.uint8)], None
                 del size[largest]
@@ -135,10 +135,10 @@ def projections(texts: DataFrame, items: np.ndarray, hot: set[tuple[str, str]],
                 continue
             item = bitmaps.probe(table, np.array([_key(lang, w) for w in names], np.uint64))
             is_hot = np.array([(lang, w) in hot_words for w in names] + [False])
-            code = words.indices.to_numpy().astype(np.int64)
+            code = words.indices.to_numpy()
             n = len(code)
             # row k of follow: the k-th word of the pointer, or -1 where it has ended
-            follow = np.full((most, n), -1, np.int64)
+            follow = np.full((most, n), -1, np.int32)
             follow[0] = np.where(item[code], code, -1)
             for k in range(1, most):
                 if n > k:
@@ -153,8 +153,11 @@ def projections(texts: DataFrame, items: np.ndarray, hot: set[tuple[str, str]],
                 packed = np.zeros(follow.shape[1], np.int64)
                 for row in follow:
                     packed = packed * base + row + 1
-                packed, times = np.unique(packed, return_counts=True)
-                rows = np.empty((most, len(packed)), np.int64)
+                packed.sort()
+                first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+                times = np.diff(np.concatenate([first, [len(packed)]]))
+                packed = packed[first]
+                rows = np.empty((most, len(packed)), np.int32)
                 for k in range(most - 1, -1, -1):
                     packed, rest = np.divmod(packed, base)
                     rows[k] = rest - 1
@@ -189,23 +192,25 @@ def grown(pointers: DataFrame, hot: set[tuple[str, str]], least: int, most: int)
     those that several owners share."""
     shared = pointers.sparkSession.sparkContext.broadcast(hot)
 
-    def extend(prefix: list[str], rest: np.ndarray, times: np.ndarray, names: list[str], depth: int) -> Iterator[tuple[str, int]]:
+    def extend(prefix: str, pointers: list[tuple[str, int]]) -> Iterator[tuple[str, int]]:
         """Frequent right extensions of a prefix, each followed by its own."""
-        if depth == rest.shape[0]:
+        total: dict[str, int] = {}
+        for rest, n in pointers:
+            word = rest.partition(" ")[0]
+            total[word] = total.get(word, 0) + n
+        own: dict[str, list[tuple[str, int]]] = {w: [] for w, n in total.items() if n >= least and w}
+        if not own:
             return
-        order = np.argsort(rest[depth], kind="stable")
-        rest, times = rest[:, order], times[order]
-        total = np.bincount(np.maximum(rest[depth], 0), np.where(rest[depth] >= 0, times, 0), len(names))
-        for w in np.flatnonzero(total >= least):
-            longer = [*prefix, names[w]]
-            yield " ".join(longer), int(total[w])
-            a, z = np.searchsorted(rest[depth], [w, w + 1])
-            yield from extend(longer, rest[:, a:z], times[a:z], names, depth + 1)
-
-    def grow_one(lang: str, owner: str, rests: list[str], counts: list[np.ndarray], partial: dict) -> Iterator[tuple[str, int]]:
+        for rest, n in pointers:
+            word, _, more = rest.partition(" ")
+            if more and word in own:
+                own[word].append((more, n))
+        for word, more in own.items():
+            yield f"{prefix} {word}", total[word]
+            yield from extend(f"{prefix} {word}", more)
+
+    def grow_one(lang: str, owner: str, total: int, rests: list[str], counts: list[np.ndarray], partial: dict) -> Iterator[tuple[str, int]]:
         words = owner.split(" ")
-        times = np.concatenate(counts).astype(np.int64)
-        total = int(times.sum())
         for k in range(2, len(words)):  # all hot: owners with other words after them add to these
             partial[lang, " ".join(words[:k])] = partial.get((lang, " ".join(words[:k])), 0) + total
         if len(words) > 1:
@@ -213,43 +218,50 @@ def grown(pointers: DataFrame, hot: set[tuple[str, str]], least: int, most: int)
                 partial[lang, owner] = partial.get((lang, owner), 0) + total
             elif total >= least:
                 yield owner, total
-        if total < least or len(words) == most:
-            return
-        lines = [line.split(" ") if line else [] for text in rests for line in text.split("\n")]
-        names: dict[str, int] = {}
-        rest = np.full((most - len(words), len(lines)), -1, np.int64)
-        for i, line in enumerate(lines):
-            for k, w in enumerate(line):
-                rest[k, i] = names.setdefault(w, len(names))
-        yield from extend(words, rest, times, list(names), 0)
+        if total >= least and len(words) < most:
+            yield from extend(owner, [p for text, n in zip(rests, counts, strict=True) for p in zip(text.split("\n"), n.tolist(), strict=True)])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partial: dict[tuple[str, str], int] = {}
         out: list[tuple[str, str, int, bool]] = []
+        # the last prefix of a batch may go on in the next one
         now: tuple[str, str] | None = None
-        rests: list[str] = []
-        counts: list[np.ndarray] = []
+        total, rests, counts = 0, [], []
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["lang", "phrase", "n", "whole"])
 
+        def close() -> None:
+            if now is not None:
+                out.extend((now[0], p, n, True) for p, n in grow_one(*now, total, rests, counts, partial))
+
         for b in batches:
+            if not b.num_rows:
+                continue
+            lang, owner, rest = b.column(0), b.column(1), b.column(2)
             values, at = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
-            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            sums = np.add.reduceat(values[: at[-1]], at[:-1], dtype=np.int64)
+            new = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(owner[1:], owner[:-1])).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.concatenate([[True], new]))
+            size = np.add.reduceat(sums, start)
+            single = pc.equal(pc.find_substring(owner, " "), -1).to_numpy(zero_copy_only=False)[start]
+            for i, (a, z) in enumerate(zip(start.tolist(), [*start[1:].tolist(), b.num_rows], strict=True)):
+                if 0 < i < len(start) - 1 and single[i] and size[i] < least:
+                    continue  # a whole prefix of one word with fewer occurrences than a pattern needs
+                key = (lang[a].as_py(), owner[a].as_py())
                 if key != now:
-                    if now is not None:
-                        out += [(now[0], p, n, True) for p, n in grow_one(*now, rests, counts, partial)]
-                    now, rests, counts = key, [], []
-                rests.append(b.column(2)[i].as_py())
-                counts.append(values[at[i] : at[i + 1]])
+                    close()
+                    now, total, rests, counts = key, 0, [], []
+                total += int(size[i])
+                rests += rest[a:z].to_pylist()
+                counts += [values[at[k] : at[k + 1]] for k in range(a, z)]
             if len(partial) > 100_000:
                 out += [(*k, n, False) for k, n in partial.items()]
                 partial.clear()
             if len(out) > 10_000:
                 yield batch(out)
                 out = []
-        if now is not None:
-            out += [(now[0], p, n, True) for p, n in grow_one(*now, rests, counts, partial)]
+        close()
         out += [(*k, n, False) for k, n in partial.items()]
         if out:
             yield batch(out)
@@ -303,7 +315,7 @@ def ranked(scored: DataFrame, top: int) -> DataFrame:
     """The first `top` of each language, with rank. Parts of a language are ranked first, so no task orders it all."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     stored = staged(scored, "phrase-scores")
-    parts = stored.count() // RANKED + 1
+    parts = min(stored.count() // RANKED + 1, MOST_PARTS)
     some = stored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
     few = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("rank", "part")
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
