@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from prismlake.llm.packing import encoding
 from prismlake.llm.staging import staged
 
 #: Text of one DuckDB call, and from where on a text is taken in parts, in characters.
-CALL, PART = 1 << 20, 1 << 20
+CALL, PART = 1 << 18, 1 << 18
 #: Counts that are broadcast to the tasks.
 MOST_SHARED = 1 << 20
 #: Distinct pairs whose partial counts a task holds.
@@ -40,18 +41,17 @@ HELD = 1 << 20
 _BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 _LINKS = """
-SELECT part, a * {width} + b AS key, CAST(count(*) AS INTEGER) AS n FROM (
-  SELECT a.part, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s
+SELECT part, key, CAST(count(*) AS INTEGER) AS n FROM (
+  SELECT a.part, CAST(a.id AS BIGINT) * {width} + b.id AS key FROM a ASOF JOIN b ON a.s >= b.s
   UNION ALL
-  SELECT a.part, a.id, b.id FROM b ASOF JOIN a ON b.s >= a.s WHERE b.s > a.s
+  SELECT a.part, CAST(a.id AS BIGINT) * {width} + b.id FROM b ASOF JOIN a ON b.s >= a.s WHERE b.s > a.s
 ) GROUP BY ALL ORDER BY part, key
 """
+#: Tokens of one side in order: whether the other side ends there too, and how many common ends came before. The
+#: tables are in order and there is one thread, so the window is summed as rows come, without a sort; s shows it.
 _GROUPS = """
-WITH cuts AS (SELECT a.e FROM a SEMI JOIN b ON a.e = b.e),
-     t AS (SELECT 0 AS side, a.part, a.id, a.s, c.e IS NOT NULL AS cut FROM a LEFT JOIN cuts c ON a.e = c.e
-           UNION ALL SELECT 1, b.part, b.id, b.s, c.e IS NOT NULL FROM b LEFT JOIN cuts c ON b.e = c.e),
-     g AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY side ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM t)
-SELECT part, side, id, cut FROM g ORDER BY g, side, s
+SELECT s, cut, sum(CAST(cut AS INTEGER)) OVER (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CAST(cut AS INTEGER) AS g
+FROM (SELECT s, e IN (SELECT e FROM {other}) AS cut FROM {side})
 """
 
 
@@ -67,10 +67,11 @@ class Sides:
         self.a_bytes = [self.a.decode_single_token_bytes(i) for i in range(self.a.max_token_value + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_flat, self.b_start = np.frombuffer(b"".join(self.b_bytes), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in self.b_bytes])])[:-1]
         self.divisible = not any("▁" in p.lstrip("▁") for p in pieces)
         self.a_size, self.b_size = (np.array([len(t) for t in table], np.int64) for table in (self.a_bytes, self.b_bytes))
         # text of a token and what follows it: side A has "," or "|", side B "," or ";"
-        self.names = [[f"{i}{end}" for i in range(len(table)) for end in (",", mark)] for table, mark in ((self.a_bytes, "|"), (self.b_bytes, ";"))]
+        self.names = pa.array([f"{i}{end}" for table, mark in ((self.a_bytes, "|"), (self.b_bytes, ";")) for i in range(len(table)) for end in (",", mark)])
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.execute("SET enable_progress_bar = false")
 
@@ -84,34 +85,52 @@ class Sides:
 
     def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of both sides for each part; None where the bytes of the ids aren't the part."""
-        out = []
-        for part, b in zip(parts, self.b.encode([p[1:] for p in parts], num_threads=1), strict=True):
-            a = self.a.encode_to_numpy(part, allowed_special=set(), disallowed_special=())
-            want = part.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-            out.append((a.astype(np.int64), np.array(b, np.int64)) if same else None)
-        return out
+        want = [p.encode() for p in parts]
+        a = [self.a.encode_to_numpy(p, allowed_special=set(), disallowed_special=()).astype(np.int32) for p in parts]
+        b = [np.array(i, np.int32) for i in self.b.encode([p[1:] for p in parts], num_threads=1)]
+        # A merges the text's own bytes and loses none; B may have changed some, so its bytes are laid out
+        same = np.array([self.a_size[x].sum() == len(w) == self.b_size[y].sum() for x, y, w in zip(a, b, want, strict=True)])
+        whole = np.flatnonzero(same)
+        if len(whole):
+            ids = np.concatenate([b[k] for k in whole])
+            size = self.b_size[ids]
+            at = np.repeat(self.b_start[ids] - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            wrong = self.b_flat[at] != np.frombuffer(b"".join(want[k] for k in whole), np.uint8)
+            first = np.cumsum([0] + [len(want[k]) for k in whole])
+            same[whole] = np.diff(np.concatenate([[0], np.cumsum(wrong)])[first]) == 0
+        return [(x, y) if ok else None for x, y, ok in zip(a, b, same, strict=True)]
 
     def align(self, ids: list[tuple[np.ndarray, np.ndarray]]) -> list[Found]:
         """What is found in each part, of one pair of interval tables for all."""
-        for name, side, size in (("a", 0, self.a_size), ("b", 1, self.b_size)):
-            flat = np.concatenate([i[side] for i in ids])
-            end = np.cumsum(size[flat])
-            table = pa.table({"part": pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), [len(i[side]) for i in ids])), "id": flat, "s": end - size[flat], "e": end})
-            self.db.register(name, table)
+        flat, ends = [], []
+        for side, size in enumerate((self.a_size, self.b_size)):
+            flat.append(np.concatenate([i[side] for i in ids]))
+            ends.append(np.cumsum(size[flat[side]]))
+            counts = [len(i[side]) for i in ids]
+            # places of a call fit 32 bits, unless one part alone is longer
+            kind = np.int32 if ends[side][-1] < 2**31 else np.int64
+            table = pa.table({"part": np.repeat(np.arange(len(ids), dtype=np.int32), counts), "id": flat[side], "s": (ends[side] - size[flat[side]]).astype(kind), "e": ends[side].astype(kind)})
+            self.db.register("ab"[side], table)
         links = self.db.execute(_LINKS.format(width=len(self.b_bytes))).fetchnumpy()
-        groups = self.db.execute(_GROUPS).fetchnumpy()
-        every = np.arange(len(ids) + 1)
-        at, tokens = np.searchsorted(links["part"], every), np.searchsorted(groups["part"], every)
-        code = groups["id"] * 2 + groups["cut"].astype(np.int64)
-        texts = np.where(groups["side"] == 0, code, len(self.names[0]) + code).tolist()
-        names = [*self.names[0], *self.names[1]]
-        closed = np.concatenate([[0], np.cumsum(groups["cut"] & (groups["side"] == 1))])
+        sides = [self.db.execute(_GROUPS.format(side=x, other=y)).fetchnumpy() for x, y in ("ab", "ba")]
+        if any((np.diff(g["s"]) <= 0).any() for g in sides):
+            raise RuntimeError("token intervals came back out of order")
+        (a_cut, a_group), (b_cut, b_group) = ((g["cut"], np.asarray(g["g"], np.int64)) for g in sides)
+        # groups one after the other, of each A's tokens and then B's
+        n = int(a_group[-1]) + 1
+        a_count, b_count = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        text = np.empty(len(a_cut) + len(b_cut), np.int32)
+        text[np.arange(len(a_cut)) + (np.cumsum(b_count) - b_count)[a_group]] = flat[0] * 2 + a_cut
+        text[np.arange(len(b_cut)) + np.cumsum(a_count)[b_group]] = 2 * len(self.a_bytes) + flat[1] * 2 + b_cut
+        begin = np.cumsum([0] + [len(i[0]) + len(i[1]) for i in ids])
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), self.names.take(pa.array(text))), "")
+        at = np.searchsorted(links["part"], np.arange(len(ids) + 1))
+        closed = np.concatenate([[0], np.cumsum(a_cut)])[np.cumsum([0] + [len(i[0]) for i in ids])]
         out = []
         for k, (a, b) in enumerate(ids):
-            span, token = slice(at[k], at[k + 1]), slice(tokens[k], tokens[k + 1])
-            text = "".join(map(names.__getitem__, texts[token]))
-            out.append(Found(len(a), len(b), int(closed[token.stop] - closed[token.start]), [text], [links["key"][span]], [links["n"][span]]))
+            span = slice(at[k], at[k + 1])
+            out.append(Found(len(a), len(b), int(closed[k + 1] - closed[k]), [texts[k].as_buffer()], [links["key"][span]], [links["n"][span]]))
         return out
 
 
@@ -122,7 +141,7 @@ class Found:
     n_a: int = 0
     n_b: int = 0
     n_groups: int = 0
-    text: list[str] = field(default_factory=list)
+    text: list[pa.Buffer] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)
     times: list[np.ndarray] = field(default_factory=list)
 
@@ -143,7 +162,7 @@ class Found:
             return ""
         state = hashlib.sha256()
         for k, text in enumerate(self.text):
-            state.update((text if k + 1 < len(self.text) else text[:-1]).encode())
+            state.update(text if k + 1 < len(self.text) else text.slice(0, text.size - 1))
         return state.hexdigest()
 
 
