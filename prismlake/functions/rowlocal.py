@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row. Without it the optimiser may put the expression of a value into
+    a lambda, where it runs again for every cell."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return bound(x, lambda v: total(v) / F.size(v))
+
+
+def _sd(x: Column, ddof: int) -> Column:
+    return bound(total(x) / F.size(x), lambda m: F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / (F.size(x) - ddof)))
 
 
 def sd(x: Column, ddof: int = 0) -> Column:
-    m = mean(x)
-    return F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / (F.size(x) - ddof))
+    return bound(x, lambda v: _sd(v, ddof))
 
 
 def snv(x: Column) -> Column:
     """Standard normal variate: row mean 0, row deviation 1 (population; a constant row keeps scale 1)."""
-    s = F.struct(mean(x).alias("m"), sd(x).alias("s"))
-    scaled = F.transform(F.array(s), lambda t: F.transform(x, lambda v: (v - t["m"]) / F.when(t["s"] == 0, 1.0).otherwise(t["s"])))
-    return F.element_at(scaled, 1)
+
+    def scale(row: Column) -> Column:
+        s = F.struct((total(row) / F.size(row)).alias("m"), _sd(row, 0).alias("s"))
+        return bound(s, lambda t: F.transform(row, lambda v: (v - t["m"]) / F.when(t["s"] == 0, 1.0).otherwise(t["s"])))
+
+    return bound(x, scale)
 
 
 def l2_normalize(x: Column) -> Column:
-    norm = F.sqrt(total(F.transform(x, lambda v: v * v)))
-    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(x, lambda v: v / F.when(n == 0, 1.0).otherwise(n))), 1)
+    return bound(x, lambda row: bound(F.sqrt(dot(row, row)), lambda n: F.transform(row, lambda v: v / F.when(n == 0, 1.0).otherwise(n))))
 
 
 def constants(values: np.ndarray) -> Column:
@@ -42,16 +55,20 @@ def msc(x: Column, reference: Column) -> Column:
     """Scatter correction against a reference spectrum: (x - a) / b with b = cov(ref, x) / var(ref).
 
     |b| <= 1e-12: x - a. A flat reference (variance under 1e-12): x - mean(x)."""
-    mr, mx = mean(reference), mean(x)
-    var = total(F.transform(reference, lambda r: (r - mr) * (r - mr))) / F.size(reference)
-    cov = total(F.zip_with(reference, x, lambda r, v: (r - mr) * (v - mx))) / F.size(x)
-    s = F.struct(mr.alias("mr"), mx.alias("mx"), var.alias("var"), (cov / F.when(var < 1e-12, None).otherwise(var)).alias("b"))
 
     def correct(t: Column) -> Column:
-        a = t["mx"] - t["b"] * t["mr"]
-        return F.transform(x, lambda v: F.when(t["var"] < 1e-12, v - t["mx"]).when(F.abs(t["b"]) <= 1e-12, v - a).otherwise((v - a) / t["b"]))
+        row, ref, mr, mx = t["x"], t["r"], t["mr"], t["mx"]
+        var = total(F.transform(ref, lambda r: (r - mr) * (r - mr))) / F.size(ref)
+        cov = total(F.zip_with(ref, row, lambda r, v: (r - mr) * (v - mx))) / F.size(row)
+        line = F.struct(var.alias("var"), (cov / F.when(var < 1e-12, None).otherwise(var)).alias("b"))
+
+        def apply(c: Column) -> Column:
+            a = mx - c["b"] * mr
+            return F.transform(row, lambda v: F.when(c["var"] < 1e-12, v - mx).when(F.abs(c["b"]) <= 1e-12, v - a).otherwise((v - a) / c["b"]))
+
+        return bound(line, apply)
 
-    return F.element_at(F.transform(F.array(s), correct), 1)
+    return bound(F.struct(x.alias("x"), reference.alias("r")), lambda t: bound(F.struct(t["x"].alias("x"), t["r"].alias("r"), mean(t["r"]).alias("mr"), mean(t["x"]).alias("mx")), correct))
 
 
 def affine(x: Column, shift: Column, scale: Column) -> Column:
@@ -59,23 +76,49 @@ def affine(x: Column, shift: Column, scale: Column) -> Column:
     return F.transform(F.arrays_zip(x.alias("a"), shift.alias("b"), scale.alias("c")), lambda t: (t["a"] - t["b"]) / F.when(t["c"] == 0, 1.0).otherwise(t["c"]))
 
 
+def savgol_weights(window: int = 7, poly: int = 2, deriv: int = 1) -> np.ndarray:
+    """Row k: the weights that give the derivative at place k of a window from its values, by the polynomial
+    fitted to them."""
+    if window % 2 == 0 or poly >= window:
+        raise ValueError("the window must be odd and above poly")
+    h = window // 2
+    fit = np.linalg.pinv(np.vander(np.arange(-h, h + 1), poly + 1, increasing=True))
+    powers = [[np.prod(np.arange(k, k - deriv, -1)) * float(at) ** (k - deriv) if k >= deriv else 0.0 for k in range(poly + 1)] for at in range(-h, h + 1)]
+    return np.array(powers) @ fit
+
+
 def savgol_kernel(p: int, window: int = 7, poly: int = 2, deriv: int = 1) -> np.ndarray:
     """The p x p matrix D with x D the Savitzky-Golay filtered row; edges take the polynomial fitted to the
     first and last window."""
-    if window % 2 == 0 or window > p or poly >= window:
+    if window > p:
         raise ValueError("the window must be odd, above poly and at most the number of channels")
-    h = window // 2
-    fit = np.linalg.pinv(np.vander(np.arange(-h, h + 1), poly + 1, increasing=True))
+    weights = savgol_weights(window, poly, deriv)
     out = np.zeros((p, p))
     for j in range(p):
-        centre = min(max(j, h), p - 1 - h)
-        at = j - centre
-        # value of the derivative of the fitted polynomial at the place of j
-        row = [np.prod(np.arange(k, k - deriv, -1)) * float(at) ** (k - deriv) if k >= deriv else 0.0 for k in range(poly + 1)]
-        out[centre - h : centre + h + 1, j] = np.array(row) @ fit
+        start = min(max(j - window // 2, 0), p - window)
+        out[start : start + window, j] = weights[j - start]
     return out
 
 
+def savgol(x: Column, window: int = 7, poly: int = 2, deriv: int = 1) -> Column:
+    """The filtered row, at any number of channels: window x window weights are all that the expression holds.
+    Null for a row shorter than the window."""
+    weights = constants(savgol_weights(window, poly, deriv))
+
+    def filtered(row: Column) -> Column:
+        start = lambda j: F.least(F.greatest(j - window // 2, F.lit(0)), F.size(row) - window)
+        return F.transform(F.sequence(F.lit(0), F.size(row) - 1), lambda j: dot(F.slice(row, start(j) + 1, F.lit(window)), F.slice(weights, (j - start(j)) * window + 1, F.lit(window))))
+
+    return bound(x, lambda row: F.when(F.size(row) >= window, filtered(row)))
+
+
+def two_taps(x: Column, left: np.ndarray, right: np.ndarray, share: np.ndarray) -> Column:
+    """For each output x[left] (1 - share) + x[right] share."""
+    a, b, s = constants(left).cast("array<int>"), constants(right).cast("array<int>"), constants(share)
+    taps = F.arrays_zip(a.alias("a"), b.alias("b"), s.alias("s"))
+    return bound(x, lambda row: F.transform(taps, lambda t: F.get(row, t["a"]) * (1 - t["s"]) + F.get(row, t["b"]) * t["s"]))
+
+
 def banded(x: Column, kernel: np.ndarray) -> Column:
     """x K for a matrix whose columns have their non-zeros close together: each output is the product of a
     slice of x and a slice of one literal of weights, so the expression has one size for any width."""
@@ -84,7 +127,8 @@ def banded(x: Column, kernel: np.ndarray) -> Column:
     width = max((int(s[-1] - s[0]) + 1 for s in spans if len(s)), default=1)
     starts = [min(int(s[0]) if len(s) else 0, p - width) for s in spans]
     weights = constants(np.concatenate([kernel[a : a + width, j] for j, a in enumerate(starts)]))
-    return F.transform(constants(np.array(starts)).cast("array<int>"), lambda a, j: dot(F.slice(x, a + 1, F.lit(width)), F.slice(weights, j * width + 1, F.lit(width))))
+    taps = constants(np.array(starts)).cast("array<int>")
+    return bound(x, lambda row: F.transform(taps, lambda a, j: dot(F.slice(row, a + 1, F.lit(width)), F.slice(weights, j * width + 1, F.lit(width)))))
 
 
 def finite(x: Column) -> Column:
@@ -96,12 +140,14 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / total(e))
+    def share(row: Column) -> Column:
+        e = bound(F.array_max(row), lambda top: F.transform(row, lambda v: F.exp(v - top)))
+        return bound(e, lambda w: bound(total(w), lambda t: F.transform(w, lambda v: v / t)))
+
+    return bound(x, share)
 
 
 def clip_normalize(x: Column) -> Column:
     """Scores cut to [0, 1] over their sum; all zero stays zero. Another rule than softmax, for scoring."""
     cut = F.transform(x, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
-    return F.element_at(F.transform(F.array(total(cut)), lambda s: F.transform(cut, lambda v: F.when(s > 0, v / s).otherwise(0.0))), 1)
+    return bound(cut, lambda c: bound(total(c), lambda s: F.transform(c, lambda v: F.when(s > 0, v / s).otherwise(0.0))))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import rowlocal as R
 from prismlake.operators import diagnostics, latent, preprocess
+from prismlake.operators.gram import channels
 
 
 class _Column(Params):
@@ -55,8 +56,7 @@ class SavGol(Transformer, _Column, DefaultParamsReadable, DefaultParamsWritable)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         c = self.getOrDefault("column")
-        p = len(dataset.select(c).first()[0])
-        return dataset.withColumn(c, R.banded(F.col(c), R.savgol_kernel(p, *(self.getOrDefault(k) for k in ("window", "poly", "deriv")))))
+        return dataset.withColumn(c, R.savgol(F.col(c), *(self.getOrDefault(k) for k in ("window", "poly", "deriv"))))
 
 
 class Msc(Estimator, _Column, DefaultParamsReadable, DefaultParamsWritable):
@@ -100,7 +100,7 @@ class PlsDa(Estimator, _Column, DefaultParamsReadable, DefaultParamsWritable):
 
     def _fit(self, dataset: DataFrame) -> PlsDaModel:
         rows, classes = latent.with_targets(dataset.select(F.col(self.getOrDefault("column")).alias("x"), F.col(self.getOrDefault("label")).cast("string").alias("label")).where("label is not null"))
-        p = len(rows.select("x").first()[0])
+        p = channels(rows)
         m = diagnostics.whole(rows, F.col("y"))
         a = min(self.getOrDefault("components"), p, int(m.n) - 1)
         model = latent.fit_pls(m, p, a)

@@ -8,7 +8,7 @@ come from these alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+Expand = Callable[[np.ndarray, np.ndarray], Iterable[tuple[str, np.ndarray, np.ndarray]]]
+
 
 @dataclass
 class Moments:
@@ -38,8 +40,30 @@ class Moments:
         return Moments(self.n, self.total[keep], self.cross[np.ix_(keep, keep)])
 
 
-def moments(rows: DataFrame, group: str, x: str = "x", y: str = "y") -> dict[str, Moments]:
-    """Moments by the values of a string column (few of them: folds, classes)."""
+def channels(spectra: DataFrame, x: str = "x") -> int:
+    """The channels of the first row that has any. A table without such a row can't be modelled: ValueError."""
+    row = spectra.where(F.col(x).isNotNull()).select(F.size(x).alias("p")).first()
+    if row is None:
+        raise ValueError("no row with a spectrum")
+    return row["p"]
+
+
+def matrix(column: pa.ListArray, p: int | None = None) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix. Different lengths, or a missing value: ValueError."""
+    size = np.diff(column.offsets.to_numpy())
+    if len(size) and (size != (size[0] if p is None else p)).any():
+        raise ValueError(f"spectra of different lengths: {sorted(set(size.tolist()) | ({p} if p is not None else set()))}")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a spectrum with a missing value")
+    return flat.to_numpy().reshape(len(column), -1)
+
+
+def moments(rows: DataFrame, group: str, x: str = "x", y: str = "y", expand: Expand | None = None) -> dict[str, Moments]:
+    """Moments by the values of a string column (few of them: folds, classes). Rows without x or y, or of no
+    group, don't count; no rows: no groups; rows of different lengths fail.
+
+    expand(groups, matrix of x) may yield other sums: (name, the rows that count, their x)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -47,18 +71,21 @@ def moments(rows: DataFrame, group: str, x: str = "x", y: str = "y") -> dict[str
             if not b.num_rows:
                 continue
             g = np.array(b.column(0).to_pylist(), object)
-            z = np.hstack([b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (1, 2)])
-            z = np.hstack([np.ones((len(z), 1)), z])
-            for k in set(g.tolist()):
-                part = z[g == k]
-                sums[k] = sums.get(k, 0) + part.T @ part
+            spectra, targets = (matrix(b.column(i)) for i in (1, 2))
+            for k, on, part in expand(g, spectra) if expand else ((k, g == k, spectra[g == k]) for k in sorted(set(g.tolist()))):
+                z = np.hstack([np.ones((len(part), 1)), part, targets[on]])
+                own = z.T @ z
+                if k in sums and sums[k].shape != own.shape:
+                    raise ValueError("spectra of different lengths")
+                sums[k] = sums[k] + own if k in sums else own
         for k, m in sums.items():
             size = np.arange(len(m), 0, -1)
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(m[np.triu_indices(len(m))]))
             yield pa.record_batch([pa.array([k] * len(m)), pa.array(np.arange(len(m)), pa.int32()), flat], ["g", "i", "row"])
 
     schema = "g string, i int, row array<double>"
-    parts = rows.select(F.col(group).cast("string").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).mapInArrow(add, schema)
+    known = rows.select(F.col(group).cast("string").alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).where("g is not null and x is not null and y is not null")
+    parts = known.mapInArrow(add, schema)
     summed = added(parts, ["g", "i"], schema).toArrow()
     rows_of: dict[str, dict[int, np.ndarray]] = {}
     values, ends = summed["row"].combine_chunks(), summed["row"].combine_chunks().offsets.to_numpy()
@@ -85,6 +112,8 @@ def added(parts: DataFrame, keys: list[str], schema: str, column: str = "row") -
             flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             for n, key in enumerate(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in keys), strict=True)):
                 part = flat[at[n] : at[n + 1]]
+                if key in sums and len(sums[key]) != len(part):
+                    raise ValueError("spectra of different lengths")
                 sums[key] = sums[key] + part if key in sums else part.copy()
         if sums:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums], kinds[i]) for i in range(len(keys))), pa.array(list(sums.values()), pa.list_(pa.float64()))], [*keys, column])

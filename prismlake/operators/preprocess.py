@@ -37,28 +37,23 @@ def truncate(spectra: DataFrame, wn: np.ndarray, lo: float, hi: float) -> tuple[
 
 def interpolate(spectra: DataFrame, wn: np.ndarray, grid: np.ndarray) -> DataFrame:
     """Linear interpolation of every row to another axis, ends clamped: two taps for each grid point."""
-    kernel = np.zeros((len(wn), len(grid)))
     order = np.argsort(wn)
-    for k, g in enumerate(grid):
-        at = int(np.clip(np.searchsorted(wn[order], g), 1, len(wn) - 1))
-        a, b = order[at - 1], order[at]
-        share = float(np.clip((g - wn[a]) / (wn[b] - wn[a]), 0, 1))
-        kernel[a, k] += 1 - share
-        kernel[b, k] += share
-    return spectra.withColumn("x", R.banded(F.col("x"), kernel))
+    at = np.clip(np.searchsorted(wn[order], grid), 1, len(wn) - 1)
+    left, right = order[at - 1], order[at]
+    share = np.clip((grid - wn[left]) / (wn[right] - wn[left]), 0, 1)
+    return spectra.withColumn("x", R.two_taps(F.col("x"), left, right, share))
 
 
 def fit_apply(train: DataFrame, other: DataFrame, steps: tuple[str, ...], window: int = 7) -> DataFrame:
-    """Learns the state of the steps on train and applies them to other."""
+    """Learns the state of the steps on train and applies them to other. A row shorter than the window of a
+    derivative has a null x after it; without training rows, or with null x, so has every row of a learned step."""
     for step in steps:
         if step == "snv":
             f = lambda d: d.withColumn("x", R.snv(F.col("x")))
         elif step == "l2":
             f = lambda d: d.withColumn("x", R.l2_normalize(F.col("x")))
         elif step == "savgol":
-            p = len(train.select("x").first()[0])
-            kernel = R.savgol_kernel(p, min(window, p - (p + 1) % 2))
-            f = lambda d, kernel=kernel: d.withColumn("x", R.banded(F.col("x"), kernel))
+            f = lambda d: d.withColumn("x", R.savgol(F.col("x"), window))
         elif step in ("center", "autoscale", "msc"):
             m, s = column_moments(train)
             if step == "msc":

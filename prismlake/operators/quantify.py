@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import titles
 from prismlake.operators import diagnostics, metrics
-from prismlake.operators.gram import Moments, moments
+from prismlake.operators.gram import Moments, channels, moments
 from prismlake.operators.latent import choose_lv, error_sum, fit_pls, lv_curve
 from prismlake.schema import to_long
 
@@ -19,7 +19,7 @@ MODES = ("blind", "control")
 def calibrate(folded: DataFrame, most: int = 8) -> tuple[DataFrame, int, np.ndarray]:
     """(sample_id, label, fold, y, predicted out of fold; components; coefficients of the whole set). Rows of
     an unknown concentration are left out."""
-    p = len(folded.select("x").first()[0])
+    p = channels(folded)
     rows = folded.where("conc is not null and not isnan(conc)").withColumn("y", F.array("conc"))
     a = choose_lv(lv_curve(rows, p, most), 0.0)
     by = moments(rows, "fold")
@@ -34,7 +34,7 @@ def calibrate(folded: DataFrame, most: int = 8) -> tuple[DataFrame, int, np.ndar
 def by_class(folded: DataFrame, components: int = 3, least: int = 6) -> DataFrame:
     """label, n, rmse, r2, ... of one calibration per class; classes under `least` rows are refused. One
     task per class works on that class's fold moments, not on its rows."""
-    p = len(folded.select("x").first()[0])
+    p = channels(folded)
     rows = folded.where("conc is not null and not isnan(conc)").withColumn("y", F.array("conc")).withColumn("key", F.concat_ws("|", "label", F.col("fold").cast("string")))
     by = moments(rows, "key")
     predicted = F.lit(None).cast("double")
@@ -127,7 +127,7 @@ def calibrate_by_part(parted: DataFrame, keys: tuple[str, ...] = (), most: int =
     from prismlake.operators.splits import hashed_folds
 
     spark = parted.sparkSession
-    p = len(parted.select("x").first()[0])
+    p = channels(parted)
     rows = hashed_folds(known(parted), folds).withColumn("y", F.array("conc")).withColumn("key", F.to_json(F.struct(*keys)) if keys else F.lit("{}"))
     by = moments(rows.withColumn("cell", F.concat_ws("\x01", "key", "part", F.col("fold").cast("string"))), "cell")
     cal: dict[str, list[Moments]] = {}
@@ -172,7 +172,7 @@ def r2_by_class_and_adulterant(spectra: DataFrame, folds: int = 5, most: int = 8
     from prismlake.operators.splits import hashed_folds
 
     spark = spectra.sparkSession
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
     rows = known(spectra).withColumn("adulterant", titles.adulterant_of(F.col("group_id")))
     kinds = rows.where("conc > 0 and adulterant is not null").select("adulterant").distinct()
     pure = rows.where("conc <= 0").drop("adulterant").crossJoin(F.broadcast(kinds))
