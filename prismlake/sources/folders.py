@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import titles
 from prismlake.operators import quality
+from prismlake.sources import datasource
 from prismlake.sources.readers import read_spectra
 
 
@@ -94,12 +95,11 @@ def load(spark: SparkSession, folder: str, use_title: bool = True, content_from_
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """path, folder, title, last_x of each .dx file, from the lines before its data."""
-    files = spark.read.option("encoding", "ISO-8859-1").text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[dD][xX]")
-    lines = files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"(?s)##XY(DATA|POINTS).*", "").alias("head"))
-    number = F.regexp_replace(F.trim(F.regexp_extract("head", r"(?m)^##LASTX=(.*)$", 1)), ",", ".")
-    title = F.nullif(F.trim(F.regexp_extract("head", r"(?m)^##TITLE=(.*)$", 1)), F.lit(""))
-    return lines.select("path", F.element_at(F.split("path", "/"), -2).alias("folder"), title.alias("title"), number.try_cast("double").alias("last_x"))
+    """path, folder, title, last_x, bytes_read of each .dx file. Only blocks up to the first data are read of a
+    file, in a folder on a store that pyarrow.fs knows."""
+    datasource.register(spark)
+    found = spark.read.format("spectra").schema("path string, folder string, title string, last_x double, bytes_read long").load(folder)
+    return found.where(F.lower("path").endswith(".dx"))
 
 
 def prescan(rows: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -146,16 +146,33 @@ def without_provenance(lines: DataFrame, file: str = "path", at: str = "n", text
     return lines.withColumn("_label", F.last(opens, ignorenulls=True).over(w)).where(~is_provenance(F.coalesce("_label", F.lit("")))).drop("_label")
 
 
-def anonymous_titles(lines: DataFrame, file: str = "path", text: str = "line") -> DataFrame:
+def anonymous_titles(lines: DataFrame, file: str = "path", text: str = "line", key: str = "") -> DataFrame:
     """lines with each ##TITLE replaced by a hash of its physical sample and its replicate mark: replicates
-    stay together, names go."""
+    stay together, names go. Codes and dates are few and could be tried out, so give a secret key."""
     title = F.trim(F.regexp_extract(F.col(text), r"(?i)^\s*##TITLE\s*=(.*)$", 1))
     replicate = F.regexp_extract(title, r"[-_]?T_?(\d+)\s*$", 1)
     group = F.trim(F.regexp_replace(title, r"(?i)[-_]?T_?\d+\s*$", ""))
-    new = F.concat(F.lit("##TITLE=S"), F.substring(F.sha2(group, 256), 1, 10), F.when(replicate != "", F.concat(F.lit("-T"), replicate)).otherwise(""))
+    inner = F.sha2(F.concat(F.lit(key), group), 256)
+    digest = F.sha2(F.concat(F.lit(key), inner), 256) if key else inner
+    new = F.concat(F.lit("##TITLE=S"), F.substring(digest, 1, 10), F.when(replicate != "", F.concat(F.lit("-T"), replicate)).otherwise(""))
     return lines.withColumn(text, F.when(F.col(text).rlike(r"(?i)^\s*##TITLE\s*="), new).otherwise(F.col(text)))
 
 
+def sanitise_folder(spark: SparkSession, source: str, target: str, key: str) -> DataFrame:
+    """Copies of all .dx files under source as target/<keyed hash of the path>.dx, without provenance and with
+    anonymous titles; returns n_files, n_lines, n_dropped.
+
+    A file's lines are ordered within the file; the sink scans what it wrote and publishes all copies or none."""
+    files = spark.read.option("encoding", "ISO-8859-1").text(source, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[dD][xX]")
+    lines = files.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("n", "line"))
+    # a last line break opens no line
+    lines = lines.withColumn("_end", F.max("n").over(Window.partitionBy("path"))).where("not (n = _end and line = '')").drop("_end")
+    kept = anonymous_titles(without_provenance(lines), key=key)
+    datasource.write_sanitised(kept.select(F.col("path").alias("name"), "n", "line"), target, key)
+    before, after = lines.agg(F.count("*").alias("b"), F.countDistinct("path").alias("n_files")), kept.agg(F.count("*").alias("n_lines"))
+    return before.crossJoin(after).select("n_files", "n_lines", (F.col("b") - F.col("n_lines")).alias("n_dropped"))
+
+
 def suspicious(lines: DataFrame, file: str = "path", text: str = "line") -> DataFrame:
     """Lines that still look like provenance, found by another rule than the one that removes them."""
     return lines.where(F.col(text).rlike(r"(?i)##\s*\$?\s*(audit|owner|origin|operator|path|filename|(detector|spectrometer|accessory)\s*model)|instrument id|detector id"))

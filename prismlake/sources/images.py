@@ -10,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismlake.sources.readers import register
-
 #: Mean and deviation of each channel, in this order.
 COLOUR = tuple(f"{c}_{k}" for space in ("RGB", "HSV", "Lab") for k in ("mean", "sd") for c in space)
 TEXTURE = ("glcm_contrast", "glcm_homogeneity", "glcm_energy", "glcm_correlation")
@@ -95,5 +93,3 @@ def read_images(spark: SparkSession, folder: str, box: tuple[float, float, float
     got = flat.mapInArrow(features, "path string, x array<double>")
     return got.select("path", F.element_at(F.split("path", "/"), -2).alias("label"), "x", F.lit(True).alias("prototype"))
 
-
-register("images", read_images)

@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from importlib import import_module
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_REGISTRY: dict[str, Callable[..., DataFrame]] = {}
+#: Readers by kind: a function, or where to find it when it is first asked for.
+_REGISTRY: dict[str, Callable[..., DataFrame] | str] = {
+    "csv": "prismlake.sources.readers:read_csv", "spectra": "prismlake.sources.readers:read_spectra", "synthetic": "prismlake.sources.readers:synthetic", "images": "prismlake.sources.images:read_images",
+}
 
 
 def register(kind: str, reader: Callable[..., DataFrame]) -> None:
+    """Adds a reader of one's own, or replaces one."""
     _REGISTRY[kind] = reader
 
 
@@ -25,10 +30,18 @@ def kinds() -> list[str]:
     return sorted(_REGISTRY)
 
 
-def read(spark: SparkSession, kind: str, *args, **options) -> DataFrame:
+def reader(kind: str) -> Callable[..., DataFrame]:
     if kind not in _REGISTRY:
         raise ValueError(f"unknown reader {kind!r}; known: {', '.join(kinds())}")
-    return _REGISTRY[kind](spark, *args, **options)
+    found = _REGISTRY[kind]
+    if isinstance(found, str):
+        module, name = found.split(":")
+        found = getattr(import_module(module), name)
+    return found
+
+
+def read(spark: SparkSession, kind: str, *args, **options) -> DataFrame:
+    return reader(kind)(spark, *args, **options)
 
 
 def _is_number(name: str) -> bool:
@@ -94,21 +107,38 @@ def decode_line(line: str) -> tuple[float | None, list[float]]:
     return x, y
 
 
+_LABEL = re.compile(r"##([^=]*)=(.*)")
+
+
+def _label(line: str) -> tuple[str, str] | None:
+    m = _LABEL.match(line)
+    return (re.sub(r"[\s\-_/]", "", m.group(1)).upper(), m.group(2)) if m else None
+
+
+def labels(text: str) -> dict[str, str]:
+    """The labels of a JCAMP-DX text and what stands after them; the first of equal ones."""
+    records: dict[str, str] = {}
+    for line in text.splitlines():
+        if (found := _label(line)) and found[0] != "END":
+            records.setdefault(found[0], found[1].split("$$")[0].strip())
+    return records
+
+
+def data_lines(text: str) -> list[str]:
+    """The lines under XYDATA."""
+    lines, inside = [], False
+    for line in text.splitlines():
+        if found := _label(line):
+            inside = found[0] == "XYDATA"
+        elif inside and line.strip():
+            lines.append(line.split("$$")[0])
+    return lines
+
+
 def decode_jcamp(text: str) -> tuple[dict[str, str], np.ndarray, np.ndarray]:
     """(records, axis, ordinates). The axis runs from FIRSTX to LASTX over NPOINTS; each line starts at the
     place of its check abscissa, and places no line fills are interpolated."""
-    records: dict[str, str] = {}
-    lines: list[str] = []
-    inside = False
-    for raw in text.splitlines():
-        m = re.match(r"##([^=]*)=(.*)", raw)
-        if m:
-            key = re.sub(r"[\s\-_/]", "", m.group(1)).upper()
-            inside = key == "XYDATA"
-            if key != "END":
-                records.setdefault(key, m.group(2).split("$$")[0].strip())
-        elif inside and raw.strip():
-            lines.append(raw.split("$$")[0])
+    records, lines = labels(text), data_lines(text)
     number = lambda k, d=None: float(records[k].replace(",", ".")) if k in records else d
     n = int(number("NPOINTS", 0))
     if not lines or n < 2:
@@ -148,30 +178,53 @@ def decode_ascii(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(x), np.array(y)
 
 
+#: What marks a binary format, as (words in UTF-16, words in bytes), and the programs it comes from.
+BINARY = (
+    (("Bomem", "Horizon"), (), "an ABB Bomem file"),
+    ((), (b"PEPE",), "a PerkinElmer file"),
+    ((), (b"OPUS",), "a Bruker OPUS file"),
+)
+
+
+def refused(head: bytes) -> str | None:
+    """Why a file with these first bytes isn't read: formats of instruments are exported, not guessed at. Null
+    for text; of bytes that no format claims, more than a fifth of control characters make a binary."""
+    wide = head[:256].decode("utf-16-le", "ignore")
+    for words, marks, maker in BINARY:
+        if any(w in wide for w in words) or (b"\x00" in head[:64] or head[:4] in marks) and any(m in head[:256] for m in marks):
+            return f"a binary format ({maker}): export it as JCAMP-DX or ASCII from the instrument's program"
+    control = sum(1 for b in head[:64] if b < 9 or 13 < b < 32 or b == 127)
+    return "a binary format: export it as JCAMP-DX or ASCII from the instrument's program" if b"\x00" in head[:512] or control > len(head[:64]) / 5 else None
+
+
+def decode(text: str) -> tuple[dict[str, str], np.ndarray, np.ndarray]:
+    """(labels, axis, ordinates) of a file's text, whichever of the two forms it has."""
+    if "##" in text[:2000]:
+        return decode_jcamp(text)
+    return {}, *decode_ascii(text)
+
+
 def read_spectra(spark: SparkSession, folder: str) -> DataFrame:
     """path, folder (class), title, wn, x, error: a row per .dx, .jdx, .txt, .csv or .spectrum file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(r"(?i)\.(dx|jdx|txt|csv|spectrum)$"))
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 title, wn, x, error = None, None, None, None
                 try:
-                    if b"\x00" in content[:512]:
-                        raise ValueError("a binary format")
+                    if why := refused(bytes(content[:512])):
+                        raise ValueError(why)
                     text = bytes(content).decode("latin-1")
-                    if "##" in text[:2000]:
-                        records, wn, x = decode_jcamp(text)
-                        title = records.get("TITLE")
-                    else:
-                        wn, x = decode_ascii(text)
+                    records, wn, x = decode(text)
+                    title = records.get("TITLE")
                 except ValueError as e:
                     error = str(e)
                 rows.append((path, path.rsplit("/", 2)[-2], title, None if wn is None else wn.tolist(), None if x is None else x.tolist(), error))
             yield pd.DataFrame(rows, columns=["path", "folder", "title", "wn", "x", "error"])
 
-    return files.select("path", "content").mapInPandas(decode, "path string, folder string, title string, wn array<double>, x array<double>, error string")
+    return files.select("path", "content").mapInPandas(decode_files, "path string, folder string, title string, wn array<double>, x array<double>, error string")
 
 
 def synthetic(spark: SparkSession, classes: int = 3, levels: int = 10, replicates: int = 3, channels: int = 60, noise: float = 0.01, seed: int = 42) -> DataFrame:
@@ -187,7 +240,3 @@ def synthetic(spark: SparkSession, classes: int = 3, levels: int = 10, replicate
     x = F.transform(at, lambda t, j: band(t, centre, 0.08) + conc / 40.0 * band(t, F.lit(0.5), 0.05) + 0.3 * t + jitter(j))
     return rows.select("sample_id", F.concat(F.lit("C"), F.col("k")).alias("label"), conc.alias("conc"), F.concat_ws("-", F.concat(F.lit("C"), F.col("k")), F.format_string("%02d", "level")).alias("group_id"), x.alias("x"))
 
-
-register("csv", read_csv)
-register("spectra", read_spectra)
-register("synthetic", synthetic)

@@ -161,7 +161,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "w.csv").write_text("name;kind;conc;1100.0;1102,5\ns1;A;0,5;1,0;2,0\ns2;B;;3.0;4.0\n")
     got = readers.read(spark, "csv", str(tmp_path / "w.csv"), label="kind", conc="conc").orderBy("name").collect()
     assert got[0]["x"] == [1.0, 2.0] and got[0]["wn"] == [1100.0, 1102.5] and got[0]["conc"] == 0.5 and got[1]["conc"] is None
-    with pytest.raises(ValueError, match="csv, spectra, synthetic"):
+    with pytest.raises(ValueError, match="csv, images, spectra, synthetic"):
         readers.read(spark, "nothing")
 
 
