@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
 from prismlake.functions import rowlocal as R
-from prismlake.operators.gram import Moments, moments
+from prismlake.operators.gram import Moments, channels, matrix, moments
 from prismlake.operators.latent import Pca, Pls, error_sum, fit_pca, fit_pls
 from prismlake.schema import to_long
 
@@ -83,29 +83,82 @@ def q_limit(spark: SparkSession, rows: DataFrame, q: str, alpha: float = 0.05) -
     return float(r["v"] / (2 * r["m"]) * quantiles.chi2(spark, 1 - alpha, 2 * r["m"] ** 2 / r["v"]))
 
 
+@dataclass
+class Spectrum:
+    """The eigenvalues (descending) and eigenvectors of the centred cross products of n rows."""
+
+    n: float
+    mean: np.ndarray
+    values: np.ndarray
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, m: Moments, p: int) -> Spectrum:
+        mean, c = m.centred()
+        values, vectors = np.linalg.eigh(c[:p, :p])
+        return cls(m.n, mean[:p], np.maximum(values[::-1], 0.0), np.ascontiguousarray(vectors[:, ::-1]))
+
+
+def loo_residuals(s: Spectrum, x: np.ndarray, components: int) -> np.ndarray:
+    """Squared distance of each row of x to the plane fitted on the rows behind s without it; NaN where too few
+    are left.
+
+    Taking out a row takes rho d d' (d: the row less the mean, rho = n / (n - 1)) from the cross products. With
+    z = U'd, the new eigenvalues are the roots of 1 = rho sum z_i^2 / (l_i - mu), one between each two of the old
+    ones, and d's projection on the new direction has the square 1 / (rho^2 sum z_i^2 / (l_i - mu)^2). So a row
+    costs its product with U and a bisection for each component, not a decomposition."""
+    out = np.full(len(x), np.nan)
+    a = min(components, int(s.n) - 2, x.shape[1])
+    if s.n < 3 or a < 1:
+        return out
+    rho = s.n / (s.n - 1)
+    top = max(float(s.values[0]), 1e-300)
+    for begin in range(0, len(x), 256):
+        d = x[begin : begin + 256] - s.mean
+        z2 = (d @ s.vectors) ** 2
+        gone = np.zeros(len(d))
+        for k in range(a):
+            hi, lo = s.values[k], s.values[k + 1] if k + 1 < len(s.values) else min(0.0, s.values[k] - top)
+            if hi - lo <= 1e-15 * top:
+                continue  # a repeated eigenvalue stays, in a direction without d
+            # the root is measured from the nearer end, so that the difference to it keeps its digits
+            near_hi = 1 - rho * (z2 / (s.values - (hi + lo) / 2)).sum(1) > 0
+            delta = s.values[None, :] - np.where(near_hi, hi, lo)[:, None]
+            left, right = np.where(near_hi, -(hi - lo) / 2, 0.0), np.where(near_hi, 0.0, (hi - lo) / 2)
+            for _ in range(64):
+                mid = (left + right) / 2
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    above = 1 - rho * np.nansum(z2 / (delta - mid[:, None]), 1) > 0
+                left, right = np.where(above, mid, left), np.where(above, right, mid)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                slope = np.nansum(z2 / (delta - ((left + right) / 2)[:, None]) ** 2, 1)
+                # a bracket that still touches its end: the old direction stays, and d has no part in it
+                inside = np.where(near_hi, right < 0, left > 0) & np.isfinite(slope) & (slope > 0)
+                gone += np.where(inside, 1 / (rho * rho * slope), 0.0)
+        out[begin : begin + 256] = rho * rho * np.maximum((d * d).sum(1) - gone, 0.0)
+    return out
+
+
 def loo_q(spectra: DataFrame, by: str, classes: dict[str, Moments], components: int) -> DataFrame:
     """spectra with q_loo: the squared distance of each row to the plane fitted on its class without it.
 
-    The class moments, p x p numbers each, go to the tasks; a row is taken out of them by one outer product,
-    so no task holds a class. Null where fewer than three rows are left."""
-    shared = spectra.sparkSession.sparkContext.broadcast(classes)
+    The classes' eigenvectors, p x p numbers each, are found once and go to the tasks; a row is taken out by a
+    rank-one downdate (loo_residuals), and no task holds a class. Null where fewer than three rows are left, for a
+    null x and for a class without moments."""
+    p = max((len(m.total) for m in classes.values()), default=1) - 1
+    shared = spectra.sparkSession.sparkContext.broadcast({k: Spectrum.of(m, p) for k, m in classes.items()})
     names = [c for c in spectra.columns if c != "q_loo"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, x in zip(b.column(names.index(by)).to_pylist(), b.column(names.index("x")).to_pylist(), strict=True):
-                m, x = shared.value[str(k)], np.array(x)
-                z = np.append(x, 0.0)
-                left = Moments(m.n - 1, m.total - z, m.cross - np.outer(z, z))
-                a = min(components, int(left.n) - 1, len(x))
-                if left.n < 2 or a < 1:
-                    out.append(None)
-                    continue
-                pca = fit_pca(left, len(x), a)
-                c = x - pca.mean
-                out.append(float(max(c @ c - ((c @ pca.loadings) ** 2).sum(), 0.0)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*names, "q_loo"])
+            keys = np.array([str(k) for k in b.column(names.index(by)).to_pylist()], object)
+            column = b.column(names.index("x"))
+            out = np.full(b.num_rows, np.nan)
+            known = np.array([k in shared.value for k in keys], bool) & column.is_valid().to_numpy(zero_copy_only=False)
+            for k in set(keys[known].tolist()):
+                on = np.flatnonzero(known & (keys == k))
+                out[on] = loo_residuals(shared.value[k], matrix(column.take(pa.array(on)), p), components)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64(), mask=np.isnan(out))], [*names, "q_loo"])
 
     schema = spectra.select(*names).withColumn("q_loo", F.lit(None).cast("double")).schema
     return spectra.select(*names).mapInArrow(judge, schema)
@@ -139,7 +192,7 @@ def applicability(spectra: DataFrame, components: int, alpha: float = 0.05) -> D
     """The applicability domain of a training set: combined distance of T2 and of leave-one-out Q, with scale
     and degrees of freedom by moments. The limits of one axis are for plots only."""
     spark = spectra.sparkSession
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
     m = whole(spectra)
     pca = fit_pca(m, p, components)
     judged = loo_q(spectra.select("x").withColumn("all", F.lit("all")), "all", {"all": m}, pca.loadings.shape[1]).select(pca.t2(F.col("x")).alias("t2"), F.col("q_loo"))

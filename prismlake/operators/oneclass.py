@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
 from prismlake.operators.diagnostics import loo_q, mad_outliers, moments_dof
-from prismlake.operators.gram import Moments, moments
+from prismlake.operators.gram import Moments, channels, moments
 from prismlake.operators.latent import Pca, fit_pca
 
 
@@ -42,7 +42,7 @@ def fit(spectra: DataFrame, components: int = 5, alpha: float = 0.05) -> tuple[l
     and Q of each of them to the plane fitted without it, averaged over replicates of a group first, calibrate
     h0, q0 and their degrees of freedom."""
     spark = spectra.sparkSession
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
     by_class = moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label")
     pcas, refused = {}, []
     for k, m in sorted(by_class.items()):
@@ -102,7 +102,7 @@ def leave_group_out(spectra: DataFrame, components: int = 5, alpha: float = 0.05
     numbers for each group, go to the tasks; every row is scored by the refits of its class where it stands,
     and means and deviations over the other groups come from sums. So no task holds a class."""
     spark = spectra.sparkSession
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
     shared = spark.sparkContext.broadcast(moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label"))
 
     def refit(key, frame):
@@ -157,6 +157,65 @@ def leave_group_out(spectra: DataFrame, components: int = 5, alpha: float = 0.05
     return j.select("label", F.when(valid, F.col("sensitivity")).alias("sensitivity"), "n_groups", F.when(~valid, "not validated").when(F.col("n_groups") < 10, "few groups").alias("note"))
 
 
+def procrustes_set(spectra: DataFrame, components: int = 5) -> DataFrame:
+    """label, group_id, x: pseudo-validation rows, one for each row of a class that can be fitted.
+
+    A segment (a group; a row, where the class has one group only) is projected on its class's plane fitted
+    without it; the plane's loadings are rotated onto the class's own by the closest rotation, which puts the
+    scores there; the residual takes the row's direction outside of the plane and the length that it had for the
+    other one. So scores and distances are those of rows the model has not seen (Procrustes cross-validation,
+    Kucheryavskiy et al. 2020). The refit of a segment is its class's moments minus its own, made where its rows
+    are; class moments, p x p numbers each, go to the tasks, and no task holds a class."""
+    by_class = moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label")
+    known = {}
+    for k, m in by_class.items():
+        p = len(m.total) - 1
+        a = min(components, int(m.n) - 2, p)
+        if a >= 1:
+            known[k] = (m, fit_pca(m, p, a))
+    groups = spectra.groupBy("label").agg(F.countDistinct("group_id").alias("_groups"))
+    rows = spectra.where(F.col("label").isin(*known) & F.col("x").isNotNull()).join(groups, "label")
+    rows = rows.select("label", "group_id", F.when(F.col("_groups") > 1, F.concat(F.lit("g"), "group_id")).otherwise(F.concat(F.lit("r"), F.col("sample_id").cast("string"))).alias("segment"), "x")
+    shared = spectra.sparkSession.sparkContext.broadcast(known)
+
+    def turn(key, frame):
+        import pandas as pd
+
+        m, pca = shared.value[str(key[0])]
+        x = np.stack(frame["x"].to_numpy())
+        z = np.hstack([x, np.zeros((len(x), 1))])
+        left = m - Moments(len(x), z.sum(0), z.T @ z)
+        p, a = x.shape[1], pca.loadings.shape[1]
+        if left.n - 1 < a:
+            return pd.DataFrame({"label": [], "group_id": [], "x": []}, dtype=object)
+        local = fit_pca(left, p, a)
+        c = x - local.mean
+        t = c @ local.loadings
+        q = np.maximum((c * c).sum(1) - (t * t).sum(1), 0)
+        u, _, v = np.linalg.svd(local.loadings.T @ pca.loadings)
+        own = x - pca.mean
+        e = own - own @ pca.loadings @ pca.loadings.T
+        size = np.sqrt((e * e).sum(1))
+        e = e * np.where(size > 1e-12, np.sqrt(q) / np.where(size > 1e-12, size, 1), 0)[:, None]
+        return pd.DataFrame({"label": frame["label"], "group_id": frame["group_id"], "x": list(pca.mean + t @ (u @ v) @ pca.loadings.T + e)})
+
+    return rows.groupBy("label", "segment").applyInPandas(turn, "label string, group_id string, x array<double>")
+
+
+def procrustes_sensitivity(spectra: DataFrame, components: int = 5, alpha: float = 0.05) -> DataFrame:
+    """label, sensitivity, n_groups, n_rows, note: the share of pseudo-validation rows that the class's model
+    accepts. It stands beside leave_group_out, not in its place: of one group it shows measurement noise only. A
+    class that can't be fitted has no sensitivity."""
+    models, _ = fit(spectra, components, alpha)
+    groups = spectra.groupBy("label").agg(F.countDistinct("group_id").alias("n_groups"), F.count("*").alias("n_rows"))
+    note = F.when(F.col("sensitivity").isNull(), "not validated").when(F.col("n_groups") < 2, "one group: measurement noise only").otherwise("exploratory")
+    if not models:
+        return groups.withColumn("sensitivity", F.lit(None).cast("double")).select("label", "sensitivity", "n_groups", "n_rows", note.alias("note"))
+    accepted = F.coalesce(*(F.when(F.col("label") == m.label, m.distance(F.col("x")) <= m.limit) for m in models))
+    s = procrustes_set(spectra, components).select("label", accepted.alias("ok")).groupBy("label").agg(F.avg(F.col("ok").cast("double")).alias("sensitivity"))
+    return groups.join(s, "label", "left").select("label", "sensitivity", "n_groups", "n_rows", note.alias("note"))
+
+
 def conformal_accepts(rows: DataFrame, thresholds: DataFrame, score: str, *keys: str) -> DataFrame:
     """rows with `accepted`: the score is within the threshold of its keys; never where there is none."""
     t = thresholds.select(*keys, "threshold")

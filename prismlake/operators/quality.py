@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,25 +25,38 @@ def exact_duplicates(spectra: DataFrame) -> DataFrame:
     return n.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"), (F.sum("n") - F.count("*")).alias("n_copies"))
 
 
-def near_duplicates(spectra: DataFrame, least: float = 0.99995, directions: int = 3) -> DataFrame:
-    """Pairs a < b with a correlation above `least`, over all rows.
+#: Projections that pairs are first compared by, and those of them whose cells bring pairs together.
+DIRECTIONS, CELLS = 16, 4
 
-    Unit rows of that correlation are less than sqrt(2 - 2 least) apart, and so are their projections on
-    any unit direction. One side stands in its cell of a grid over a few projections, the other in all cells
-    that this distance reaches: no pair is missed, and each meets in one cell."""
-    first = spectra.select("x").first()
-    p = len(first[0]) if first else 1
+
+def near_duplicates(spectra: DataFrame, least: float = 0.99995) -> DataFrame:
+    """Pairs a < b with a correlation above `least`, over all rows with x.
+
+    Unit rows of that correlation are less than sqrt(2 - 2 least) apart, and so are their projections on any
+    orthonormal directions, taken together. The directions in which the unit rows vary most are taken: along
+    them, rows that differ differ most. One side stands in its cell of a grid over the first few, the other in all
+    cells that this distance reaches: no pair is missed, and each meets in one cell. Only numbers and projections
+    meet there; the rows themselves are joined to the pairs whose projections are close enough."""
+    from prismlake.operators.diagnostics import whole
+    from prismlake.operators.latent import fit_pca
+
+    rows = spectra.where("x is not null").select("sample_id", R.l2_normalize(R.snv(F.col("x"))).alias("x"))
+    first = rows.select(F.size("x").alias("p")).first()
+    if first is None:
+        return spectra.sparkSession.createDataFrame([], "a long, b long, r double")
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
-    g = np.random.default_rng(0).standard_normal((directions, p))
-    g /= np.linalg.norm(g, axis=1, keepdims=True)
-    u = spectra.select("sample_id", R.l2_normalize(R.snv(F.col("x"))).alias("x"))
-    u = u.withColumns({f"p{k}": R.dot(F.col("x"), R.constants(v)) / (2 * reach) for k, v in enumerate(g)})
-    cells = [f"c{k}" for k in range(directions)]
-    a = u.select(F.col("sample_id").alias("a"), F.col("x").alias("xa"), *(F.floor(f"p{k}").alias(c) for k, c in enumerate(cells)))
-    b = u.select(F.col("sample_id").alias("b"), F.col("x").alias("xb"), *(f"p{k}" for k in range(directions)))
+    axes = fit_pca(whole(rows), first["p"], DIRECTIONS).loadings.T
+    cells = [f"c{k}" for k in range(min(CELLS, len(axes)))]
+    u = rows.select("sample_id", R.bound(F.col("x"), lambda v: F.array(*(R.dot(v, R.constants(d)) for d in axes))).alias("p"))
+    at = lambda k: F.get("p", F.lit(k)) / (2 * reach)
+    a = u.select(F.col("sample_id").alias("a"), F.col("p").alias("pa"), *(F.floor(at(k)).alias(c) for k, c in enumerate(cells)))
+    b = u.select(F.col("sample_id").alias("b"), "p")
     for k, c in enumerate(cells):
-        b = b.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"p{k}") - 0.5), F.floor(F.col(f"p{k}") + 0.5))))
-    return a.join(b, cells).where("a < b").select("a", "b", R.dot(F.col("xa"), F.col("xb")).alias("r")).where(F.col("r") > least)
+        b = b.withColumn(c, F.explode(F.array_distinct(F.array(F.floor(at(k) - 0.5), F.floor(at(k) + 0.5)))))
+    apart = R.total(F.zip_with("pa", "p", lambda v, w: (v - w) * (v - w)))
+    close = a.join(b, cells).where("a < b").where(apart <= reach * reach).select("a", "b")
+    sides = close.join(rows.select(F.col("sample_id").alias("a"), F.col("x").alias("xa")), "a").join(rows.select(F.col("sample_id").alias("b"), F.col("x").alias("xb")), "b")
+    return sides.select("a", "b", R.dot(F.col("xa"), F.col("xb")).alias("r")).where(F.col("r") > least)
 
 
 def class_balance(spectra: DataFrame, worst: float = 5.0) -> DataFrame:

@@ -2,42 +2,52 @@
 
 from __future__ import annotations
 
-import hashlib
+import json
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.functions.ordering import by_hash, numbered
-
-
-def _order(seed: int, group: str) -> bytes:
-    return hashlib.blake2b(f"{seed}:{group}".encode(), digest_size=8).digest()
+from prismlake.functions.tables import stored
+from prismlake.operators.gram import matrix
 
 
 def grouped_folds(spectra: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     """group_id, fold: large groups first, each to the fold that then has the most even class counts.
 
-    Only group and class counts reach the driver (one row per physical sample and class)."""
-    counts = spectra.groupBy("group_id", "label").agg(F.count("*").alias("n")).toPandas()
-    classes = sorted(counts["label"].unique())
-    table: dict[str, np.ndarray] = {}
-    for g, k, n in counts.itertuples(index=False):
-        table.setdefault(g, np.zeros(len(classes)))[classes.index(k)] += n
-    if folds > len(table):
-        raise ValueError(f"{folds} folds need as many groups; there are {len(table)}")
+    Groups with the same counts by class are alike, so the plan is made for kinds of groups: of n groups of a
+    kind, n // folds go to each fold, which leaves the balance as it is, and the n % folds that are left go one
+    after the other to the fold that suits them best. One row for each kind reaches the driver (kinds are pairs
+    of class and size, mostly), and Spark deals the groups to the plan by their rank in the order of a hash.
+    Rows without a group or label don't count; fewer groups than folds are an error."""
+    counts = spectra.where("group_id is not null and label is not null").groupBy("group_id", "label").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("group_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("kind"))
+    kinds = {r["kind"]: r["n"] for r in groups.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if folds > sum(kinds.values()):
+        raise ValueError(f"{folds} folds need as many groups; there are {sum(kinds.values())}")
+    parsed = {k: {e["label"]: e["n"] for e in json.loads(k)} for k in kinds}
+    classes = sorted({c for e in parsed.values() for c in e})
     filled = np.zeros((folds, len(classes)))
-    out = []
-    for g in sorted(table, key=lambda g: (-table[g].sum(), _order(seed, g))):
-        cost = []
-        for f in range(folds):
-            filled[f] += table[g]
-            cost.append(round(float(filled.std(axis=0).mean()), 12))
-            filled[f] -= table[g]
-        best = int(np.argmin(cost))
-        filled[best] += table[g]
-        out.append((g, best))
-    return spectra.sparkSession.createDataFrame(out, "group_id string, fold int")
+    plan = []
+    for kind in sorted(kinds, key=lambda k: (-sum(parsed[k].values()), k)):
+        own = np.array([parsed[kind].get(c, 0) for c in classes], float)
+        dealt = []
+        for _ in range(kinds[kind] % folds):
+            cost = [round(float((filled + own * (np.arange(folds) == f)[:, None]).std(axis=0).mean()), 12) for f in range(folds)]
+            # of equally even folds, the emptiest
+            best = min(range(folds), key=lambda f: (cost[f], filled[f].sum(), f))
+            filled[best] += own
+            dealt.append(best)
+        filled += own * (kinds[kind] // folds)
+        plan.append((kind, dealt))
+    table = spectra.sparkSession.createDataFrame(plan, "kind string, dealt array<int>")
+    ranked = numbered(groups.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "group_id"))), by_hash(F.col("_h")), "_h", "group_id", keys=("kind",))
+    at = (F.col("rank") - 1).cast("int")
+    fold = F.when(at < F.size("dealt"), F.get("dealt", at)).otherwise((at - F.size("dealt")) % folds)
+    return ranked.join(table, "kind").select("group_id", fold.cast("int").alias("fold"))
 
 
 def hashed_folds(spectra: DataFrame, folds: int, seed: int = 42) -> DataFrame:
@@ -59,28 +69,70 @@ def holdout_groups(spectra: DataFrame, share: float = 0.2, seed: int = 42) -> Da
     return ranked.crossJoin(F.broadcast(n)).where("rank <= n").select("group_id")
 
 
+#: Points that a pass of kennard_stone brings to the driver.
+CANDIDATES = 64
+
+
 def kennard_stone(points: DataFrame, k: int) -> list[str]:
-    """The k groups chosen by farthest-first on group mean spectra, the first farthest from the centroid.
-
-    points: group_id, x with a row per group. Each step is one maximum over Spark's rows; the driver keeps
-    the chosen k only."""
-    centre = points.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).orderBy("j").toPandas()["m"].tolist()
-    distance = lambda c: F.aggregate(F.zip_with("x", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    rows = points.withColumn("d", F.lit(float("inf"))).cache()
-    chosen: list[str] = []
-    first = points.withColumn("d", distance(centre)).orderBy(F.desc(F.round("d", 12)), "group_id").first()
-    chosen, picked = [first["group_id"]], [first["x"]]
+    """The k groups chosen by farthest-first on group mean spectra, the first farthest from the centroid; of equally
+    far ones (to 12 places) the first by name.
+
+    points: group_id, x with a row per group. Every point carries its distance to the nearest chosen one. A pass
+    takes the CANDIDATES farthest points: distances only shrink, so as long as the farthest of them is farther
+    than all points outside, it is the next choice, and its distances to the other candidates are known. Then the
+    chosen ones, in one step, lower the distances of all. Fewer points than k: all of them."""
+    if k < 1:
+        return []
+    rows = points.where("group_id is not null and x is not null").select("group_id", "x")
+    p = rows.select(F.size("x").alias("p")).first()
+    if p is None:
+        return []
+    means = rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).collect()
+    centre = np.zeros(p["p"])
+    for r in means:
+        centre[r["j"]] = r["m"]
+    far = rows.withColumn("d", F.lit(float("inf")))
+    order = [F.desc(F.round("d", 12)), F.asc("group_id")]
+    first = _nearer(far, [centre]).orderBy(*order).first()
+    chosen, state, fresh = [first["group_id"]], far, [(first["group_id"], np.array(first["x"]))]
     while len(chosen) < k:
-        near = F.least(*(distance(c) for c in picked)) if len(picked) > 1 else distance(picked[0])
-        nxt = rows.where(~F.col("group_id").isin(chosen)).withColumn("d", near).orderBy(F.desc(F.round("d", 12)), "group_id").first()
-        if nxt is None:
+        state = stored(_nearer(state, [x for _, x in fresh]).where(~F.col("group_id").isin([g for g, _ in fresh])))
+        top = state.orderBy(*order).limit(CANDIDATES + 1).collect()
+        if not top:
             break
-        chosen.append(nxt["group_id"])
-        picked.append(nxt["x"])
-    rows.unpersist()
+        names, x = [r["group_id"] for r in top], np.array([r["x"] for r in top])
+        d = np.round(np.array([r["d"] for r in top]), 12)
+        # the last one stands for all points outside: none of them comes before it
+        outside = (-d[-1], names[-1]) if len(top) > CANDIDATES else (np.inf, "")
+        live = list(range(min(len(top), CANDIDATES)))
+        fresh = []
+        while live and len(chosen) < k:
+            best = min(live, key=lambda i: (-d[i], names[i]))
+            if fresh and (-d[best], names[best]) > outside:
+                break
+            chosen.append(names[best])
+            fresh.append((names[best], x[best]))
+            live.remove(best)
+            d = np.minimum(d, np.round(((x - x[best]) ** 2).sum(1), 12))
     return chosen
 
 
+def _nearer(state: DataFrame, picked: list[np.ndarray]) -> DataFrame:
+    """state (group_id, x, d) with d lowered to the least squared distance to the picked points."""
+    shared = state.sparkSession.sparkContext.broadcast(np.array(picked))
+
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, d = matrix(b.column(1)), b.column(2).to_numpy().copy()
+            for point in shared.value:
+                d = np.minimum(d, ((x - point) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["group_id", "x", "d"])
+
+    return state.mapInArrow(lower, "group_id string, x array<double>, d double")
+
+
 def group_means(spectra: DataFrame) -> DataFrame:
     from prismlake.schema import to_array, to_long
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
 from prismlake.functions.ordering import by_hash, numbered
-from prismlake.operators import preprocess, splits
-from prismlake.operators.gram import Moments, added, moments
-from prismlake.operators.latent import Pls, error_sum, fit_pls, lv_curve, vip, with_targets
+from prismlake.operators import pipeline, splits
+from prismlake.operators.gram import Moments, added, channels, moments
+from prismlake.operators.latent import Pls, error_sum, fit_pls, vip, with_targets
 
 
 def effective_splits(spectra: DataFrame, wanted: int) -> int:
@@ -68,7 +68,7 @@ class Permutations:
 
     def __init__(self, spectra: DataFrame, classes: list[str], folds: int, rounds: int, seed: int):
         self.classes, self.folds, self.rounds = classes, folds, rounds
-        self.p = p = len(spectra.select("x").first()[0])
+        self.p = p = channels(spectra)
         folded = splits.hashed_folds(spectra, folds, seed)
         self.rows = folded.join(permuted_labels(spectra, classes, rounds, seed), "group_id").select("fold", "x", "labels")
         by = moments(self.rows.withColumn("y", F.array(F.lit(0.0))), "fold")
@@ -185,6 +185,14 @@ def balanced_accuracy(counts: np.ndarray) -> float:
     return float((np.diag(counts)[n > 0] / n[n > 0]).mean()) if (n > 0).any() else float("nan")
 
 
+def confusion(pairs: DataFrame, classes: list[str]) -> np.ndarray:
+    """Counts by (label, predicted) as a matrix, in the order of the classes."""
+    table = np.zeros((len(classes),) * 2, np.int64)
+    for r in pairs.where(F.col("label").isin(classes) & F.col("predicted").isin(classes)).groupBy("label", "predicted").agg(F.count("*").alias("n")).collect():
+        table[classes.index(r["label"]), classes.index(r["predicted"])] = r["n"]
+    return table
+
+
 def bca_interval(pairs: DataFrame, metric: Callable[[np.ndarray], float] = balanced_accuracy, rounds: int = 500, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """low, high, observed: the bias-corrected and accelerated bootstrap interval of a metric of the
     confusion table, stratified by class.
@@ -231,24 +239,51 @@ def bca_interval(pairs: DataFrame, metric: Callable[[np.ndarray], float] = balan
     return spark.createDataFrame([(float(np.quantile(boot, lo)), float(np.quantile(boot, hi)), observed, len(boot))], schema)
 
 
+#: Bytes of the sums that a pass of bootstrap_vip adds up in a task.
+SUM_BYTES = 64 << 20
+
+
+def bootstrap_weights(spectra: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
+    """group_id, weights: how often a group is drawn in each round, when a class draws, with replacement, as many
+    groups as it has. A draw is a seeded hash of (round, class, number of the draw) over the groups' numbers, which
+    are taken in buckets: no task orders a class."""
+    g = majority_class(spectra).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "group_id")))
+    ranked = numbered(g, by_hash(F.col("_h")), "_h", "group_id", keys=("label",)).select("group_id", "label", "rank")
+    n = ranked.groupBy("label").agg(F.count("*").alias("n"))
+    draws = ranked.join(n, "label").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    hit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), "label", F.col("rank").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n") + 1
+    times = draws.select("label", "round", hit.alias("rank")).groupBy("label", "round", "rank").agg(F.count("*").cast("int").alias("w"))
+    drawn = ranked.join(times, ["label", "rank"]).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("round", "w"))).alias("m"))
+    return drawn.select("group_id", F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0))).alias("weights"))
+
+
 def bootstrap_vip(spectra: DataFrame, components: int, rounds: int = 100, seed: int = 7) -> DataFrame:
-    """j, mean, sd, low, high, frequency (share of rounds at 1 or more) of VIP when groups are drawn anew.
+    """j, mean, sd, low, high, frequency (share of rounds at 1 or more) of VIP when the groups of each class are drawn
+    anew. Groups that no round drew don't count; rounds without enough rows are left out.
 
-    A group comes in a round as often as a seeded hash says, by the Poisson law with mean 1: what drawing
-    with replacement is when groups are many, without an order or a count of them. The products of a round
-    are sums over the data, added in the tasks round after round, so the driver holds one round at a time."""
+    A pass adds the products of many rounds, as many as SUM_BYTES hold; the driver holds those of a pass."""
     rows, classes = with_targets(spectra)
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
+    weighted = rows.join(bootstrap_weights(spectra, rounds, seed), "group_id")
+    a_pass = max(1, SUM_BYTES // (8 * (p + len(classes) + 1) ** 2))
     out = []
-    limits = np.cumsum([np.exp(-1.0) / v for v in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    for r in range(rounds):
-        u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(r)), "group_id")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-        times = F.size(F.filter(F.lit([float(v) for v in limits]), lambda e: e < u))  # noqa: B023
-        weighted = rows.select("x", "y", F.explode(F.expr("sequence(1, 8)")).alias("k"), times.alias("n")).where("k <= n").withColumn("all", F.lit("all"))
-        m = moments(weighted, "all").get("all")
-        if m is not None and m.n > components + 1:
-            model = fit_pls(m, p, components)
-            out.append(vip(model, model.w.shape[1]))
+    for first in range(0, rounds, a_pass):
+        n = min(a_pass, rounds - first)
+
+        def drawn(g: np.ndarray, x: np.ndarray, n: int = n) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+            times = np.array([[int(v) for v in s.split(",")] for s in g.tolist()])
+            for r in range(n):
+                at = np.repeat(np.arange(len(x)), times[:, r])
+                if len(at):
+                    yield str(r), at, x[at]
+
+        part = weighted.withColumn("_w", F.array_join(F.transform(F.slice("weights", first + 1, n), lambda v: v.cast("string")), ","))
+        for m in moments(part, "_w", expand=drawn).values():
+            if m.n > components + 1:
+                model = fit_pls(m, p, components)
+                out.append(vip(model, model.w.shape[1]))
+    if not out:
+        raise ValueError("no round has rows enough for the components")
     v = np.array(out)
     table = pd.DataFrame({"j": np.arange(p), "mean": v.mean(0), "sd": v.std(0), "low": np.quantile(v, 0.025, 0), "high": np.quantile(v, 0.975, 0), "frequency": (v >= 1).mean(0)})
     return spectra.sparkSession.createDataFrame(table)
@@ -256,21 +291,28 @@ def bootstrap_vip(spectra: DataFrame, components: int, rounds: int = 100, seed:
 
 #: Preprocessings that are compared.
 VARIANTS = {
-    "mc": ("center",), "autoscaling": ("autoscale",), "snv": ("snv",), "msc": ("msc",), "sg": ("savgol",), "sg_snv": ("savgol", "snv"), "snv_sg": ("snv", "savgol"), "msc_sg": ("msc", "savgol"),
+    "mc": ("center",), "autoscaling": ("autoscale",), "snv": ("snv", "center"), "msc": ("msc", "center"), "sg": ("savgol", "center"), "sg_snv": ("savgol", "snv", "center"), "snv_sg": ("snv", "savgol", "center"),
+    "msc_sg": ("msc", "savgol", "center"),
 }
 
 
-def compare_preprocessings(spectra: DataFrame, most: int, folds: int = 5, window: int = 7) -> DataFrame:
-    """preprocessing, components, rmsecv, q2: the best number of components of each of VARIANTS, by q2, under
-    the same folds."""
+def compare_preprocessings(spectra: DataFrame, most: int, folds: int = 5, window: int = 25) -> DataFrame:
+    """preprocessing, components, rmsecv, q2, accuracy, balanced_accuracy: the best number of components of each
+    of VARIANTS, by q2 (the fewest of equal ones), under the same folds of groups. Learned steps see the training
+    folds only. A variant that can't be fitted has nulls and the reason in `note`."""
+    folded, classes = with_targets(splits.hashed_folds(spectra, folds))
     rows = []
-    for name, steps in VARIANTS.items():
-        x = preprocess.fit_apply(spectra, spectra, steps, window)
-        folded, _ = with_targets(splits.hashed_folds(x, folds))
-        p = len(x.select("x").first()[0])
-        a, rmsecv, q2 = max(lv_curve(folded, p, most), key=lambda c: c[2])
-        rows.append((name, a, rmsecv, q2))
-    return spectra.sparkSession.createDataFrame(rows, "preprocessing string, components int, rmsecv double, q2 double")
+    for name, names in VARIANTS.items():
+        steps = pipeline.Steps(names, window)
+        try:
+            states = pipeline.learned_states(folded, steps)
+            parts = pipeline.fold_moments(folded, steps, states)
+            a, rmsecv, q2 = max(pipeline.curve(parts, len(classes), most), key=lambda c: c[2])
+            counts = confusion(pipeline.out_of_fold(folded, classes, steps, a, states, parts), classes)
+            rows.append((name, a, rmsecv, max(-1.0, q2), float(np.trace(counts) / counts.sum()), balanced_accuracy(counts), None))
+        except (ValueError, np.linalg.LinAlgError) as e:
+            rows.append((name, None, None, None, None, None, str(e).splitlines()[0][:200]))
+    return spectra.sparkSession.createDataFrame(rows, "preprocessing string, components int, rmsecv double, q2 double, accuracy double, balanced_accuracy double, note string")
 
 
 def monte_carlo(spectra: DataFrame, components: int, rounds: int = 50, share: float = 0.2, seed: int = 42) -> DataFrame:
@@ -281,7 +323,7 @@ def monte_carlo(spectra: DataFrame, components: int, rounds: int = 50, share: fl
     test set lacks a class are left out; no rounds where fewer groups than classes are tested."""
     spark = spectra.sparkSession
     rows, classes = with_targets(spectra)
-    p = len(spectra.select("x").first()[0])
+    p = channels(spectra)
     tests = shuffle_splits(spectra, rounds, share, seed).select("round", "group_id")
     held = rows.join(tests, "group_id").select("round", "label", "x", "y")
     empty = spark.createDataFrame([], "round int, accuracy double, balanced_accuracy double, n_test long")

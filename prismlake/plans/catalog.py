@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from prismlake.functions import rowlocal as R
 from prismlake.functions import titles
 from prismlake.functions.ordering import by_number, numbered
-from prismlake.operators import latent, metrics, oneclass, preprocess, quality, quantify, resampling, selection, splits, validation
+from prismlake.operators import latent, metrics, oneclass, pipeline, preprocess, quality, quantify, resampling, selection, splits, validation
 from prismlake.operators.gram import moments
 from prismlake.schema import embeddings_as_spectra, to_long
 from prismlake.streaming import scoring
@@ -101,14 +101,35 @@ def l2_normalize(spark, d):
     return _long_out(embeddings_as_spectra(spark, d).withColumn("x", R.l2_normalize(F.col("x"))))
 
 
-def _kernel_values(window: int = 7) -> str:
-    k = R.savgol_kernel(P, window)
-    return "VALUES " + ", ".join(f"({i}, {j}, {k[i, j]!r})" for i, j in zip(*np.nonzero(k), strict=True)).replace("np.float64(", "(")
+def _savgol_sql(window: int) -> str:
+    """o, i, w: the published weights of a quadratic's first derivative. In the middle i over the sum of squares;
+    at the ends the slope, at that place, of the parabola through the first or last window."""
+    h = window // 2
+    s2, s4 = 2 * sum(i**2 for i in range(1, h + 1)), 2 * sum(i**4 for i in range(1, h + 1))
+    return f"""place AS (SELECT o, greatest(least(o, {P - 1 - h}), {h}) AS c FROM range(0, {P}) r(o)),
+kernel AS (SELECT o, c + u AS i, u / {s2}.0 + 2.0 * (o - c) * ({window} * u * u - {s2}) / {window * s4 - s2**2}.0 AS w FROM place, range(-{h}, {h + 1}) t(u))"""
 
 
-@query("savgol", f"WITH {E}, k(i, o, w) AS ({_kernel_values()}) SELECT sample_id, o AS j, round(sum(v * w), 6) + 0.0 AS v FROM e JOIN k ON e.j = k.i GROUP BY sample_id, o")
+@query("savgol", f"WITH {E}, {_savgol_sql(7)} SELECT sample_id, o AS j, round(sum(v * w), 6) + 0.0 AS v FROM e JOIN kernel k ON e.j = k.i GROUP BY sample_id, o")
 def savgol(spark, d):
-    return _long_out(embeddings_as_spectra(spark, d).withColumn("x", R.banded(F.col("x"), R.savgol_kernel(P, 7))))
+    return _long_out(embeddings_as_spectra(spark, d).withColumn("x", R.savgol(F.col("x"), 7)))
+
+
+@query("preset_snv_sg_mc", f"WITH {_SNV}, {_savgol_sql(25)}, f AS (SELECT sample_id, o AS j, sum(v * w) AS v FROM t JOIN kernel k ON t.j = k.i GROUP BY sample_id, o) SELECT sample_id, j, round(v - avg(v) OVER (PARTITION BY j), 6) + 0.0 AS v FROM f")
+def preset_snv_sg_mc(spark, d):
+    """The default preset as one path: SNV, derivative of window 25, centring."""
+    e = embeddings_as_spectra(spark, d)
+    return _long_out(preprocess.fit_apply(e, e, preprocess.preset("snv_sg_mc"), 25))
+
+
+@query("preset_msc_sg_mc", f"""WITH {E}, {_savgol_sql(25)}, r AS (SELECT j, avg(v) AS r FROM e GROUP BY j), s AS (SELECT sample_id, covar_pop(r, v) / var_pop(r) AS b, avg(v) AS mx, avg(r) AS mr FROM e JOIN r USING (j) GROUP BY sample_id),
+t AS (SELECT sample_id, j, CASE WHEN abs(b) <= 1e-12 THEN v - (mx - b * mr) ELSE (v - (mx - b * mr)) / b END AS v FROM e JOIN s USING (sample_id)),
+f AS (SELECT sample_id, o AS j, sum(v * w) AS v FROM t JOIN kernel k ON t.j = k.i GROUP BY sample_id, o) SELECT sample_id, j, printf('%.4e', v - avg(v) OVER (PARTITION BY j) + 0.0) AS v FROM f""")
+def preset_msc_sg_mc(spark, d):
+    """Nearly flat rows have large values, so values compare by significant digits."""
+    e = embeddings_as_spectra(spark, d)
+    x = preprocess.fit_apply(e, e, preprocess.preset("msc_sg_mc"), 25)
+    return to_long(x.select("sample_id", "x")).select("sample_id", F.col("j").cast("long").alias("j"), F.format_string("%.4e", F.col("v") + 0.0).alias("v"))
 
 
 _SMOOTH = f"{E}, w AS (SELECT sample_id, j, v, sum(v) OVER (PARTITION BY sample_id ORDER BY j ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 AS m FROM e), smooth AS (SELECT a.sample_id, a.j, a.v, b.m AS smooth FROM w a JOIN w b ON a.sample_id = b.sample_id AND b.j = greatest(3, least(60, a.j)))"
@@ -464,6 +485,11 @@ def one_class_sensitivity(spark, d):
     return oneclass.leave_group_out(embeddings_as_spectra(spark, d))
 
 
+@query("one_class_procrustes")
+def one_class_procrustes(spark, d):
+    return oneclass.procrustes_sensitivity(embeddings_as_spectra(spark, d))
+
+
 @query("kennard_stone")
 def kennard_stone(spark, d):
     chosen = splits.kennard_stone(splits.group_means(embeddings_as_spectra(spark, d)), 8)
@@ -531,10 +557,14 @@ def score_new_samples(spark, d):
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Balanced accuracy and company of PLS-DA on SNV spectra, every sample predicted by folds that never saw it."""
-    e = embeddings_as_spectra(spark, d).withColumn("x", R.snv(F.col("x")))
+    """Balanced accuracy and company of PLS-DA under the default preset: every sample is transformed and predicted
+    by what the folds that never saw it teach."""
+    e = embeddings_as_spectra(spark, d)
     rows, classes = latent.with_targets(e.join(splits.grouped_folds(e, 5), "group_id"))
-    return metrics.summary(latent.out_of_fold(rows, classes, P, latent.choose_lv(latent.lv_curve(rows, P, 6))))
+    steps = pipeline.Steps(preprocess.preset("snv_sg_mc"))
+    parts = pipeline.fold_moments(rows, steps)
+    best = latent.choose_lv(pipeline.curve(parts, len(classes), 6))
+    return metrics.summary(pipeline.out_of_fold(rows, classes, steps, best, parts=parts))
 
 
 @query("plsda_summary")

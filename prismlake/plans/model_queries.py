@@ -5,12 +5,16 @@ against numpy versions in the tests."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.functions import rowlocal as R
 from prismlake.functions import titles
-from prismlake.operators import benchmark, diagnostics, latent, metrics, oneclass, preprocess, quantify, resampling, selection, splits, validation
+from prismlake.operators import attribution, benchmark, diagnostics, hull, latent, metrics, oneclass, pipeline, preprocess, quantify, resampling, selection, splits, validation
 from prismlake.operators.gram import moments
 from prismlake.plans.catalog import _PAIRS, _SC, _TITLE, E, P, WN, _folded, _pairs, _pca, _scores, _titles, query
 from prismlake.schema import embeddings_as_spectra, to_long
@@ -460,8 +464,7 @@ def merit_table(spark, d):
 
 @query("kennard_stone_split")
 def kennard_stone_split(spark, d):
-    points = splits.group_means(embeddings_as_spectra(spark, d).where("conc in (0, 20)"))
-    return validation.kennard_stone_split(points, 0.1).select("group_id", "part")
+    return validation.kennard_stone_split(splits.group_means(embeddings_as_spectra(spark, d))).select("group_id", "part")
 
 
 @query("wold_test")
@@ -477,7 +480,7 @@ def bca_interval(spark, d):
 
 @query("bootstrap_vip")
 def bootstrap_vip(spark, d):
-    return validation.bootstrap_vip(embeddings_as_spectra(spark, d), 3, 20)
+    return validation.bootstrap_vip(embeddings_as_spectra(spark, d), 3)
 
 
 @query("preprocessing_comparison")
@@ -513,6 +516,40 @@ def regressor_benchmark(spark, d):
     return benchmark.regressors(_parted(spark, d), 3)
 
 
+_POINTS = f"{E}, pt AS (SELECT DISTINCT a.label, a.v AS x, b.v AS y FROM e a JOIN e b USING (sample_id) WHERE a.j = 0 AND b.j = 1)"
+
+
+@query("convex_hull", f"""WITH {_POINTS}, edge AS (SELECT a.label, a.x, a.y, b.x AS bx, b.y AS by FROM pt a JOIN pt b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y))
+SELECT label, x, y FROM edge g WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.label = g.label AND (bx - g.x) * (c.y - g.y) - (by - g.y) * (c.x - g.x) < 0)""")
+def convex_hull(spark, d):
+    """The vertices around each class in the plane of two channels: ends of an edge that leaves no point outside."""
+    e = embeddings_as_spectra(spark, d).select("label", F.get("x", F.lit(0)).alias("u"), F.get("x", F.lit(1)).alias("v"))
+    return hull.convex_hull(e, "label", "u", "v").select("label", "x", "y")
+
+
+@query("forest_attributions")
+def forest_attributions(spark, d):
+    """What a forest's class shares owe to each channel."""
+    e = embeddings_as_spectra(spark, d).withColumn("features", array_to_vector("x"))
+    index = StringIndexer(inputCol="label", outputCol="target", stringOrderType="alphabetAsc").fit(e)
+    model = RandomForestClassifier(numTrees=20, maxDepth=5, seed=42, labelCol="target").fit(index.transform(e))
+    return attribution.importance(attribution.tree_attributions(e, model)).withColumn("label", F.get(F.lit(index.labels), F.col("output"))).drop("output")
+
+
+@query("regressor_benchmark_by_class")
+def regressor_benchmark_by_class(spark, d):
+    return benchmark.regressors(_parted(spark, d), 3, {"ridge": benchmark.REGRESSORS["ridge"]}, by_class=True)
+
+
+@query("lv_curve_wide")
+def lv_curve_wide(spark, d):
+    """The component curve of 2,000 channels: the spectra on a finer axis, which bends them anew between channels."""
+    fine = preprocess.interpolate(embeddings_as_spectra(spark, d), WN, np.linspace(WN[0], WN[-1], 2000))
+    rows, classes = latent.with_targets(splits.hashed_folds(fine, 3))
+    parts = pipeline.fold_moments(rows, pipeline.Steps(("savgol", "center"), 25))
+    return spark.createDataFrame(pipeline.curve(parts, len(classes), 10), "components int, rmsecv double, q2 double")
+
+
 @query("variant_trees")
 def variant_trees(spark, d):
     """Ward merges of the class centroids in the plane of each variant of the spectra."""
