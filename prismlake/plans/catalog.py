@@ -490,7 +490,18 @@ def one_class_procrustes(spark, d):
     return oneclass.procrustes_sensitivity(embeddings_as_spectra(spark, d))
 
 
-@query("kennard_stone")
+def _farthest_sql(k: int) -> str:
+    """Farthest-first written out: c0 is the group farthest from the centroid, each next one the group whose least
+    distance to those before is greatest."""
+    m = f"{E}, m AS MATERIALIZED (SELECT group_id AS g, j, avg(v) AS m FROM e GROUP BY ALL), o AS (SELECT j, avg(m) AS o FROM m GROUP BY j), c0 AS MATERIALIZED (SELECT g FROM m JOIN o USING (j) GROUP BY g ORDER BY round(sum((m - o) ** 2), 12) DESC, g LIMIT 1)"
+    for i in range(1, k):
+        before = " UNION ALL ".join(f"SELECT g FROM c{n}" for n in range(i))
+        m += f""", d{i} AS (SELECT p.g, q.g AS h, round(sum((p.m - q.m) ** 2), 12) AS d FROM m p JOIN m q USING (j) WHERE q.g IN ({before}) AND p.g NOT IN ({before}) GROUP BY ALL),
+c{i} AS MATERIALIZED (SELECT g FROM d{i} GROUP BY g ORDER BY min(d) DESC, g LIMIT 1)"""
+    return f"WITH {m} " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS step, g AS group_id FROM c{i}" for i in range(k))
+
+
+@query("kennard_stone", _farthest_sql(8))
 def kennard_stone(spark, d):
     chosen = splits.kennard_stone(splits.group_means(embeddings_as_spectra(spark, d)), 8)
     return spark.createDataFrame([(i, g) for i, g in enumerate(chosen)], "step int, group_id string")

@@ -519,8 +519,8 @@ def regressor_benchmark(spark, d):
 _POINTS = f"{E}, pt AS (SELECT DISTINCT a.label, a.v AS x, b.v AS y FROM e a JOIN e b USING (sample_id) WHERE a.j = 0 AND b.j = 1)"
 
 
-@query("convex_hull", f"""WITH {_POINTS}, edge AS (SELECT a.label, a.x, a.y, b.x AS bx, b.y AS by FROM pt a JOIN pt b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y))
-SELECT label, x, y FROM edge g WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.label = g.label AND (bx - g.x) * (c.y - g.y) - (by - g.y) * (c.x - g.x) < 0)""")
+@query("convex_hull", f"""WITH {_POINTS}, edge AS (SELECT a.label, a.x, a.y, b.x AS ex, b.y AS ey FROM pt a JOIN pt b ON a.label = b.label AND (a.x <> b.x OR a.y <> b.y))
+SELECT label, x, y FROM edge g WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.label = g.label AND (ex - g.x) * (c.y - g.y) - (ey - g.y) * (c.x - g.x) < 0)""")
 def convex_hull(spark, d):
     """The vertices around each class in the plane of two channels: ends of an edge that leaves no point outside."""
     e = embeddings_as_spectra(spark, d).select("label", F.get("x", F.lit(0)).alias("u"), F.get("x", F.lit(1)).alias("v"))
