@@ -60,6 +60,15 @@ def replicate_noise(spectra: DataFrame) -> DataFrame:
     return per.agg(F.sqrt(F.avg("pooled")).alias("noise"))
 
 
+def processed_replicates(spectra: DataFrame, train: DataFrame, steps: tuple[str, ...], window: int = 25) -> DataFrame:
+    """The rows of groups with two rows or more, transformed by what the training rows teach; nothing is learned
+    from the replicates. Feed it to replicate_noise for the noise that a model on processed spectra sees."""
+    from prismlake.operators.preprocess import fit_apply
+
+    several = spectra.where("group_id is not null and x is not null").groupBy("group_id").agg(F.count("*").alias("_n")).where("_n > 1").select("group_id")
+    return fit_apply(train, spectra.where("x is not null").join(several, "group_id", "left_semi"), steps, window)
+
+
 def merit(spectra: DataFrame, coefficients: np.ndarray) -> dict[str, float | None]:
     """Sensitivity 1/|b|, detection 3.3 and quantification 10 times noise times |b|."""
     noise = replicate_noise(spectra).first()["noise"]

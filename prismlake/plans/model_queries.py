@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import rowlocal as R
 from prismlake.functions import titles
-from prismlake.operators import attribution, benchmark, diagnostics, hull, latent, metrics, oneclass, pipeline, preprocess, quantify, resampling, selection, splits, validation
+from prismlake.operators import attribution, benchmark, diagnostics, holdout, hull, latent, metrics, oneclass, pipeline, preprocess, quantify, resampling, selection, splits, validation
 from prismlake.operators.gram import moments
 from prismlake.plans.catalog import _PAIRS, _SC, _TITLE, E, P, WN, _folded, _pairs, _pca, _scores, _titles, query
 from prismlake.schema import embeddings_as_spectra, to_long
@@ -527,6 +527,33 @@ def convex_hull(spark, d):
     return hull.convex_hull(e, "label", "u", "v").select("label", "x", "y")
 
 
+@query("holdout_parts", f"""WITH {E}, g AS (SELECT group_id, md5('42:' || group_id) AS h FROM e WHERE conc > 0 GROUP BY group_id), d AS (SELECT group_id FROM g QUALIFY row_number() OVER (ORDER BY h, group_id) <= (SELECT ceil(count(*) * 0.2) FROM g))
+SELECT sample_id, CASE WHEN group_id IN (SELECT group_id FROM d) THEN 'holdout' ELSE 'train' END AS part FROM e WHERE j = 0""")
+def holdout_parts(spark, d):
+    """Groups are drawn among those with an adulterated row; pure rows stay in training."""
+    return holdout.set_aside(embeddings_as_spectra(spark, d), keep_pure=True).select("sample_id", "part")
+
+
+@query("holdout_stratified", f"""WITH {E}, r AS (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM e WHERE j = 0)
+SELECT sample_id, CASE WHEN r <= ceil(n * 0.2) THEN 'holdout' ELSE 'train' END AS part FROM r""")
+def holdout_stratified(spark, d):
+    return holdout.set_aside(embeddings_as_spectra(spark, d), groups=False).select("sample_id", "part")
+
+
+@query("holdout_report")
+def holdout_report(spark, d):
+    """Cross-validated figures beside those of groups that were set aside first, under the default preset."""
+    parted = holdout.set_aside(embeddings_as_spectra(spark, d))
+    return holdout.report(parted, pipeline.Steps(preprocess.preset("snv_sg_mc")), 6)[1]
+
+
+@query("processed_replicate_noise", f"""WITH {E}, s AS (SELECT sample_id, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY ALL), t AS (SELECT group_id, j, (v - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS v FROM e JOIN s USING (sample_id)),
+g AS (SELECT group_id, j, count(*) AS n, var_samp(v) AS s FROM t GROUP BY ALL HAVING count(*) > 1), p AS (SELECT j, sum((n - 1) * s) / sum(n - 1) AS pooled FROM g GROUP BY j) SELECT round(sqrt(avg(pooled)), 9) AS noise FROM p""")
+def processed_replicate_noise(spark, d):
+    e = embeddings_as_spectra(spark, d)
+    return quantify.replicate_noise(quantify.processed_replicates(e, e, ("snv", "center"))).select(F.round("noise", 9).alias("noise"))
+
+
 @query("forest_attributions")
 def forest_attributions(spark, d):
     """What a forest's class shares owe to each channel."""

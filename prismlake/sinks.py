@@ -36,6 +36,22 @@ def model_card(summary: DataFrame, title: str, notes: list[str] | None = None, p
     return summary.agg(F.concat_ws("\n", F.lit("\n".join(head)), F.array_join(lines, "\n"), F.lit("\n".join(tail))).alias("markdown"))
 
 
+def append_block(card: DataFrame, title: str, rows: DataFrame, note: str | None = None) -> DataFrame:
+    """card (markdown) with a further block: a table of all columns of rows, in the order of the first ones, numbers
+    to six digits, nulls and NaN as n/a. Rows are those of a table of results, few."""
+    cells = [F.coalesce(F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.6g", c)) if t in ("double", "float") else F.col(c).cast("string"), F.lit("n/a")) for c, t in rows.dtypes]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = f"\n\n## {title}\n\n| {' | '.join(rows.columns)} |\n|{'-|' * len(rows.columns)}\n"
+    table = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(rows.columns)), line.alias("line")))), lambda s: s["line"]), "\n").alias("_t"))
+    return card.crossJoin(table).select(F.concat("markdown", F.lit(head), "_t", F.lit(f"\n\n{note}" if note else "")).alias("markdown"))
+
+
+def regression_block(card: DataFrame, metrics: DataFrame, merit: DataFrame | None = None) -> DataFrame:
+    """card with the figures of a regression and, if given, its analytical figures of merit."""
+    out = append_block(card, "Regression", metrics, "RPD is the deviation of the references over SEP, RER their range over SEP.")
+    return out if merit is None else append_block(out, "Figures of merit", merit, "Limits of detection and quantification are 3.3 and 10 times the noise over the sensitivity.")
+
+
 def manifest(spark: SparkSession, model: DataFrame, classes: list[str], channels: int) -> DataFrame:
     """One row: versions, the model's checksum, its classes and channels. model: the one row that holds it as
     `model`."""

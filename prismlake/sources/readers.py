@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: Readers by kind: a function, or where to find it when it is first asked for.
 _REGISTRY: dict[str, Callable[..., DataFrame] | str] = {
     "csv": "prismlake.sources.readers:read_csv", "spectra": "prismlake.sources.readers:read_spectra", "synthetic": "prismlake.sources.readers:synthetic", "images": "prismlake.sources.images:read_images",
+    "tecator": "prismlake.sources.readers:read_tecator",
 }
 
 
@@ -66,6 +67,55 @@ def read_csv(spark: SparkSession, path: str, label: str | None = None, conc: str
     return df.select(*named, *rest, F.array(*(number(c) for c in axis)).alias("x"), F.lit([float(c.replace(",", ".")) for c in axis]).alias("wn"))
 
 
+def preview_csv(spark: SparkSession, path: str, label: str | None = None, lo: float = float("-inf"), hi: float = float("inf"), n: int = 50) -> DataFrame:
+    """The first n rows of a wide table, cut to the axis values in [lo, hi]: a look at a file, no load. Spark reads
+    no more of the file than these rows need."""
+    rows = read_csv(spark, path, label=label).limit(n)
+    first = rows.select("wn").first()
+    keep = [j for j, w in enumerate(first["wn"] if first else []) if lo <= w <= hi]
+    cut = lambda c: F.transform(F.lit(keep).cast("array<int>"), lambda j: F.get(c, j)).alias(c)
+    named = [F.col("label")] if label else [F.lit("?").alias("label")]
+    return rows.select(*named, cut("wn"), cut("x"))
+
+
+#: Fixed values of the Tecator file: the line before the data, lines and channels of a sample, its axis, and how many
+#: samples are for training and for testing; the others are for extrapolation.
+TECATOR_START, TECATOR_LINES, TECATOR_CHANNELS, TECATOR_AXIS, TECATOR_PARTS = "extrapolation_examples=25", 25, 100, (850.0, 1050.0), (172, 215)
+
+
+def decode_tecator(text: str) -> list[tuple[int, list[float], float, float, float, str]]:
+    """(number, absorbances, moisture, fat, protein, part) of each sample. The text before the last start line is
+    prose; a number of lines that isn't one of whole samples is an error."""
+    _, start, data = text.rpartition(TECATOR_START)
+    lines = [ln.split() for ln in data.splitlines()[1:] if ln.strip()]
+    if not start or len(lines) % TECATOR_LINES:
+        raise ValueError("no start of the data" if not start else f"{len(lines)} lines are no whole samples of {TECATOR_LINES}")
+    out = []
+    for i in range(len(lines) // TECATOR_LINES):
+        own = lines[i * TECATOR_LINES : (i + 1) * TECATOR_LINES]
+        x = [float(v) for ln in own[:20] for v in ln]
+        if len(x) != TECATOR_CHANNELS:
+            raise ValueError(f"sample {i} has {len(x)} absorbances, not {TECATOR_CHANNELS}")
+        moisture, fat, protein = (float(v) for v in own[-1][-3:])
+        out.append((i, x, moisture, fat, protein, "train" if i < TECATOR_PARTS[0] else "test" if i < TECATOR_PARTS[1] else "extrapolation"))
+    return out
+
+
+def read_tecator(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, label, conc (fat), group_id, x, wn, moisture, protein, part of the public Tecator text. One file of
+    some 240 samples, decoded in one task."""
+    files = spark.read.text(path, wholetext=True)
+    wn = np.linspace(*TECATOR_AXIS, TECATOR_CHANNELS).tolist()
+
+    def samples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for text in frame["value"]:
+                rows = decode_tecator(text)
+                yield pd.DataFrame([(i, "meat", fat, str(i), x, wn, moisture, protein, part) for i, x, moisture, fat, protein, part in rows], columns=["sample_id", "label", "conc", "group_id", "x", "wn", "moisture", "protein", "part"])
+
+    return files.mapInPandas(samples, "sample_id long, label string, conc double, group_id string, x array<double>, wn array<double>, moisture double, protein double, part string")
+
+
 #: Digit alphabets of the JCAMP-DX compressed forms, in order of the digits they stand for.
 SQUEEZED = "@ABCDEFGHI", "abcdefghi"
 DIFFERENCE = "%JKLMNOPQR", "jklmnopqr"

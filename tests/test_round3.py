@@ -389,5 +389,5 @@ def test_edges(spark, data):
 
 
 def test_registry_in_a_fresh_interpreter():
-    code = "from prismlake.sources import readers as r\nassert r.kinds() == ['csv', 'images', 'spectra', 'synthetic'], r.kinds()\nassert r.reader('images').__name__ == 'read_images'\ntry:\n    r.reader('x')\nexcept ValueError as e:\n    assert 'csv, images, spectra, synthetic' in str(e)\n"
+    code = "from prismlake.sources import readers as r\nassert r.kinds() == ['csv', 'images', 'spectra', 'synthetic', 'tecator'], r.kinds()\nassert r.reader('images').__name__ == 'read_images'\ntry:\n    r.reader('x')\nexcept ValueError as e:\n    assert 'csv, images, spectra, synthetic' in str(e)\n"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])

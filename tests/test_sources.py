@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake import run
+from prismlake import run, sinks
 from prismlake.config import Settings
-from prismlake.operators import pipeline
+from prismlake.operators import holdout, pipeline, preprocess, quantify
 from prismlake.sources import datasource, folders, readers
 
 
@@ -90,6 +90,31 @@ def test_a_copy_that_names_its_origin_stops_all(spark, tmp_path):
     assert os.listdir(tmp_path / "out") == []
 
 
+def test_preview_and_tecator(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("kind;100;101;102,5\nA;1;2;3\nB;4;5;6\nC;7;8;9\n")
+    got = [(r["label"], r["wn"], r["x"]) for r in readers.preview_csv(spark, str(tmp_path / "w.csv"), "kind", 100.5, 200, 2).collect()]
+    assert sorted(got) == [("A", [101, 102.5], [2, 3]), ("B", [101, 102.5], [5, 6])]
+    assert readers.preview_csv(spark, str(tmp_path / "w.csv"), lo=500, hi=600).first()["x"] == []
+    sample = lambda i: "".join(" ".join(str(i + 5 * r + c) for c in range(5)) + "\n" for r in range(20)) + "0 0 0 0 0\n" * 4 + f"0 0 {60 + i} {i} 20\n"
+    text = "prose extrapolation_examples=25 prose\nextrapolation_examples=25\n\n" + "".join(sample(i) for i in range(220))
+    (tmp_path / "tecator").write_text(text)
+    rows = readers.read_tecator(spark, str(tmp_path / "tecator")).orderBy("sample_id").collect()
+    assert len(rows) == 220 and rows[3]["x"] == [3.0 + k for k in range(100)] and (rows[3]["conc"], rows[3]["moisture"], rows[3]["protein"]) == (3, 63, 20) and rows[0]["wn"][-1] == 1050
+    assert [sum(r["part"] == p for r in rows) for p in ("train", "test", "extrapolation")] == [172, 43, 5]
+    for bad in ("nothing", text + "1 2\n", text.replace("0 1 2 3 4\n", "0 1 2 3\n")):
+        with pytest.raises(ValueError, match="data|lines|absorbances"):
+            readers.decode_tecator(bad)
+
+
+def test_blocks_are_appended(spark):
+    card = sinks.model_card(spark.createDataFrame([("n", 3.0)], "key string, value double"), "Model")
+    metrics = spark.createDataFrame([("b", 0.5, None), ("a", float("nan"), 2.0)], "model string, r2 double, rpd double")
+    text = sinks.regression_block(card, metrics, spark.createDataFrame([("lod", 1.25)], "figure string, value double")).first()[0]
+    assert text.startswith("# Model") and "## Regression\n\n| model | r2 | rpd |" in text
+    assert text.index("| a | n/a | 2.00000 |") < text.index("| b | 0.500000 | n/a |")
+    assert "## Figures of merit" in text and "| lod | 1.25" in text
+
+
 # ------------------------------------------------------------------ the gated run
 
 SCHEMA = "sample_id long, label string, conc double, group_id string, x array<double>"
@@ -138,3 +163,26 @@ def test_exploratory_and_quantification(spectra):
     assert made["pca_scores"].count() == 72 * 5 and made["class_tree"].count() == 2 and made["mean_spectra"].count() == 150
     made, _ = run.tables(spectra, Settings(preset="mc", folds=3), objective=run.QUANTIFICATION)
     assert made["calibration"].first()["r2"] > 0.8 and made["figures_of_merit"].count() >= 4
+
+
+def test_holdout_report(spectra):
+    """The held-out rows are those of the drawn groups, the model never sees them, and pure groups stay."""
+    parted = holdout.set_aside(spectra, 0.25, keep_pure=True)
+    n = {(r["part"], r["pure"]): r["n"] for r in parted.groupBy("part", (F.col("conc") == 0).alias("pure")).agg(F.count("*").alias("n")).collect()}
+    assert ("holdout", True) not in n and n["holdout", False] >= 12
+    assert parted.groupBy("group_id").agg(F.countDistinct("part").alias("k")).where("k > 1").count() == 0
+    steps = pipeline.Steps(("msc", "savgol", "center"), 7)
+    table, comparison = holdout.report(parted, steps, 4, 3)
+    figures = {r["metric"]: (r["cross_validated"], r["holdout"]) for r in comparison.collect()}
+    assert set(figures) == {"accuracy", "balanced_accuracy", "f1", "kappa"} and min(figures["balanced_accuracy"]) > 0.85
+    assert table.agg(F.sum("n")).first()[0] == parted.where("part = 'holdout'").count()
+    # shifting held-out rows changes nothing that was learned: cross-validated figures stay
+    moved = parted.withColumn("x", F.when(F.col("part") == "holdout", F.transform("x", lambda v: v + 100 * F.rand(1))).otherwise(F.col("x")))
+    again = {r["metric"]: r["cross_validated"] for r in holdout.report(moved, steps, 4, 3)[1].collect()}
+    assert again == {k: v[0] for k, v in figures.items()}
+    with pytest.raises(ValueError, match="both parts"):
+        holdout.report(parted.withColumn("part", F.lit("train")), steps, 3, 3)
+    strata = holdout.set_aside(spectra, 0.25, groups=False).where("part = 'holdout'").groupBy("label").count().collect()
+    assert {r["count"] for r in strata} == {6}
+    kept = quantify.processed_replicates(spectra, spectra, preprocess.preset("snv_sg_mc"), 7)
+    assert kept.count() == 72 and quantify.replicate_noise(kept).first()["noise"] > 0
