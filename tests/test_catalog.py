@@ -7,12 +7,6 @@ from prismlake.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-#: Queries without SQL whose methods other tests hold against numpy, and which take long.
-SLOW = {
-    "one_class_scores", "one_class_decisions", "permutation_test", "one_class_sensitivity", "classifier_benchmark", "regressor_benchmark", "preprocessing_comparison",
-    "bootstrap_vip", "variant_trees", "wold_test", "training_flags", "one_class_specificity", "acceptance_boundary", "kennard_stone_split",
-}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -36,7 +30,7 @@ def test_sql(spark, con, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, DIR).count() > 0
 
