@@ -496,7 +496,7 @@ def monte_carlo(spark, d):
 @query("interval_selection")
 def interval_selection(spark, d):
     rows, _ = latent.with_targets(splits.hashed_folds(embeddings_as_spectra(spark, d), 4))
-    return spark.createDataFrame(selection.interval_table(moments(rows, "fold"), P, 3))
+    return spark.createDataFrame(selection.judged_intervals(rows, P, 3))
 
 
 @query("genetic_convergence")

@@ -56,7 +56,8 @@ def read_csv(spark: SparkSession, path: str, label: str | None = None, conc: str
     if header is None:
         raise ValueError(f"{path} is empty")
     sep = sep or max(";,\t", key=header[0].count)
-    df = spark.read.csv(path, header=True, sep=sep)
+    # every file's header must be that of the first, or its columns would be read under other names
+    df = spark.read.csv(path, header=True, sep=sep, enforceSchema=False)
     axis = [c for c in df.columns if _is_number(c) and c not in (label, conc)]
     if not axis:
         raise ValueError(f"{path} has no column with a numeric name")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from prismlake.functions import rowlocal as R
 from prismlake.functions.ranks import signed_rank
-from prismlake.operators import attribution, benchmark, diagnostics, gram, hull, kernel, latent, oneclass, pipeline, preprocess, splits, validation
+from prismlake.operators import attribution, benchmark, diagnostics, gram, hull, kernel, latent, oneclass, pipeline, preprocess, selection, splits, validation
 from prismlake.streaming import scoring
 
 SCHEMA = "sample_id long, label string, conc double, group_id string, x array<double>"
@@ -270,6 +270,30 @@ def test_regressors_by_class(spark, data):
     assert {(r["label"], r["model"]) for r in each} == {(str(i), m) for i in range(3) for m in ("pls", "svr_rbf")}
 
 
+def test_selection_is_judged_by_balanced_accuracy(spark, data):
+    """Against a loop that refits every fold of every candidate and scores its rows."""
+    x, k = data
+    folded, classes = latent.with_targets(splits.hashed_folds(table(spark, x, k), 3))
+    fold = {r["sample_id"]: r["fold"] for r in folded.select("sample_id", "fold").collect()}
+    f = np.array([fold[i] for i in range(90)])
+    by = gram.moments(folded, "fold")
+    masks = {"low": {str(j): np.arange(60) < 20 + j for j in range(3)}, "all": {str(j): np.ones(60, bool) for j in range(3)}}
+    got = selection.judged(folded, by, 60, masks, 4)
+    for name in masks:
+        hit = np.zeros(90, bool)
+        for j in range(3):
+            keep = masks[name][str(j)]
+            z = np.hstack([x[f != j][:, keep], np.eye(3)[k[f != j]]])
+            m = latent.fit_pls(gram.Moments(len(z), z.sum(0), z.T @ z), int(keep.sum()), 4)
+            hit[f == j] = (m.y_mean + (x[f == j][:, keep] - m.x_mean) @ m.coefficients(4)).argmax(1) == k[f == j]
+        assert got[name] == pytest.approx((hit.mean(), np.mean([hit[k == c].mean() for c in range(3)])))
+    t = selection.selection_table(folded, 60, 3, ("full", "vip", "interval"))
+    best = t.loc[t["winner"]].iloc[0]
+    assert t["winner"].sum() == 1 and best["balanced_accuracy"] >= t["balanced_accuracy"].max() - 0.01
+    i = selection.judged_intervals(folded, 60, 3)
+    assert i["winner"].sum() == 1 and i.loc[i["winner"], "balanced_accuracy"].iloc[0] == i["balanced_accuracy"].max()
+
+
 def test_signed_ranks():
     """Tabulated: n = 5 all of one sign, p = 2/32; n = 8 with W = 3, p = 10/256; with ties, by listing all signs."""
     assert signed_rank([2, 3, 4, 5, 6], [1, 1, 1, 1, 1]) == (0, 2 / 32)
@@ -388,6 +412,16 @@ def test_edges(spark, data):
     assert preprocess.fit_apply(df, with_null, ("msc", "savgol", "center"), 25).where("x is null").count() == 1
 
 
+def test_csv_headers_must_agree(spark, tmp_path):
+    """Files of one folder with other column orders don't mix silently."""
+    from prismlake.sources import readers
+
+    (tmp_path / "a.csv").write_text("kind;100;101\nA;1;2\n")
+    (tmp_path / "b.csv").write_text("kind;101;100\nB;1;2\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        readers.read_csv(spark, str(tmp_path), label="kind").collect()
+
+
 def test_registry_in_a_fresh_interpreter():
     code = "from prismlake.sources import readers as r\nassert r.kinds() == ['csv', 'images', 'spectra', 'synthetic', 'tecator'], r.kinds()\nassert r.reader('images').__name__ == 'read_images'\ntry:\n    r.reader('x')\nexcept ValueError as e:\n    assert 'csv, images, spectra, synthetic' in str(e)\n"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
