@@ -139,6 +139,15 @@ def dot(x: Column, y: Column) -> Column:
     return total(F.zip_with(x, y, lambda a, b: a * b))
 
 
+def products(x: Column, weights: np.ndarray, offsets: np.ndarray) -> Column:
+    """x W + offsets as an array: one expression with two literals, however many columns W has."""
+    p = len(weights)
+    if not len(offsets):
+        return F.array().cast("array<double>")
+    flat = constants(np.asarray(weights).T)
+    return bound(x, lambda row: F.transform(constants(offsets), lambda o, k: dot(row, F.slice(flat, k * p + 1, F.lit(p))) + o))
+
+
 def softmax(x: Column) -> Column:
     def share(row: Column) -> Column:
         e = bound(F.array_max(row), lambda top: F.transform(row, lambda v: F.exp(v - top)))

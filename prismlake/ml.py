@@ -119,6 +119,6 @@ class PlsDaModel(Model, _Column, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         w = json.loads(self.getOrDefault("weights"))
         b, x = np.array(w["b"]), F.col(self.getOrDefault("column"))
-        scores = F.array(*(R.dot(x, R.constants(b[:, k])) + float(w["offset"][k]) for k in range(len(w["classes"]))))
+        scores = R.products(x, b, np.array(w["offset"]))
         out = dataset.withColumn("scores", scores)
         return out.withColumn("predicted", latent.predicted_class("scores", w["classes"])).withColumn("probability", R.softmax(F.col("scores")))

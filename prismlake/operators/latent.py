@@ -30,11 +30,10 @@ class Pls:
     def predict(self, x: Column, a: int) -> Column:
         """All outputs as an array column, row-local."""
         b = self.coefficients(a)
-        off = self.y_mean - self.x_mean @ b
-        return F.array(*(R.dot(x, R.constants(b[:, k])) + F.lit(float(off[k])) for k in range(b.shape[1])))
+        return R.products(x, b, self.y_mean - self.x_mean @ b)
 
     def scores(self, x: Column, a: int) -> Column:
-        return F.array(*(R.dot(x, R.constants(self.r[:, k])) - F.lit(float(self.x_mean @ self.r[:, k])) for k in range(a)))
+        return R.products(x, self.r[:, :a], -(self.x_mean @ self.r[:, :a]))
 
 
 def fit_pls(m: Moments, p: int, components: int) -> Pls:
@@ -154,7 +153,7 @@ class Pca:
     total: float
 
     def scores(self, x: Column) -> Column:
-        return F.array(*(R.dot(x, R.constants(v)) - F.lit(float(self.mean @ v)) for v in self.loadings.T))
+        return R.products(x, self.loadings, -(self.mean @ self.loadings))
 
     def t2(self, x: Column) -> Column:
         t = self.scores(x)

@@ -47,7 +47,8 @@ def grouped_folds(spectra: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     ranked = numbered(groups.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), "group_id"))), by_hash(F.col("_h")), "_h", "group_id", keys=("kind",))
     at = (F.col("rank") - 1).cast("int")
     fold = F.when(at < F.size("dealt"), F.get("dealt", at)).otherwise((at - F.size("dealt")) % folds)
-    return ranked.join(table, "kind").select("group_id", fold.cast("int").alias("fold"))
+    # folds are read again by every pass over the rows
+    return stored(ranked.join(table, "kind").select("group_id", fold.cast("int").alias("fold")))
 
 
 def hashed_folds(spectra: DataFrame, folds: int, seed: int = 42) -> DataFrame:
