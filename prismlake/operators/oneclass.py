@@ -95,12 +95,17 @@ def decide(spectra: DataFrame, models: list[ClassModel]) -> DataFrame:
     return spectra.select("sample_id", "label", F.when(F.size(ok) == 1, ok[0]).when(F.size(ok) == 0, "unknown").otherwise("ambiguous").alias("decision"))
 
 
+#: Rows and refits of a class that meet in one task of leave_group_out, and distances that it holds at once.
+ROW_BLOCK, REFIT_BLOCK, AT_ONCE = 1 << 16, 1 << 12, 1 << 22
+
+
 def leave_group_out(spectra: DataFrame, components: int = 5, alpha: float = 0.05) -> DataFrame:
     """label, sensitivity, n_groups, note: each group is judged by its class's model fitted without it.
 
-    A group's refit is the class's moments minus its own, made where its few rows are. The refits, p x A
-    numbers for each group, go to the tasks; every row is scored by the refits of its class where it stands,
-    and means and deviations over the other groups come from sums. So no task holds a class."""
+    A group's refit is the class's moments minus its own, made where its few rows are. Rows and refits of a class
+    are dealt into blocks, and every block of rows meets every block of refits in a task, which returns a row for
+    each refit: counts, means and squared deviations over its groups, and the distance of the group that was left
+    out. So no task and not the driver holds a class, and what is shuffled besides the blocks is linear."""
     spark = spectra.sparkSession
     p = channels(spectra)
     shared = spark.sparkContext.broadcast(moments(spectra.withColumn("y", F.array(F.lit(0.0))), "label"))
@@ -118,40 +123,75 @@ def leave_group_out(spectra: DataFrame, components: int = 5, alpha: float = 0.05
         pca = fit_pca(m, p, a)
         return pd.DataFrame({"label": [label], "out": [out], "mean": [pca.mean], "loadings": [pca.loadings.T.ravel()], "variance": [pca.variance]})
 
-    got = spectra.select("label", "group_id", "x").groupBy("label", "group_id").applyInPandas(refit, "label string, out string, mean array<double>, loadings array<double>, variance array<double>").toPandas()
+    rows = spectra.where("label is not null and group_id is not null and x is not null").select("label", "group_id", "x")
     groups = spectra.groupBy("label").agg(F.countDistinct("group_id").alias("n_groups"))
-    unknown = groups.select("label", F.lit(None).cast("double").alias("sensitivity"), "n_groups", F.lit("not validated").alias("note"))
-    if not len(got):
-        return unknown
-    refits: dict[str, list] = {}
-    for r in got.sort_values(["label", "out"]).itertuples(index=False):
-        refits.setdefault(r.label, []).append((r.out, np.array(r.mean), np.array(r.loadings).reshape(len(r.variance), p).T, np.array(r.variance)))
-    sent = spark.sparkContext.broadcast(refits)
-
-    def distances(frames):
+    sizes = [(r["label"], -(-r["n"] // ROW_BLOCK), -(-r["g"] // REFIT_BLOCK)) for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("g")).collect()]
+    sizes = F.broadcast(spark.createDataFrame(sizes, "label string, row_blocks long, refit_blocks long"))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    refits = rows.groupBy("label", "group_id").applyInPandas(refit, "label string, out string, mean array<double>, loadings array<double>, variance array<double>")
+    refits = refits.join(sizes, "label").select("label", block("out", "refit_blocks").alias("c"), every("row_blocks").alias("b"), "out", "mean", "loadings", "variance")
+    dealt = rows.join(sizes, "label").select("label", block("group_id", "row_blocks").alias("b"), every("refit_blocks").alias("c"), "group_id", "x")
+
+    def meet(own, models):
         import pandas as pd
 
-        for f in frames:
-            parts = []
-            for label, own in f.groupby("label"):
-                x = np.stack(own["x"].to_numpy())
-                for out, mean, loadings, variance in sent.value.get(label, []):
-                    t = (x - mean) @ loadings
-                    q = np.maximum(((x - mean) ** 2).sum(1) - (t**2).sum(1), 0)
-                    parts.append(pd.DataFrame({"label": label, "group_id": own["group_id"].to_numpy(), "out": out, "t2": (t**2 / np.where(variance > 1e-24, variance, 1.0)).sum(1), "q": q}).groupby(["label", "group_id", "out"], as_index=False).agg(t2=("t2", "sum"), q=("q", "sum"), n=("q", "size")))
-            if parts:
-                yield pd.concat(parts)
-
-    each = spectra.select("label", "group_id", "x").mapInPandas(distances, "label string, group_id string, out string, t2 double, q double, n long")
-    means = each.groupBy("label", "group_id", "out").agg((F.sum("t2") / F.sum("n")).alias("t2"), (F.sum("q") / F.sum("n")).alias("q"))
-    scale = means.where("group_id <> out").groupBy("label", "out").agg(F.avg("t2").alias("h0"), F.stddev_samp("t2").alias("hs"), F.avg("q").alias("q0"), F.stddev_samp("q").alias("qs"))
+        names = ["label", "out", "n", "mt", "st", "mq", "sq", "t2", "q"]
+        if not len(own) or not len(models):
+            return pd.DataFrame({k: [] for k in names}, dtype=object)
+        own = own.sort_values("group_id", kind="stable")
+        group = own["group_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        count = np.diff(np.append(first, len(group)))[:, None]
+        place = {g: i for i, g in enumerate(group[first])}
+        x = np.stack(own["x"].to_numpy())
+        centre = x.mean(0)
+        x = x - centre
+        norm = (x * x).sum(1)[:, None]
+        parts = []
+        at_once = max(1, AT_ONCE // len(x))
+        # refits of one number of components together
+        for a, some in models.groupby(models["variance"].map(len)):
+            for at in range(0, len(some), at_once):
+                part = some.iloc[at : at + at_once]
+                mean = np.stack(part["mean"].to_numpy()) - centre
+                loadings = np.stack(part["loadings"].to_numpy()).reshape(len(part), a, p)
+                variance = np.stack(part["variance"].to_numpy())
+                q = norm - 2 * (x @ mean.T) + (mean * mean).sum(1)
+                t2 = np.zeros_like(q)
+                for k in range(a):
+                    t = x @ loadings[:, k].T
+                    t -= (mean * loadings[:, k]).sum(1)
+                    t *= t
+                    q -= t
+                    t2 += t / np.where(variance[:, k] > 1e-24, variance[:, k], 1.0)
+                np.maximum(q, 0, out=q)
+                t2, q = (np.add.reduceat(v, first, axis=0) / count for v in (t2, q))
+                seat = np.array([place.get(o, -1) for o in part["out"]])
+                here, j = seat >= 0, np.arange(len(part))
+                n = len(first) - here
+                table = {"label": part["label"].to_numpy(), "out": part["out"].to_numpy(), "n": n}
+                for v, m, s, name in ((t2, "mt", "st", "t2"), (q, "mq", "sq", "q")):
+                    mine = np.where(here, v[seat, j], np.nan)
+                    others = v.sum(0) - np.where(here, mine, 0)
+                    table[m] = others / np.maximum(n, 1)
+                    table[s] = np.maximum(((v - table[m]) ** 2).sum(0) - np.where(here, (mine - table[m]) ** 2, 0), 0)
+                    table[name] = pd.array(mine, "Float64")
+                parts.append(pd.DataFrame(table))
+        return pd.concat(parts)[names]
+
+    met = dealt.groupBy("label", "b", "c").cogroup(refits.groupBy("label", "b", "c")).applyInPandas(meet, "label string, out string, n long, mt double, st double, mq double, sq double, t2 double, q double")
+    n, known = F.sum("n"), []
+    for m, s, mean, sd in (("mt", "st", "h0", "hs"), ("mq", "sq", "q0", "qs")):
+        at = F.sum(F.col("n") * F.col(m)) / n
+        spread = F.sum(s) + F.sum(F.col("n") * F.col(m) * F.col(m)) - n * at * at
+        known += [at.alias(mean), F.when(n > 1, F.sqrt(F.greatest(F.when(F.count("*") > 1, spread).otherwise(F.sum(s)), F.lit(0.0)) / (n - 1))).alias(sd)]
+    by_group = met.groupBy("label", "out").agg(*known, F.max("t2").alias("t2"), F.max("q").alias("q"), n.alias("n")).where("n > 0")
     dof = lambda m, s: F.coalesce(F.when((F.col(m) > 0) & (F.col(s) > 0), 2 * (F.col(m) / F.col(s)) ** 2), F.lit(1.0))
-    scale = scale.withColumn("nh", dof("h0", "hs")).withColumn("nq", dof("q0", "qs"))
-    limits = [(r["label"], r["out"], quantiles.chi2(spark, 1 - alpha, r["nh"] + r["nq"])) for r in scale.select("label", "out", "nh", "nq").collect()]
-    limit = spark.createDataFrame(limits, "label string, out string, top double")
-    by_row = means.where("group_id = out").join(scale, ["label", "out"]).join(limit, ["label", "out"])
+    by_group = by_group.withColumn("nh", dof("h0", "hs")).withColumn("nq", dof("q0", "qs"))
     f = F.col("t2") / F.greatest("h0", F.lit(1e-12)) * F.col("nh") + F.col("q") / F.greatest("q0", F.lit(1e-12)) * F.col("nq")
-    s = by_row.groupBy("label").agg(F.avg((f <= F.col("top")).cast("double")).alias("sensitivity"), F.count("*").alias("judged"))
+    inside = quantiles.chi2_below(f, F.col("nh") + F.col("nq")) <= 1 - alpha
+    s = by_group.groupBy("label").agg(F.avg(inside.cast("double")).alias("sensitivity"), F.count("*").alias("judged"))
     j = groups.join(s, "label", "left")
     valid = (F.col("n_groups") >= 2) & (F.coalesce("judged", F.lit(0)) >= 2)
     return j.select("label", F.when(valid, F.col("sensitivity")).alias("sensitivity"), "n_groups", F.when(~valid, "not validated").when(F.col("n_groups") < 10, "few groups").alias("note"))

@@ -100,6 +100,24 @@ def test_leave_group_out(spark, spectra, frame):
     assert few["sensitivity"] is None and few["note"] == "not validated"
 
 
+def test_leave_group_out_in_blocks(spectra, monkeypatch):
+    """Refits don't come to the driver, and blocks of rows and of refits give what one block gives."""
+    monkeypatch.setattr(type(spectra), "toPandas", lambda self: pytest.fail("refits on the driver"))
+    whole = sorted(map(tuple, oneclass.leave_group_out(spectra, 2).collect()))
+    monkeypatch.setattr(oneclass, "ROW_BLOCK", 7)
+    monkeypatch.setattr(oneclass, "REFIT_BLOCK", 4)
+    monkeypatch.setattr(oneclass, "AT_ONCE", 20)
+    assert sorted(map(tuple, oneclass.leave_group_out(spectra, 2).collect())) == whole
+
+
+def test_chi2_by_row(spark):
+    df = [1.0, 2.7, 8.0, 40.0, 900.0]
+    share = [1e-3, 0.2, 0.5, 0.95, 0.999]
+    rows = [(quantiles.chi2(spark, p, k), k, p) for k in df for p in share] + [(0.0, 3.0, 0.0)]
+    got = spark.createDataFrame(rows, "v double, k double, p double").select("p", quantiles.chi2_below(F.col("v"), F.col("k")).alias("s")).toPandas()
+    np.testing.assert_allclose(got["s"], got["p"], rtol=1e-5, atol=1e-8)
+
+
 def test_permutations_keep_counts_of_classes(spectra):
     classes = ["C0", "C1", "C2"]
     got = validation.permuted_labels(spectra, classes, 6).toPandas()
