@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismlake.functions.ordering import by_hash, numbered
-from prismlake.functions.tables import stored
+from prismlake.functions.tables import deleted, stored, written
 from prismlake.operators.gram import matrix
 
 
@@ -70,65 +71,117 @@ def holdout_groups(spectra: DataFrame, share: float = 0.2, seed: int = 42) -> Da
     return ranked.crossJoin(F.broadcast(n)).where("rank <= n").select("group_id")
 
 
-#: Points that a pass of kennard_stone brings to the driver.
-CANDIDATES = 64
+#: Points that a pass of kennard_stone brings to the driver, and distances that a task holds at once.
+CANDIDATES, AT_ONCE = 4096, 1 << 21
 
 
 def kennard_stone(points: DataFrame, k: int) -> list[str]:
     """The k groups chosen by farthest-first on group mean spectra, the first farthest from the centroid; of equally
-    far ones (to 12 places) the first by name.
+    far ones (to 12 places) the first by name. Fewer points than k: all of them."""
+    chosen: list[str] = []
+    for names, _ in _farthest_first(points, k):
+        chosen += names
+    return chosen
+
+
+def farthest_first_rest(points: DataFrame, k: int) -> DataFrame:
+    """group_id of the points that kennard_stone leaves, without a list of those that it takes."""
+    rest = points.where("group_id is not null and x is not null").select("group_id")
+    for names, state in _farthest_first(points, k):
+        rest = _without(state, names).select("group_id")
+    return rest
+
+
+def _farthest_first(points: DataFrame, k: int) -> Iterator[tuple[list[str], DataFrame]]:
+    """Passes: (the groups chosen in it, the points that were left before it).
 
     points: group_id, x with a row per group. Every point carries its distance to the nearest chosen one. A pass
     takes the CANDIDATES farthest points: distances only shrink, so as long as the farthest of them is farther
     than all points outside, it is the next choice, and its distances to the other candidates are known. Then the
-    chosen ones, in one step, lower the distances of all. Fewer points than k: all of them."""
+    chosen ones, in one step, lower the distances of all. A pass writes the points that are left, and those of the
+    pass before go, so that no more than two passes are on disk."""
     if k < 1:
-        return []
+        return
     rows = points.where("group_id is not null and x is not null").select("group_id", "x")
     p = rows.select(F.size("x").alias("p")).first()
     if p is None:
-        return []
+        return
     means = rows.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).collect()
     centre = np.zeros(p["p"])
     for r in means:
         centre[r["j"]] = r["m"]
-    far = rows.withColumn("d", F.lit(float("inf")))
     order = [F.desc(F.round("d", 12)), F.asc("group_id")]
-    first = _nearer(far, [centre]).orderBy(*order).first()
-    chosen, state, fresh = [first["group_id"]], far, [(first["group_id"], np.array(first["x"]))]
-    while len(chosen) < k:
-        state = stored(_nearer(state, [x for _, x in fresh]).where(~F.col("group_id").isin([g for g, _ in fresh])))
-        top = state.orderBy(*order).limit(CANDIDATES + 1).collect()
-        if not top:
+    state = written(rows.withColumn("d", F.lit(float("inf"))))
+    first = _nearer(state, [centre]).orderBy(*order).first()
+    fresh = [(first["group_id"], np.array(first["x"]))]
+    n = 1
+    yield [first["group_id"]], state
+    while n < k:
+        before, state = state, written(_nearer(_without(state, [g for g, _ in fresh]), [x for _, x in fresh]))
+        deleted(before)
+        top = state.orderBy(*order).limit(CANDIDATES + 1).toArrow().combine_chunks()
+        if not top.num_rows:
             break
-        names, x = [r["group_id"] for r in top], np.array([r["x"] for r in top])
-        d = np.round(np.array([r["d"] for r in top]), 12)
+        names, x = top["group_id"].to_pylist(), matrix(top["x"].combine_chunks())
+        d = np.round(top["d"].to_numpy(), 12)
         # the last one stands for all points outside: none of them comes before it
-        outside = (-d[-1], names[-1]) if len(top) > CANDIDATES else (np.inf, "")
-        live = list(range(min(len(top), CANDIDATES)))
+        outside = (-d[-1], names[-1]) if len(names) > CANDIDATES else (np.inf, "")
+        live = sorted(range(min(len(names), CANDIDATES)), key=names.__getitem__)
+        names, x, d = [names[i] for i in live], x[live], d[live].copy()
         fresh = []
-        while live and len(chosen) < k:
-            best = min(live, key=lambda i: (-d[i], names[i]))
+        while len(fresh) < len(names) and n < k:
+            best = int(np.argmax(d))  # of equal ones, the first by name
             if fresh and (-d[best], names[best]) > outside:
                 break
-            chosen.append(names[best])
+            n += 1
             fresh.append((names[best], x[best]))
-            live.remove(best)
-            d = np.minimum(d, np.round(((x - x[best]) ** 2).sum(1), 12))
-    return chosen
+            np.minimum(d, np.round(((x - x[best]) ** 2).sum(1), 12), out=d)
+            d[best] = -np.inf
+        yield [g for g, _ in fresh], state
+
+
+def _without(state: DataFrame, names: list[str]) -> DataFrame:
+    """state without the named groups; the names go to the tasks as one set."""
+    shared = state.sparkSession.sparkContext.broadcast(pa.array(names, pa.string()))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.compute.invert(pa.compute.is_in(b.column(0), value_set=shared.value)))
+
+    return state.mapInArrow(left, state.schema)
 
 
 def _nearer(state: DataFrame, picked: list[np.ndarray]) -> DataFrame:
-    """state (group_id, x, d) with d lowered to the least squared distance to the picked points."""
+    """state (group_id, x, d) with d lowered to the least squared distance to the picked points.
+
+    Products find, up to rounding, which points may be nearest; the distances to those are taken from differences,
+    so that they are the same whatever is picked together."""
     shared = state.sparkSession.sparkContext.broadcast(np.array(picked))
 
     def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shared.value
+        size = (points * points).sum(1)
         for b in batches:
             if not b.num_rows:
                 continue
             x, d = matrix(b.column(1)), b.column(2).to_numpy().copy()
-            for point in shared.value:
-                d = np.minimum(d, ((x - point) ** 2).sum(1))
+            own = (x * x).sum(1)
+            # far above the rounding of the products
+            slack = 1e-11 * x.shape[1] * (own + size.max())
+            step = max(1, AT_ONCE // len(points))
+            for at in range(0, len(x), step):
+                on = slice(at, at + step)
+                near = x[on] @ points.T
+                near *= -2
+                near += own[on, None]
+                near += size
+                low = near.min(1)
+                some = np.flatnonzero(low <= d[on] + slack[on])
+                i, j = np.nonzero(near[some] <= np.minimum(low[some] + slack[on][some], d[on][some] + slack[on][some])[:, None])
+                i = some[i] + at
+                for part in range(0, len(i), AT_ONCE // 8):
+                    a, c = i[part : part + AT_ONCE // 8], j[part : part + AT_ONCE // 8]
+                    np.minimum.at(d, a, ((x[a] - points[c]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["group_id", "x", "d"])
 
     return state.mapInArrow(lower, "group_id string, x array<double>, d double")

@@ -363,6 +363,6 @@ def kennard_stone_split(points: DataFrame, share: float = 0.8) -> DataFrame:
     """points (group_id, x) with `part`: calibration for the ceil(share) of groups that farthest-first picks,
     validation for the others."""
     n = points.count()
-    chosen = splits.kennard_stone(points, max(1, int(np.ceil(share * n))))
-    picked = points.sparkSession.createDataFrame([(g,) for g in chosen], "group_id string").withColumn("part", F.lit("calibration"))
-    return points.join(picked, "group_id", "left").withColumn("part", F.coalesce("part", F.lit("validation")))
+    rest = splits.farthest_first_rest(points, max(1, int(np.ceil(share * n)))).withColumn("part", F.lit("validation"))
+    known = F.col("group_id").isNotNull() & F.col("x").isNotNull()
+    return points.join(rest, "group_id", "left").withColumn("part", F.when(known, F.coalesce("part", F.lit("calibration"))).otherwise("validation"))

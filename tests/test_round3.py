@@ -2,6 +2,7 @@
 splits by kinds and edges of the core."""
 
 import itertools
+import os
 import subprocess
 import sys
 import time
@@ -391,6 +392,31 @@ def test_kennard_stone_is_farthest_first(spark, monkeypatch, candidates):
     assert len(splits.kennard_stone(df, 100)) == 60 and splits.kennard_stone(df.limit(0), 3) == [] and splits.kennard_stone(df, 0) == []
 
 
+def test_kennard_stone_split_leaves_one_pass_on_disk(spark, monkeypatch):
+    """As many passes as there may be: no more than two have files at a time, and the parts are those of the list."""
+    from prismlake.functions import tables
+    from prismlake.operators import validation
+
+    monkeypatch.setattr(splits, "CANDIDATES", 5)
+    x = 100 + np.random.default_rng(9).normal(size=(60, 4))
+    x[50:] = x[40:50]  # ties
+    df = spark.createDataFrame([(f"g{i:02d}", r.tolist()) for i, r in enumerate(x)], "group_id string, x array<double>").repartition(5)
+    files, most = set(), [0]
+
+    def written(frame):
+        out = tables.written(frame)
+        files.add(out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:"))
+        most[0] = max(most[0], sum(os.path.isdir(f) for f in files))
+        return out
+
+    monkeypatch.setattr(splits, "written", written)
+    monkeypatch.setattr(splits, "stored", lambda frame: pytest.fail("a checkpoint for each pass"))
+    chosen = splits.kennard_stone(df, 48)
+    assert len(files) > 5 and most[0] <= 2
+    got = {r["group_id"]: r["part"] for r in validation.kennard_stone_split(df).collect()}
+    assert sorted(g for g, p in got.items() if p == "calibration") == sorted(chosen) and len(got) == 60
+
+
 # ------------------------------------------------------------------ edges
 
 
