@@ -3,16 +3,18 @@ samples, Wold lines, bias-corrected bootstrap, Monte-Carlo splits, comparison of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from prismlake.functions import quantiles
 from prismlake.functions.ordering import by_hash, numbered
+from prismlake.functions.tables import stored
 from prismlake.operators import pipeline, splits
 from prismlake.operators.gram import Moments, added, channels, moments
 from prismlake.operators.latent import Pls, error_sum, fit_pls, vip, with_targets
@@ -38,28 +40,65 @@ def majority_class(spectra: DataFrame) -> DataFrame:
     return n.groupBy("group_id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
 
 
+def _digest(seed: int, number: Column) -> Column:
+    """The hash of a group in a round, by which groups are ordered; groups of one hash by name."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), number.cast("string"), "group_id"))
+
+
+def bounds(groups: DataFrame, wanted: DataFrame, rounds: list[int], seed: int, *keys: str) -> list[Row]:
+    """keys, round, place, h, group_id: the group that stands at a place (from 1) in a round's order of the keys.
+
+    groups: keys, group_id. wanted: keys, place, a few rows. Groups are counted in 4096 buckets of the hash; only
+    those in a bucket that holds a wanted place are put in order. So a round costs a count, not a sort."""
+    every = groups.withColumn("round", F.explode(F.lit(rounds))).withColumn("_h", _digest(seed, F.col("round")))
+    placed = every.withColumn("_b", by_hash(F.col("_h")))
+    counts = placed.groupBy(*keys, "round", "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys, "round").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = counts.withColumn("_to", F.sum("_n").over(before))
+    held = held.join(F.broadcast(wanted), list(keys)) if keys else held.crossJoin(F.broadcast(wanted))
+    # the places of a bucket, counted from its first
+    held = held.where("place <= _to and place > _to - _n").groupBy(*keys, "round", "_b").agg(F.collect_list(F.struct("place", (F.col("place") - F.col("_to") + F.col("_n")).alias("own"))).alias("_places"))
+    own = F.row_number().over(Window.partitionBy(*keys, "round", "_b").orderBy("_h", "group_id"))
+    met = placed.join(F.broadcast(held), [*keys, "round", "_b"]).withColumn("_own", own)
+    return met.select(*keys, "round", F.col("_h").alias("h"), "group_id", "_own", F.inline("_places")).where("own = _own").select(*keys, "round", "place", "h", "group_id").collect()
+
+
+def test_rounds(spectra: DataFrame, rounds: int, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """group_id, label, rounds: the rounds (ascending) that a group is tested in, which are those in which it is
+    among the first ceil(share) of its class's groups in the order of a hash of the round."""
+    g = majority_class(spectra)
+    wanted = g.groupBy("label").agg(F.ceil(F.count("*") * share).alias("place")).where("label is not null and place > 0")
+    ends: dict[str, list] = {}
+    for r in bounds(g, wanted, list(range(rounds)), seed, "label"):
+        ends.setdefault(r["label"], [("", "")] * rounds)[r["round"]] = (r["h"], r["group_id"])
+    table = spectra.sparkSession.createDataFrame(list(ends.items()), "label string, _ends array<struct<h string, g string>>")
+    each = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.struct(r.alias("round"), F.struct(_digest(seed, r).alias("h"), F.col("group_id").alias("g")).alias("at")))
+    within = F.filter(each, lambda e: e["at"] <= F.get("_ends", e["round"]))
+    return g.join(F.broadcast(table), "label").select("group_id", "label", F.transform(within, lambda e: e["round"]).alias("rounds"))
+
+
 def shuffle_splits(spectra: DataFrame, rounds: int, share: float = 0.2, seed: int = 42) -> DataFrame:
     """round, group_id, label: groups to test on, a ceil(share) of each class's groups in the order of a hash
     of the round."""
-    g = majority_class(spectra).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    g = g.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), "group_id")))
-    ranked = numbered(g, by_hash(F.col("_h")), "_h", "group_id", keys=("round", "label"))
-    n = majority_class(spectra).groupBy("label").agg(F.ceil(F.count("*") * share).alias("take"))
-    return ranked.join(n, "label").where("rank <= take").select("round", "group_id", "label")
+    return test_rounds(spectra, rounds, share, seed).select(F.explode("rounds").alias("round"), "group_id", "label")
 
 
 def permuted_labels(spectra: DataFrame, classes: list[str], rounds: int, seed: int = 42) -> DataFrame:
     """group_id, labels: class numbers of a group by round; round 0 is its own. In each round the groups,
     in the order of a hash, take the classes in turn as often as there are groups of them: a permutation
-    of the labels over physical samples, ordered in buckets, never in one task."""
+    of the labels over physical samples. The groups where a class ends are found first; then a group's label is
+    the number of those that come before it, by its own hash alone."""
     own = majority_class(spectra).select("group_id", (F.array_position(F.lit(classes), F.col("label")) - 1).cast("int").alias("own"))
     counts = {r["own"]: r["n"] for r in own.groupBy("own").agg(F.count("*").alias("n")).collect()}
-    ends = np.cumsum([counts.get(k, 0) for k in range(len(classes))])
-    every = own.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    every = every.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), "group_id")))
-    ranked = numbered(every, by_hash(F.col("_h")), "_h", "group_id", keys=("round",))
-    label = F.size(F.filter(F.lit([int(e) for e in ends]), lambda e: e < F.col("rank")))
-    return ranked.select("group_id", "own", "round", label.alias("k")).groupBy("group_id", "own").agg(F.array_sort(F.collect_list(F.struct("round", "k"))).alias("l")).select("group_id", F.concat(F.array("own"), F.transform("l", lambda s: s["k"])).alias("labels"))
+    ends = np.cumsum([counts.get(k, 0) for k in range(len(classes))]).tolist()
+    wanted = spectra.sparkSession.createDataFrame([(int(e),) for e in sorted(set(ends)) if e], "place long")
+    last: dict[tuple[int, int], tuple[str, str]] = {(r["round"], r["place"]): (r["h"], r["group_id"]) for r in bounds(own.select("group_id"), wanted, list(range(1, rounds + 1)), seed)} if rounds and ends[-1] else {}
+    # a class without groups before the first one ends before every group
+    table = F.lit(json.dumps([[dict(zip("hg", last[r, e] if e else ("", ""), strict=True)) for e in ends] for r in range(1, rounds + 1)]))
+    table = F.from_json(table, "array<array<struct<h string, g string>>>")
+    each = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.struct(r.alias("round"), F.struct(_digest(seed, r).alias("h"), F.col("group_id").alias("g")).alias("at")))
+    label = lambda e: F.size(F.filter(F.get(table, e["round"] - 1), lambda end: end < e["at"]))
+    return own.select("group_id", F.concat(F.array("own"), F.transform(each, label) if rounds else F.array().cast("array<int>")).alias("labels"))
 
 
 class Permutations:
@@ -70,7 +109,8 @@ class Permutations:
         self.classes, self.folds, self.rounds = classes, folds, rounds
         self.p = p = channels(spectra)
         folded = splits.hashed_folds(spectra, folds, seed)
-        self.rows = folded.join(permuted_labels(spectra, classes, rounds, seed), "group_id").select("fold", "x", "labels")
+        # read by each of the passes
+        self.rows = folded.join(stored(permuted_labels(spectra, classes, rounds, seed)), "group_id").select("fold", "x", "labels")
         by = moments(self.rows.withColumn("y", F.array(F.lit(0.0))), "fold")
         self.x = {int(k): m.subset(np.arange(p)) for k, m in by.items()}
         kinds = len(classes)
@@ -319,15 +359,29 @@ def monte_carlo(spectra: DataFrame, components: int, rounds: int = 50, share: fl
     """round, accuracy, balanced_accuracy, n_test over random splits of groups, stratified by class.
 
     A round's test rows are those of its groups. Training products are the total minus those of the test
-    rows; the rounds' models go to the tasks and every row is scored by the rounds that test it. Rounds whose
-    test set lacks a class are left out; no rounds where fewer groups than classes are tested."""
+    rows; a row carries the rounds that test it, whose sums its task adds, and whose models score it there:
+    rows are not dealt once a round. Rounds whose test set lacks a class are left out; no rounds where fewer
+    groups than classes are tested."""
     spark = spectra.sparkSession
     rows, classes = with_targets(spectra)
     p = channels(spectra)
-    tests = shuffle_splits(spectra, rounds, share, seed).select("round", "group_id")
-    held = rows.join(tests, "group_id").select("round", "label", "x", "y")
+    tests = test_rounds(spectra, rounds, share, seed).select("group_id", "rounds")
+    held = rows.join(tests, "group_id").where("size(rounds) > 0").select("label", "x", "y", F.array_join(F.transform("rounds", lambda r: r.cast("string")), ",").alias("rounds"))
     empty = spark.createDataFrame([], "round int, accuracy double, balanced_accuracy double, n_test long")
-    by = moments(held.withColumn("round", F.col("round").cast("string")), "round")
+
+    def tested(g: np.ndarray) -> np.ndarray:
+        by = np.zeros((len(g), rounds), bool)
+        for i, s in enumerate(g.tolist()):
+            by[i, [int(v) for v in s.split(",")]] = True
+        return by
+
+    def of_round(g: np.ndarray, x: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        by = tested(g)
+        for r in np.flatnonzero(by.any(0)):
+            at = np.flatnonzero(by[:, r])
+            yield str(r), at, x[at]
+
+    by = moments(held, "rounds", expand=of_round)
     total = moments(rows.withColumn("all", F.lit("all")), "all")["all"]
     models = {int(r): fit_pls(total - m, p, components) for r, m in by.items() if (m.total[p:] > 0).all() and total.n - m.n > 2}
     if not models:
@@ -336,19 +390,21 @@ def monte_carlo(spectra: DataFrame, components: int, rounds: int = 50, share: fl
     shared = spark.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((rounds, len(classes), 2), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            r = b.column(0).to_numpy()
+            by = tested(np.array(b.column(0).to_pylist(), object))
+            label = np.array([classes.index(v) for v in b.column(1).to_pylist()])
             x = np.hstack([np.ones((b.num_rows, 1)), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)])
-            named = np.full(b.num_rows, -1)
-            for k in np.unique(r):
-                if int(k) in shared.value:
-                    named[r == k] = (x[r == k] @ shared.value[int(k)]).argmax(1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([classes[k] if k >= 0 else None for k in named])], ["round", "label", "predicted"])
-
-    scored = held.select("round", "label", "x").mapInArrow(score, "round int, label string, predicted string").where("predicted is not null")
-    per = scored.groupBy("round", "label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("hit"))
+            for r, model in shared.value.items():
+                at = np.flatnonzero(by[:, r])
+                np.add.at(n[r], label[at], np.stack([np.ones(len(at), np.int64), (x[at] @ model).argmax(1) == label[at]], 1))
+        r, k = np.nonzero(n[:, :, 0])
+        yield pa.record_batch([pa.array(r, pa.int32()), pa.array(k, pa.int32()), pa.array(n[r, k, 0]), pa.array(n[r, k, 1])], ["round", "label", "n", "hit"])
+
+    known = held.where("label is not null and x is not null").select("rounds", "label", "x")
+    per = known.mapInArrow(score, "round int, label int, n long, hit long").groupBy("round", "label").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
     return per.groupBy("round").agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced_accuracy"), F.sum("n").alias("n_test"))
 
 

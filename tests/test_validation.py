@@ -1,5 +1,7 @@
 """Selection, validation, one-class, diagnostics and calibration against numpy versions."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +134,23 @@ def test_permutations_keep_counts_of_classes(spectra):
     assert p["similarity"][0] == 1 and p["q2"][0] > 0.5 and line["slope_q2"] == pytest.approx(np.polyfit(p["similarity"], p["q2"], 1)[0])
 
 
+def test_rounds_are_not_ordered_whole(spectra, monkeypatch):
+    """Labels and test groups of the rounds are those of the whole order, and only bounds are looked for in it."""
+    monkeypatch.setattr(validation, "numbered", lambda *a, **k: pytest.fail("all rounds numbered"))
+    f = spectra.select("group_id", "label").distinct().toPandas()
+    classes = ["B", "C0", "C1", "C2", "D"]  # B and D have no groups
+    digest = lambda r, g: (hashlib.md5(f"42:{r}:{g}".encode()).hexdigest(), g)
+    got = {r["group_id"]: r["labels"] for r in validation.permuted_labels(spectra, classes, 3).collect()}
+    own = {g: classes.index(k) for g, k in zip(f["group_id"], f["label"], strict=True)}
+    assert {g: v[0] for g, v in got.items()} == own
+    for r in (1, 2, 3):
+        order = sorted(own, key=lambda g: digest(r, g))
+        assert [got[g][r] for g in order] == sorted(own.values())
+    tests = {(r["round"], r["group_id"]) for r in validation.shuffle_splits(spectra, 4).collect()}
+    want = {(r, g) for r in range(4) for k in ("C0", "C1", "C2") for g in sorted(f["group_id"][f["label"] == k], key=lambda g: digest(r, g))[:2]}
+    assert tests == want
+
+
 def test_permutation_statistics_are_those_of_the_rows(spectra, frame):
     """Round 0 of the sums equals what the rows give by the ordinary way."""
     classes = ["C0", "C1", "C2"]
