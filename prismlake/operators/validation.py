@@ -283,18 +283,56 @@ def bca_interval(pairs: DataFrame, metric: Callable[[np.ndarray], float] = balan
 SUM_BYTES = 64 << 20
 
 
+#: Groups of a class whose weights a task adds in one table.
+WEIGHT_BLOCK = 1024
+
+
 def bootstrap_weights(spectra: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
     """group_id, weights: how often a group is drawn in each round, when a class draws, with replacement, as many
     groups as it has. A draw is a seeded hash of (round, class, number of the draw) over the groups' numbers, which
-    are taken in buckets: no task orders a class."""
+    are taken in buckets: no task orders a class. Draws are dealt by the block of groups that they hit, as lists of
+    numbers, and counted in a table for each block: no row is made for a draw."""
     g = majority_class(spectra).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "group_id")))
-    ranked = numbered(g, by_hash(F.col("_h")), "_h", "group_id", keys=("label",)).select("group_id", "label", "rank")
+    ranked = stored(numbered(g, by_hash(F.col("_h")), "_h", "group_id", keys=("label",)).select("group_id", "label", "rank"))
     n = ranked.groupBy("label").agg(F.count("*").alias("n"))
-    draws = ranked.join(n, "label").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    hit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("round").cast("string"), "label", F.col("rank").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n") + 1
-    times = draws.select("label", "round", hit.alias("rank")).groupBy("label", "round", "rank").agg(F.count("*").cast("int").alias("w"))
-    drawn = ranked.join(times, ["label", "rank"]).groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("round", "w"))).alias("m"))
-    return drawn.select("group_id", F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0))).alias("weights"))
+    hit = lambda r: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), r.cast("string"), "label", F.col("rank").cast("string"))), 1, 15), 16, 10).cast("long") % F.col("n")
+    draws = ranked.join(F.broadcast(n), "label").select("label", F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), hit).alias("hits"))
+    size = WEIGHT_BLOCK
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            label = np.array(b.column(0).to_pylist(), object)
+            hits = b.column(1).flatten().to_numpy().reshape(b.num_rows, rounds)
+            for k in sorted(set(label.tolist())):
+                at = hits[label == k]
+                block = (at // size).ravel()
+                cell = (at % size * rounds + np.arange(rounds)).ravel()
+                order = np.argsort(block, kind="stable")
+                block, cell = block[order], cell[order]
+                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                cells = pa.ListArray.from_arrays(pa.array(np.append(first, len(cell)), pa.int32()), pa.array(cell, pa.int32()))
+                yield pa.record_batch([pa.array([k] * len(first), pa.string()), pa.array(block[first], pa.int64()), cells], ["label", "block", "cells"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for b in batches:
+            lists = b.column(2)
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if key not in sums:
+                    sums[key] = np.zeros(size * rounds, np.int32)
+                np.add.at(sums[key], flat[ends[i] : ends[i + 1]], 1)
+        for (k, block), table in sums.items():
+            table = table.reshape(size, rounds)
+            on = np.flatnonzero(table.any(1))
+            weights = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * rounds, pa.int32()), pa.array(table[on].ravel()))
+            yield pa.record_batch([pa.array([k] * len(on), pa.string()), pa.array(block * size + on + 1, pa.int64()), weights], ["label", "rank", "weights"])
+
+    dealt = draws.mapInArrow(spread, "label string, block long, cells array<int>").repartition("label", "block")
+    weights = dealt.mapInArrow(count, "label string, rank long, weights array<int>")
+    return ranked.join(weights, ["label", "rank"]).select("group_id", "weights")
 
 
 def bootstrap_vip(spectra: DataFrame, components: int, rounds: int = 100, seed: int = 7) -> DataFrame:

@@ -223,6 +223,22 @@ def test_r2_by_class_and_adulterant(spectra):
     assert len(got) == 3 and all(r["adulterant"] == "A" and r["status"] == "ok" and r["r2"] > 0.9 for r in got)
 
 
+def test_bootstrap_weights_without_a_row_a_draw(spectra, monkeypatch):
+    """The weights are those of the draws, in blocks, and no row is made for a draw."""
+    monkeypatch.setattr(validation, "WEIGHT_BLOCK", 3, raising=False)
+    monkeypatch.setattr(validation.F, "explode", lambda *a: pytest.fail("a row for each draw"))
+    got = {r["group_id"]: r["weights"] for r in validation.bootstrap_weights(spectra, 5).collect()}
+    f = spectra.select("group_id", "label").distinct().toPandas()
+    want: dict = {}
+    for k, own in f.groupby("label")["group_id"]:
+        order = sorted(own, key=lambda g: (hashlib.md5(f"7:{g}".encode()).hexdigest(), g))
+        for r in range(5):
+            for i in range(1, len(order) + 1):
+                g = order[int(hashlib.md5(f"7:{r}:{k}:{i}".encode()).hexdigest()[:15], 16) % len(order)]
+                want.setdefault(g, [0] * 5)[r] += 1
+    assert got == want
+
+
 def test_bootstrap_and_monte_carlo(spectra):
     v = validation.bootstrap_vip(spectra, 2, 8).toPandas()
     assert len(v) == 20 and (v["low"] <= v["mean"]).all() and (v["mean"] <= v["high"]).all() and (v["sd"] > 1e-6).all() and v["frequency"].between(0, 1).all()
