@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prismlake.functions.rowlocal import bound
+
 #: The title format. CODE-DD-MM-YYYY[-AD-{A,M,S}-PCT%]-T{1,2,3}: outer blanks, underscores for
 #: the hyphens before date, AD and T, no separator before T, T_1 for T1 and a doubled percent sign are read too.
 TITLE = r"^\s*([A-Z]{2,4})[-_](\d{2}-\d{2}-\d{4})(?:[-_]AD-([AMS])-(\d+(?:[.,]\d+)?)%%?)?[-_]?T_?([123])\s*$"
@@ -23,6 +25,19 @@ def parse_title(title: Column) -> dict[str, Column]:
     return {"code": pick(got(1)), "date": pick(got(2)), "adulterant": pick(got(3)), "content": pick(content), "replicate": pick(got(5).cast("int")), "valid": valid, "group_id": pick(key)}
 
 
+def group_key(title: Column) -> Column:
+    """The group_id of parse_title alone, by one match: the title's parts are bound once."""
+    mark = "\x01"
+    split = lambda t: F.split(F.regexp_replace(t, TITLE, mark.join(f"${k}" for k in range(1, 6))), mark)
+
+    def key(p: Column) -> Column:
+        content = F.regexp_replace(p[3], ",", ".").cast("double")
+        return F.when(p[2] == "", F.concat_ws("-", p[0], p[1])).when(content > 0, F.concat_ws("-", p[0], p[1], F.concat(p[2], F.format_string("%.2f", content))))
+
+    # a title that doesn't fit is not replaced, and one that holds the mark doesn't fit
+    return bound(title, lambda t: F.when(~F.contains(t, F.lit(mark)), bound(split(t), lambda p: F.when(F.size(p) == 5, key(p)))))
+
+
 def adulterant_of(group_id: Column) -> Column:
     """The letter of the last token of a group key, if it is one of A, M, S followed by a digit."""
     return F.nullif(F.regexp_extract(F.element_at(F.split(group_id, "-"), -1), r"^([AMS])\d", 1), F.lit(""))

@@ -46,3 +46,14 @@ def test_sinks(spark, tmp_path):
     m = sinks.manifest(spark, spark.createDataFrame([("{}",)], "model string"), ["a"], 3).first()[0]
     assert '"classes":["a"]' in m and "44136fa355b3678a1146ad16f7e8649e94fb4fc21fe77e8310c060f61caaff8a" in m
     assert sinks.output_name("Oil / NIR 2", 4, "abcdef0123") == "oil-nir-2-s4-abcdef01"
+
+
+def test_group_key_is_that_of_the_parsed_title(spark):
+    from pyspark.sql import functions as F
+
+    from prismlake.functions import titles
+
+    names = ["FAB-01-02-2020-T1", " PAB_01-02-2020-AD-A-7,5%%T_2 ", "FAB-01-02-2020-AD-S-0%-T1", "Fab-01-02-2020-T1", "FAB-01-02-2020-T4", "FAB-01-02-2020-AD-M-39,00%_T3", "a\x01b\x01c\x01d\x01e", "", None]
+    rows = spark.createDataFrame([(n,) for n in names], "title string")
+    got = rows.select(titles.group_key(F.col("title")).alias("a"), titles.parse_title(F.col("title"))["group_id"].alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and sum(r["a"] is not None for r in got) == 3
