@@ -450,6 +450,56 @@ def test_passages_with_every_other_text(spark):
     assert {k: (r["passages"], r["n_links"]) for k, r in got.items()} == {k: ("40:100" if k < 6 else "40:135", 7) for k in range(8)}
 
 
+def test_passages_link_texts_directly(spark):
+    # 1 has a passage in common with 0 and another with 2 and 3; 4 copies 0; 2 and 3 have one more, edited
+    p, q, r = (words(60, k) for k in (80, 81, 82))
+    edited = r.split()
+    edited[30] = "other"
+    texts = [f"{words(40, 1)} {p}", f"{p} {words(70, 2)} {q}", f"{q} {words(30, 3)} {r}", f"{words(20, 4)} {' '.join(edited)} {words(70, 5)} {q}", f"{words(40, 1)} {p}", words(90, 6)]
+    got = {k["doc_id"]: k for k in substring.repeated_passages(frame(spark, texts)).collect()}
+    assert [got[k]["n_links"] for k in range(6)] == [2, 3, 2, 2, 2, 0]
+    assert [got[k]["class_id"] for k in range(6)] == [0, 0, 0, 0, 0, 5]
+    assert [got[k]["passages"] for k in range(6)] == ["0:100", "0:60,130:190", "0:60,90:150", "20:80,150:210", "0:100", ""]
+
+
+def test_links_of_the_tables(spark):
+    """n_links and passages against a comparison of all pairs of texts that share 37 shingles."""
+    rows = {r["doc_id"]: " ".join(WORD.findall((r["text"] or "").lower())) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    copies = Counter((r["text"] or "").lower() for r in spark.read.parquet(f"{DIR}/documents.parquet").collect())
+    own = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    one = {t: k for k, t in own.items()}
+    h = {k: np.array([hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)], np.int64) for k, w in ((k, rows[k].split()) for k in one.values())}
+    where = defaultdict(list)
+    for k, v in h.items():
+        for x in set(v.tolist()):
+            where[x].append(k)
+    n, covered = Counter(), {k: np.zeros(len(v) + 4, bool) for k, v in h.items()}
+    for (a, b), shared in Counter((a, b) for v in where.values() for a in v for b in v if a < b).items():
+        found = substring.aligned(h[a], h[b], 46, 0.8) if shared >= 37 else []
+        for p, q, r, t in found:
+            covered[a][p : q + 4] = covered[b][r : t + 4] = True
+        n.update([a, b] if found else [])
+    for r in queries.op3_repeated_passages(spark, DIR).collect():
+        k = one[own[r["doc_id"]]]
+        copied = r["n_words"] >= 50 and copies[own[k]] > 1
+        assert r["n_links"] == n[k] + copied
+        assert r["n_repeated_words"] == (r["n_words"] if copied else covered[k].sum())
+
+
+def test_common_runs_in_order():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        x = rng.permutation(400)[: rng.integers(60, 300)]
+        y = np.delete(x, rng.integers(0, len(x), rng.integers(0, 5)))
+        y = np.insert(y, np.sort(rng.integers(0, len(y), 4)), 1000 + np.arange(4))
+        quick = substring.aligned(x, y, 46, 0.8)
+        most, substring.MOST_RUNS = substring.MOST_RUNS, 0
+        try:
+            assert substring.aligned(x, y, 46, 0.8) == quick
+        finally:
+            substring.MOST_RUNS = most
+
+
 def test_language_drops_no_name(spark):
     assert language.declared_language("<!-- " + "x" * 9000 + '<html lang="de"> --><script>' + "y" * 9000 + '</script><HTML class=a lang="PT-br">') == "pt"
     assert language.declared_language("<html><p>a</p><html lang=fr>") is None
