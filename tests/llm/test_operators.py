@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake.llm import boosting, chat, decontaminate, language, line_quality, neardup, packing, pii, quality_rules, queries, substring, url_filter
+from prismlake.llm import boosting, chat, decontaminate, language, line_quality, neardup, packing, pii, quality_rules, queries, staging, substring, url_filter
 from prismlake.llm.staging import components
 
 DIR = "/root/testdata/sf0.001"
@@ -500,6 +501,98 @@ def test_common_runs_in_order():
             substring.MOST_RUNS = most
 
 
+def _periodic(rng, units):
+    """Some of the units, each a few times."""
+    return np.concatenate([np.tile(units[k], rng.integers(1, 40))[: rng.integers(20, 120)] for k in rng.integers(0, len(units), rng.integers(1, 5))])
+
+
+def test_outer_begins_are_enough():
+    # texts that repeat themselves: the same passages as from all begins and ends of common runs
+    rng = np.random.default_rng(11)
+    found = 0
+    for _ in range(150):
+        units = [rng.integers(0, 400, rng.choice([1, 2, 7, 30, 60])) for _ in range(3)]
+        x, y = _periodic(rng, units), _periodic(rng, units)
+        quick = substring.aligned(x, y, 46, 0.8)
+        few, substring.FEW_RUNS = substring.FEW_RUNS, 10**9
+        try:
+            assert substring.aligned(x, y, 46, 0.8) == quick
+        finally:
+            substring.FEW_RUNS = few
+        found += bool(quick)
+    assert found > 20
+    x = np.tile(np.arange(7), 60)
+    a, c, _, _ = substring._corners(x, x)
+    assert substring._outermost(x, x, a, c, 46).sum() == 1
+
+
+def test_blocks_are_compared_as_pairs(monkeypatch):
+    """All zones of two blocks at once, against one pair after another, by slices of any size."""
+    rng = np.random.default_rng(12)
+    base = [rng.permutation(100_000)[:300] for _ in range(3)]
+    zones = []
+    for k in range(40):
+        v = base[k % 3][rng.integers(0, 60) : rng.integers(160, 300)].copy()
+        v[rng.integers(0, len(v), rng.integers(0, 12))] = 200_000 + rng.integers(0, 10**6)
+        zones.append(np.concatenate([v, v[:30]]) if k % 7 == 0 else v[::-1] if k % 11 == 0 else v)
+    number = np.concatenate(zones)
+    kinds = np.unique(number)
+    common = np.array([sum(v in z for z in map(set, zones)) > 1 for v in kinds])
+    h = [np.array([(int(v) << 1) | int(common[np.searchsorted(kinds, v)]) for v in z], np.int64) for z in zones]
+    before = [substring._before(z) for z in zones]
+    ids = np.arange(40)
+    for alone in (True, False):
+        left = np.full(40, True) if alone else ids % 2 == 0
+        table = pa.table({"left": left, "zone": ids, "low": ids, "high": ids + (ids == 5), "plain": [bool((b < 0).all()) for b in before], "fewest": pa.array([substring._fewest(b, 46) for b in before], pa.int32()), "h": pa.array([v.tolist() for v in h], pa.list_(pa.int64()))})
+        want = {}
+        for i in range(40):
+            for j in range(i, 40) if alone else range(40):
+                if (i != j or i == 5) if alone else left[i] and not left[j]:
+                    x, y = (np.where(v & 1, v, v + n * 10**8) for v, n in ((h[i], 2), (h[j], 4)))
+                    if p := substring.aligned(x, y, 46, 0.8):
+                        want[i, j] = sorted(p)
+        for passages, pairs in ((1 << 16, 1 << 19), (3, 500)):
+            monkeypatch.setattr(substring, "SLICE_PASSAGES", passages)
+            monkeypatch.setattr(substring, "SLICE_PAIRS", pairs)
+            rows = [r for b in substring._compare(table, alone, 46, 0.8) for r in b.to_pylist()]
+            assert {(r["a"], r["b"]): sorted(tuple(p.values()) for p in r["passages"]) for r in rows} == want and len(rows) == len(want)
+        assert len(want) > 50
+
+
+def test_zones_go_where_they_have_runs(spark, monkeypatch):
+    """Any two zones with a run of 17 in common meet; none goes to a block with which it has nothing in common."""
+    monkeypatch.setattr(substring, "BLOCK_PLACES", 500)
+    places = substring.places_of(substring.candidates(spark.read.parquet(f"{DIR}/documents.parquet")), 5)
+    zones = substring.zones(places, 46, 0.8).groupBy("zone").agg(F.first("h").alias("h"))
+    h = {r["zone"]: r["h"] for r in zones.collect()}
+    runs = {k: {tuple(v[i : i + 17]) for i in range(len(v) - 16) if all(s & 1 for s in v[i : i + 17])} for k, v in h.items()}
+    sent = substring.blocks(zones, 17).collect()
+    sides, of = defaultdict(lambda: (set(), set())), {}
+    for r in sent:
+        sides[r["b"], r["c"]][not r["left"]].add(r["zone"])
+        if r["b"] == r["c"]:
+            of[r["zone"]] = r["b"]
+    assert len(set(of.values())) > 3 and len(sent) == len({tuple(r) for r in sent})
+    owner = defaultdict(set)
+    for k, own in runs.items():
+        for run in own:
+            owner[run].add(k)
+    for x, y in {(x, y) for own in owner.values() for x in own for y in own if of[x] < of[y]}:
+        assert x in sides[of[x], of[y]][0] and y in sides[of[x], of[y]][1]
+    shingles = {k: {s for s in v if s & 1} for k, v in h.items()}
+    for (b, c), (left, right) in sides.items():
+        if b != c:
+            assert all(any(shingles[x] & shingles[y] for y in right) for x in left) and all(any(shingles[x] & shingles[y] for x in left) for y in right)
+
+
+def test_shuffles_are_dropped(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with staging.shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+
+
 def test_language_drops_no_name(spark):
     assert language.declared_language("<!-- " + "x" * 9000 + '<html lang="de"> --><script>' + "y" * 9000 + '</script><HTML class=a lang="PT-br">') == "pt"
     assert language.declared_language("<html><p>a</p><html lang=fr>") is None
