@@ -35,7 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from prismlake.llm.lookups import lookup
-from prismlake.llm.staging import discard, shared_dir, staged
+from prismlake.llm.staging import discard, filesystem, shared_dir, staged
 
 CHUNK_BYTES, ARCHIVE_BYTES, REVISIT_BYTES = 256 << 10, 1 << 30, 100
 #: Arrow batches hold so many bytes of chunks at most.
@@ -148,14 +148,6 @@ def digests(pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ sink and source
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", path)))
-
-
 class Warc(DataSource):
     """spark.read.format("warc") and df.write.format("warc"), after spark.dataSource.register(Warc)."""
 
@@ -188,7 +180,7 @@ class _Writer(DataSourceArrowWriter):
         return f"<{uuid.UUID(int=(self.run << 64) | record).urn}>"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         out, files, packer, left = None, [], None, 0
         for b in iterator:
@@ -235,7 +227,7 @@ class _Writer(DataSourceArrowWriter):
         return _head("revisit" if revisit else "response", self.record_id(row["record"]), fields, len(http) + stored) + http, stored
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         done = [f for m in messages if m is not None for f in m.files]
         have = _manifest(fs, root)
@@ -243,7 +235,7 @@ class _Writer(DataSourceArrowWriter):
             out.write(json.dumps(have + done).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         for f in (f for m in messages if m is not None for f in m.files):
             fs.delete_file(f"{root}/{f}")
 
@@ -272,12 +264,12 @@ class _Reader(DataSourceReader):
         self.path, self.data = path, data
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in _manifest(*_filesystem(self.path))] or [InputPartition(None)]
+        return [InputPartition(f) for f in _manifest(*filesystem(self.path))] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        fs, root = _filesystem(self.path)
+        fs, root = filesystem(self.path)
         names = [f.split()[0] for f in SOURCE_SCHEMA.split(", ")]
         kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
         schema = pa.schema([pa.field(n, kinds[f.split()[1]]) for n, f in zip(names, SOURCE_SCHEMA.split(", "), strict=True)])

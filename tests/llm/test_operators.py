@@ -585,6 +585,71 @@ def test_zones_go_where_they_have_runs(spark, monkeypatch):
             assert all(any(shingles[x] & shingles[y] for y in right) for x in left) and all(any(shingles[x] & shingles[y] for x in left) for y in right)
 
 
+def test_links_are_handed_on_by_zone(spark, monkeypatch):
+    """A row for a zone in a pair of blocks, not one for each link, and no zone is sent anywhere."""
+    rng = np.random.default_rng(14)
+    bases = [words(120, 90 + k).split() for k in range(2)]
+    texts = []
+    for k in range(40):
+        parts = []
+        for base in bases[: 1 + k % 2]:
+            own = list(base)
+            own[rng.integers(5, 115)] = f"own{k}"
+            parts.append(" ".join(own))
+        texts.append(f" {words(30, 200 + k)} ".join(parts))
+    seen = {}
+
+    def kept(df, name, *a):
+        seen[name] = staging.staged(df, name, *a)
+        return seen[name]
+
+    monkeypatch.setattr(substring, "staged", kept)
+    got = {r["doc_id"]: r for r in substring.repeated_passages(frame(spark, texts)).collect()}
+    assert {r["n_links"] for r in got.values()} == {39} and {r["class_id"] for r in got.values()} == {0}
+    rows = seen["found"].collect()
+    assert "places" in seen["found"].columns and len(rows) <= 2 * len({r["zone"] for r in rows}) <= 160
+
+
+def test_summed_links_are_all_links():
+    """Places of each text and its linked texts, from sums by zone, against the links one by one."""
+    rng = np.random.default_rng(15)
+    for _ in range(20):
+        texts = {t: sorted(set(rng.integers(0, 12, rng.integers(1, 4)).tolist())) for t in range(100, 100 + rng.integers(8, 20))}
+        kind = {t: z[0] if len(z) == 1 else 1000 + min(u for u in texts if texts[u] == z) for t, z in texts.items()}
+        having = {z: [t for t in texts if z in texts[t]] for z in range(12)}
+        ids = [z for z in range(12) if having[z]]
+        kinds = [[{"kind": k, "n": n} for k, n in Counter(kind.values()).items() if k in {kind[t] for t in having[z]}] for z in ids]
+        table = pa.table({"zone": ids, "low": [min(having[z]) for z in ids], "high": [max(having[z]) for z in ids], "kinds": pa.array(kinds, pa.list_(pa.struct([("kind", pa.int64()), ("n", pa.int64())])))})
+        links = [(a, b) for a in ids for b in ids if a <= b and len({*having[a], *having[b]}) > 1 and rng.random() < 0.4 and (a != b or len(having[a]) > 1)]
+        if not links:
+            continue
+        passages = [[dict(zip(("a_start", "a_end", "b_start", "b_end"), (s := rng.integers(0, 30), s + rng.integers(5, 20), u := rng.integers(0, 30), u + rng.integers(5, 20)), strict=True)) for _ in range(rng.integers(1, 3))] for _ in links]
+        covered, linked = defaultdict(set), {t: set() for t in texts}
+        for (a, b), own in zip(links, passages, strict=True):
+            for p in own:
+                for x, y, s, e in ((a, b, p["a_start"], p["a_end"]), (b, a, p["b_start"], p["b_end"])):
+                    for t in having[x]:
+                        if set(having[y]) - {t}:
+                            covered[t, x].update(range(s, e))
+            for x, y in ((a, b), (b, a)):
+                for t in having[x]:
+                    linked[t].update(having[y])
+        found = []
+        for part in np.array_split(np.arange(len(links)), 3):
+            if len(part):
+                batch = pa.record_batch([pa.array([links[k][0] for k in part]), pa.array([links[k][1] for k in part]), pa.array([False] * len(part)), pa.array([passages[k] for k in part], pa.list_(pa.struct([(n, pa.int32()) for n in ("a_start", "a_end", "b_start", "b_end")])))], ["a", "b", "tree", "passages"])
+                found += substring.Zones(table).summed(batch).to_pylist()
+        for t, own in texts.items():
+            n, sets = 0, {}
+            for r in found:
+                if r["zone"] in own:
+                    n += r["n"]
+                    sets |= dict(zip(r["kinds"], r["ns"], strict=True))
+            assert n + sum(sets.values()) - (kind[t] in sets) == len(linked[t] - {t})
+            for z in own:
+                assert covered[t, z] == {k for r in found if r["zone"] == z and r["only"] != t for p in r["places"] for k in range(p["s"], p["e"])}
+
+
 def test_shuffles_are_dropped(spark):
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
